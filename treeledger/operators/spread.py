@@ -1,9 +1,13 @@
 """Joins and ranks whose cost does not depend on how rows are spread over the keys.
 
-One key may hold a third of all rows. A small sample, chosen by a hash of the row's own identity,
-tells which keys are that large; only their rows are split further. What the sample says affects
-the distribution of the work and never the result, and everything broadcast here is limited in
-rows by the constants below, whatever the size of the data.
+One key may hold a third of all rows. Plain joins leave such a key to adaptive execution, which
+splits a crowded partition where the next step shuffles anyway. Two things it cannot split are done
+here: numbering the rows of a group, and a join whose result is grouped by the same key.
+
+A small sample, chosen by a hash of the row's own identity, tells which keys are that large; only
+their rows are split further. What the sample says affects the distribution of the work and never
+the result, and everything broadcast here is limited in rows by the constants below, whatever the
+size of the data.
 """
 
 from collections.abc import Sequence

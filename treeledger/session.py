@@ -1,5 +1,7 @@
-"""Where jobs put the intermediate tables that several later jobs read."""
+"""What a session provides: a folder for intermediate tables, and this package on its executors."""
 
+import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -7,6 +9,7 @@ from urllib.parse import urlparse
 from pyspark.sql import SparkSession
 
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +40,15 @@ def mounted(path: str) -> str:
     if parsed.scheme not in ("", "file"):
         raise ValueError(f"not reachable through the file system: {path}")
     return parsed.path if parsed.scheme else path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for what runs in Python there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="treeledger-code-"), "treeledger")
+    parent, name = os.path.split(package)
+    spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", parent, name))
+    _shipped.add(app)
