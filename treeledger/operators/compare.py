@@ -94,6 +94,7 @@ def detect_renames(
         "_rank",
         sample=_with_content(sample, match_unreadable),
         hot_rows=hot_rows,
+        cluster=[*scope, "_kind", "_digest"],
     ).selectExpr("*", f"(_rank - 1) div {_PAIR_BLOCK} AS _block")
 
     # In this order a deletion is directly followed by the addition of the same rank.
@@ -211,8 +212,8 @@ def diff(
 ) -> DataFrame:
     """Compare two manifests and pair what was moved.
 
-    The sample that looks for crowded contents is the comparison of two samples: both sides keep
-    the same paths, so it reads little and shuffles almost nothing.
+    Crowded contents are looked for in a comparison of two samples: both sides keep the same
+    paths, so that job shuffles almost nothing. It runs when this function is called.
     """
     delta = compare(old, new, scope, typechange)
     if renames:

@@ -114,9 +114,13 @@ def resolve_refs(refs: DataFrame, commits: DataFrame, snapshots: DataFrame | Non
     )
 
 
-def resolved(spark_refs: DataFrame, commits: DataFrame, snapshots: DataFrame | None = None) -> Column:
-    """The commit id of a single name; the job fails if there is none."""
-    found = resolve_refs(spark_refs, commits, snapshots)
-    return found.selectExpr(
-        "coalesce(commit_id, raise_error(concat('Bad revision: ', ref))) AS commit_id"
-    ).scalar()
+def resolve_names(
+    names: list[str], commits: DataFrame, snapshots: DataFrame | None = None
+) -> list[str]:
+    """The commit ids of a few names, looked up at once; a name without a commit is an error."""
+    refs = commits.sparkSession.createDataFrame([(name,) for name in names], "ref string")
+    found = {row["ref"]: row["commit_id"] for row in resolve_refs(refs, commits, snapshots).collect()}
+    for name in names:
+        if found[name] is None:
+            raise ValueError(f"bad revision: {name}")
+    return [found[name] for name in names]

@@ -4,16 +4,18 @@ One key may hold a third of all rows. Plain joins leave such a key to adaptive e
 splits a crowded partition where the next step shuffles anyway. Two things it cannot split are done
 here: numbering the rows of a group, and a join whose result is grouped by the same key.
 
-A small sample, chosen by a hash of the row's own identity, tells which keys are that large; only
-their rows are split further. What the sample says affects the distribution of the work and never
-the result, and everything broadcast here is limited in rows by the constants below, whatever the
-size of the data.
+A small sample, chosen by a hash of the row's own identity, is looked at while the plan is built. It
+tells which keys are that large; only their rows are split further, and where there is none the
+plan stays plain. What the sample says affects the distribution of the work and never the result.
+What the driver sees of it, and what is broadcast, is limited in rows by the constants below,
+whatever the size of the data.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key is split when it holds about this many rows.
 HOT_ROWS = 1_000_000
@@ -31,20 +33,26 @@ def sample_rows(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> D
     return df.where(f"pmod(xxhash64({', '.join(by)}), {classes}) = 0")
 
 
-def hot_keys(sample: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The largest keys of a sample and into how many pieces each should go."""
-    return (
+def hot_keys(sample: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The largest keys of a sample and into how many pieces each should go, if there are any."""
+    largest: list[Row] = (
         sample.groupBy(*keys)
         .agg(F.expr("count(1) AS _n"))
         .where(f"_n >= {_SEEN}")
         .orderBy(F.expr("-_n"), *keys)
         .limit(MAX_HOT_KEYS)
-        .selectExpr(
-            *keys,
-            f"cast(least(ceil(_n * {MAX_PIECES} / sum(_n) OVER ()), ceil(2 * _n / {_SEEN})) AS int)"
-            " AS _pieces",
-        )
+        .collect()
     )
+    if not largest:
+        return None
+    total = sum(row["_n"] for row in largest)
+    rows = [
+        (*[row[key] for key in keys], min(-(-row["_n"] * MAX_PIECES // total), -(-2 * row["_n"] // _SEEN)))
+        for row in largest
+    ]
+    fields = [sample.schema[key] for key in keys]
+    schema = T.StructType([*fields, T.StructField("_pieces", T.IntegerType(), False)])
+    return F.broadcast(sample.sparkSession.createDataFrame(rows, schema))
 
 
 def spread_join(
@@ -63,10 +71,10 @@ def spread_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"not a join that keeps to the left side: {how}")
-    if sample is None:
-        sample = sample_rows(left, by, hot_rows)
     on = list(on)
-    hot = F.broadcast(hot_keys(sample, on))
+    hot = hot_keys(sample_rows(left, by, hot_rows) if sample is None else sample, on)
+    if hot is None:
+        return left.join(right, on, how)
     dealt = left.join(hot, on, "left").selectExpr(
         "* EXCEPT (_pieces)",
         f"coalesce(pmod(xxhash64({', '.join(by)}, 1), _pieces), 0) AS _piece",
@@ -78,15 +86,21 @@ def spread_join(
     return dealt.join(repeated, [*on, "_piece"], how).drop("_piece")
 
 
-def _split_points(sample: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+def _split_points(sample: DataFrame, keys: Sequence[str], by: str) -> DataFrame | None:
     """Per large key, sorted values that cut its rows into pieces of similar size."""
-    return (
-        sample.join(F.broadcast(hot_keys(sample, keys)), list(keys))
+    hot = hot_keys(sample, keys)
+    if hot is None:
+        return None
+    # One value per piece is picked at random, so no key gives more values than it has pieces.
+    points = (
+        sample.join(hot, list(keys))
         .groupBy(*keys, F.expr(f"pmod(xxhash64({by}, 2), _pieces) AS _pick"))
         .agg(F.expr(f"min_by({by}, xxhash64({by}, 3)) AS _point"))
         .groupBy(*keys)
         .agg(F.expr("sort_array(collect_list(_point)) AS _points"))
     )
+    table = sample.sparkSession.createDataFrame(points.collect(), points.schema)
+    return F.broadcast(table)
 
 
 def _piece_of(value: str) -> str:
@@ -103,25 +117,30 @@ def rank_in_groups(
     name: str,
     sample: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    cluster: Sequence[str] | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 1 in the order of ``by``, which is unique in the group.
 
     Groups of ordinary size take one window. A large group is cut into consecutive ranges; each
     range is numbered by itself and the sizes of the ranges before it are added. ``sample`` may
-    give rows like those of ``df`` that are cheaper to read; it needs ``keys`` and ``by``.
+    give rows like those of ``df`` that are cheaper to read; it needs ``keys`` and ``by``. A caller
+    that goes on to work by some of the keys names them as ``cluster`` to save a shuffle.
     """
     keys = list(keys)
     listed = ", ".join(keys)
     if sample is None:
         sample = sample_rows(df, [by], hot_rows)
-    points = F.broadcast(_split_points(sample.select(*keys, by), keys, by))
+    points = _split_points(sample.select(*keys, by), keys, by)
+    if points is None:
+        placed = df.repartition(*cluster) if cluster else df
+        return placed.selectExpr("*", f"row_number() OVER (PARTITION BY {listed} ORDER BY {by}) AS {name}")
 
     numbered = (
         df.join(points, keys, "left")
         .selectExpr("* EXCEPT (_points)", f"if(_points IS NULL, 0, {_piece_of(by)}) AS _piece")
         .selectExpr("*", f"row_number() OVER (PARTITION BY {listed}, _piece ORDER BY {by}) AS _within")
     )
-    # Holds one row per range, and no row at all unless some group is large.
+    # One row per range of a large group.
     sizes = (
         df.select(*keys, by)
         .join(points, keys)

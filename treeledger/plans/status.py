@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from treeledger.operators.compare import diff, filter_status
 from treeledger.operators.constrain import Paths, constrain
-from treeledger.operators.history import resolved
+from treeledger.operators.history import resolve_names
 from treeledger.operators.spread import HOT_ROWS
 from treeledger.operators.staging import path_table, without_ignored
 from treeledger.schema import DELTA_COLUMNS
@@ -24,13 +24,11 @@ def diff_refs(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Differences between two named revisions; only their partitions are read."""
-
-    def tree(ref: str) -> DataFrame:
-        name = commits.sparkSession.createDataFrame([(ref,)], "ref string")
-        wanted = resolved(name, commits, snapshots)
-        return manifests.where(F.col("revision") == wanted).select(*_ENTRY)
-
-    delta = diff(tree(old_ref), tree(new_ref), limit=limit, hot_rows=hot_rows)
+    old, new = (
+        manifests.where(F.col("revision") == commit_id).select(*_ENTRY)
+        for commit_id in resolve_names([old_ref, new_ref], commits, snapshots)
+    )
+    delta = diff(old, new, limit=limit, hot_rows=hot_rows)
     return filter_status(delta, letters)
 
 
