@@ -7,6 +7,7 @@ deletion or addition.
 from pyspark.sql import DataFrame
 
 from treeledger.functions.paths import ancestors_and_self, at_or_below, normalised
+from treeledger.operators.spread import lookup_join
 
 Paths = list[str] | tuple[str, ...] | DataFrame
 
@@ -14,13 +15,11 @@ Paths = list[str] | tuple[str, ...] | DataFrame
 def _marked(manifest: DataFrame, paths: DataFrame) -> DataFrame:
     """The paths of the manifest that are one of the paths or below one; some more than once.
 
-    Every row below a directory meets that directory, so few keys may take most rows. A small
-    table of paths is broadcast when its size is known, and a crowded key of a large one is split
-    by adaptive execution.
+    Every row below a directory meets that directory, so few keys may take most rows.
     """
     below = manifest.selectExpr("path", f"explode({ancestors_and_self()}) AS _above")
     wanted = paths.selectExpr("path AS _above").distinct()
-    return below.join(wanted, "_above", "left_semi").select("path")
+    return lookup_join(below, wanted, ["_above"], "left_semi", ["path"]).select("path")
 
 
 def constrain(manifest: DataFrame, paths: Paths) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.operators.compare import diff
-from treeledger.operators.spread import HOT_ROWS
+from treeledger.operators.spread import HOT_ROWS, lookup_join
 
 # Fixed value: the fewest digits by which a commit id may be abbreviated.
 MIN_PREFIX = 4
@@ -38,15 +38,14 @@ def log(
     """The changes of every commit against its parent, up to the given commit, as one job.
 
     Each manifest row serves its own commit as the new state and the next one as the old state.
-    The few commits are broadcast if they are few indeed; else a revision with very many rows is
-    split by adaptive execution. Renames are looked for within each commit.
+    Renames are looked for within each commit.
     """
     chain = ancestors(commits, commit_id)
     rows = manifests.select("revision", "path", "kind", "digest")
     own = chain.selectExpr("commit_id AS revision", "commit_id", "seq")
     child = chain.where("parent_id IS NOT NULL").selectExpr("parent_id AS revision", "commit_id", "seq")
-    new = rows.join(own, "revision").drop("revision")
-    old = rows.join(child, "revision").drop("revision")
+    new = lookup_join(rows, own, ["revision"], "inner", ["path"], hot_rows).drop("revision")
+    old = lookup_join(rows, child, ["revision"], "inner", ["path"], hot_rows).drop("revision")
     return diff(old, new, scope=["seq", "commit_id"], limit=limit, hot_rows=hot_rows)
 
 
@@ -57,11 +56,11 @@ def decorate(commits: DataFrame, snapshots: DataFrame, stores: DataFrame) -> Dat
     lists, as one commit may have any number of snapshots.
     """
     heads = head_commit(commits).selectExpr("commit_id", "seq", "-1 AS ordinal", "'HEAD' AS reference")
-    taken = (
-        snapshots.join(stores.select("store", "ordinal"), "store")
-        .withColumnRenamed("base_commit_id", "commit_id")
-        .join(commits.select("commit_id", "seq"), "commit_id")
-    )
+    ordered = lookup_join(
+        snapshots, stores.select("store", "ordinal"), ["store"], "inner", ["reference"]
+    ).selectExpr("base_commit_id AS commit_id", "ordinal", "reference")
+    known = commits.select("commit_id", "seq")
+    taken = lookup_join(ordered, known, ["commit_id"], "inner", ["reference"])
     return heads.unionByName(taken.select("commit_id", "seq", "ordinal", "reference"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import ancestors_and_self, parent_dir, proper_ancestors, quoted
+from treeledger.operators.spread import lookup_join, spread_join
 from treeledger.schema import LEDGER_DIR, SKIP_FLAGS, SKIP_NAMES
 
 NAMES = (*SKIP_NAMES, LEDGER_DIR)
@@ -48,7 +49,7 @@ def ignored_dirs(
     """The topmost directories that are left out, each with the least name or marker as reason."""
     found = hits(listing, names, flags)
     above = found.selectExpr("path", f"explode({proper_ancestors()}) AS _above")
-    covered = above.join(found.selectExpr("path AS _above"), "_above", "left_semi")
+    covered = lookup_join(above, found.selectExpr("path AS _above"), ["_above"], "left_semi", ["path"])
     return found.join(covered.select("path"), "path", "left_anti")
 
 
@@ -75,9 +76,8 @@ def prune_ignored(
     )
     dirs = plain.select("_dir").distinct()
     above = dirs.selectExpr("_dir", f"explode({ancestors_and_self('_dir')}) AS _above")
-    dead = above.join(flagged, "_above", "left_semi").select("_dir")
-    # Most files may lie in one directory; adaptive execution splits it here.
-    return plain.join(dead, "_dir", "left_anti").select(*listing.columns)
+    dead = lookup_join(above, flagged, ["_above"], "left_semi", ["_dir"]).select("_dir").distinct()
+    return spread_join(plain, dead, ["_dir"], "left_anti", ["path"]).select(*listing.columns)
 
 
 def is_ignored(
@@ -93,7 +93,7 @@ def is_ignored(
               OR arrays_overlap(split(path, '/'), {_array(flags)})"""
     above = asked.selectExpr("path", f"explode({ancestors_and_self()}) AS _above")
     return (
-        above.join(found, "_above", "left")
+        lookup_join(above, found, ["_above"], "left", ["path"])
         .groupBy("path")
         .agg(F.expr("coalesce(bool_or(_hit), false) AS _hit"))
         .selectExpr("path", f"_hit OR {own} AS ignored")

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.paths import proper_ancestors
 from treeledger.operators.history import resolve_refs
-from treeledger.operators.spread import HOT_ROWS, spread_join
+from treeledger.operators.spread import HOT_ROWS, lookup_join, spread_join
 from treeledger.schema import BLOB, LINK
 
 
 def _with_commits(requests: DataFrame, commits: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Requests with the commit their ``ref`` stands for; many may name the same one."""
-    return requests.join(resolve_refs(requests, commits, snapshots), "ref", "left")
+    found = resolve_refs(requests, commits, snapshots)
+    return lookup_join(requests, found, ["ref"], "left", ["path"])
 
 
 def _with_content(requests: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -50,12 +51,11 @@ def locate(
         .distinct()
         .join(commits.select("commit_id", "seq"), "commit_id")
     )
-    held = manifests.selectExpr("revision AS commit_id", "path", "kind", "digest").join(
-        bases, "commit_id"
-    )
+    rows = manifests.selectExpr("revision AS commit_id", "path", "kind", "digest")
+    held = lookup_join(rows, bases, ["commit_id"], "inner", ["path"], hot_rows)
     contents = wanted.select("kind", "digest").distinct()
     first_paths = (
-        spread_join(held, contents, ["kind", "digest"], "left_semi", ["path"], hot_rows)
+        lookup_join(held, contents, ["kind", "digest"], "left_semi", ["path"], hot_rows)
         .groupBy("commit_id", "seq", "kind", "digest")
         .agg(F.expr("min(path) AS _first"))
     )
@@ -76,10 +76,10 @@ def locate(
         "coalesce(_in_place, false) AS same_path",
     )
 
-    sources = snapshots.join(stores.select("store", "ordinal"), "store").selectExpr(
-        "base_commit_id AS commit_id", "store", "snapshot_id", "reference", "ordinal"
-    )
-    return placed.join(sources, "commit_id")
+    sources = lookup_join(
+        snapshots, stores.select("store", "ordinal"), ["store"], "inner", ["reference"]
+    ).selectExpr("base_commit_id AS commit_id", "store", "snapshot_id", "reference", "ordinal")
+    return lookup_join(placed, sources, ["commit_id"], "inner", ["path", "ref"], hot_rows)
 
 
 def rank_candidates(located: DataFrame, store: str | None = None) -> DataFrame:
@@ -123,8 +123,14 @@ def classify_requests(
     missing = entries.where("commit_id IS NOT NULL AND kind IS NULL").select("commit_id", "path")
     revisions = missing.select("commit_id").distinct()
     dirs = (
-        manifests.selectExpr("revision AS commit_id", "path")
-        .join(revisions, "commit_id", "left_semi")
+        lookup_join(
+            manifests.selectExpr("revision AS commit_id", "path"),
+            revisions,
+            ["commit_id"],
+            "left_semi",
+            ["path"],
+            hot_rows,
+        )
         .selectExpr("commit_id", f"explode({proper_ancestors()}) AS path")
         .distinct()
         .selectExpr("commit_id", "path", "true AS _is_dir")

@@ -1,10 +1,7 @@
 """Joins and ranks whose cost does not depend on how rows are spread over the keys.
 
-One key may hold a third of all rows. Plain joins leave such a key to adaptive execution, which
-splits a crowded partition where the next step shuffles anyway. Two things it cannot split are done
-here: numbering the rows of a group, and a join whose result is grouped by the same key.
-
-A small sample, chosen by a hash of the row's own identity, is looked at while the plan is built. It
+One key may hold a third of all rows, and adaptive execution splits a crowded partition only where
+both sides of a join come straight from a shuffle. A small sample, chosen by a hash of the row's own identity, is looked at while the plan is built. It
 tells which keys are that large; only their rows are split further, and where there is none the
 plan stays plain. What the sample says affects the distribution of the work and never the result.
 What the driver sees of it, and what is broadcast, is limited in rows by the constants below,
@@ -25,6 +22,8 @@ _SEEN = 32
 MAX_HOT_KEYS = 1024
 # Pieces of all split keys together, but for one per key.
 MAX_PIECES = 8192
+# A table of at most this many rows is sent to all executors instead of shuffling its partner.
+MAX_LOOKUP_ROWS = 100_000
 
 
 def sample_rows(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -86,6 +85,25 @@ def spread_join(
     return dealt.join(repeated, [*on, "_piece"], how).drop("_piece")
 
 
+def lookup_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str,
+    by: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    most: int = MAX_LOOKUP_ROWS,
+) -> DataFrame:
+    """Join with a table that is small more often than not, such as commits or given paths.
+
+    Its rows are counted, no further than to the limit. Within it the table is broadcast and the
+    left side stays where it is; beyond it both sides are shuffled, crowded keys apart.
+    """
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), list(on), how)
+    return spread_join(left, right, on, how, by, hot_rows)
+
+
 def _split_points(sample: DataFrame, keys: Sequence[str], by: str) -> DataFrame | None:
     """Per large key, sorted values that cut its rows into pieces of similar size."""
     hot = hot_keys(sample, keys)

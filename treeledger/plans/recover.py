@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.operators.locate import classify_requests, locate, rank_candidates
-from treeledger.operators.spread import HOT_ROWS
+from treeledger.operators.spread import HOT_ROWS, lookup_join
 from treeledger.session import new_shared_path
 from treeledger.sinks.restore import restore_files
 
@@ -41,7 +41,8 @@ def restore(
 
     wanted = classified.where("outcome = 'ok'").select("path", "ref")
     candidates = ranked.where("eligible").join(wanted, ["path", "ref"], "left_semi")
-    plan = candidates.join(copies.select("reference", "root"), "reference")
+    roots = copies.select("reference", "root")
+    plan = lookup_join(candidates, roots, ["reference"], "inner", ["path", "ref"], hot_rows)
     done = new_shared_path(spark, "restored")
     restore_files(plan, root).write.parquet(done)
     copied = spark.read.parquet(done).withColumnsRenamed({"outcome": "_copied"})
