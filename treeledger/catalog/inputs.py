@@ -6,7 +6,14 @@ marked toxic are removed, low quality is moved aside, digits are normalised, web
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("documents", "labels", "pages", "conversations", "events", "orders", "lineitem")
+TABLES = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
+    "orders": "o_orderkey bigint, o_orderstatus string, o_orderpriority string",
+}
 
 # What differs between the two dialects.
 _SPARK = {
@@ -30,7 +37,7 @@ docs AS (
 
 WEB = """
 web AS (
-  SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '/$', '') AS path,
+  SELECT page_id, url, regexp_replace(regexp_replace(url, '^https?://', ''), '/$', '') AS path,
          sha1(html) AS digest
   FROM {pages})"""
 
@@ -196,21 +203,25 @@ stores AS (
   SELECT * FROM (VALUES ('aux1', 'file:///a/*', 0), ('aux2', 'file:///b/*', 1)) s (store, url, ordinal))"""
 
 
-def _render(sql: str, tables: dict[str, str], dialect: dict[str, str]) -> str:
+def _render(sql: str, dialect: dict[str, str]) -> str:
     for name, value in dialect.items():
         sql = sql.replace("{" + name + "}", value)
-    sql = sql.replace("{epoch_ts}", dialect["epoch"].format("ts"))
-    for name, value in tables.items():
-        sql = sql.replace("{" + name + "}", value)
-    return sql
+    return sql.replace("{epoch_ts}", dialect["epoch"].format("ts"))
 
 
 def spark_table(spark: SparkSession, sf_dir: str, ctes: str, name: str) -> DataFrame:
     """One of the derived tables as a lazily evaluated frame."""
-    tables = {table: f"parquet.`{sf_dir}/{table}.parquet`" for table in TABLES}
-    return spark.sql(_render(f"WITH {ctes} SELECT * FROM {name}", tables, _SPARK))
+    tables = {
+        table: spark.read.schema(schema).parquet(f"{sf_dir}/{table}.parquet")
+        for table, schema in TABLES.items()
+        if "{" + table + "}" in ctes
+    }
+    return spark.sql(_render(f"WITH {ctes} SELECT * FROM {name}", _SPARK), **tables)
 
 
 def plain_sql(sql: str) -> str:
     """The same text for the checking engine, where the tables are views."""
-    return _render(sql, {table: table for table in TABLES}, _PLAIN)
+    sql = _render(sql, _PLAIN)
+    for table in TABLES:
+        sql = sql.replace("{" + table + "}", table)
+    return sql

@@ -113,8 +113,8 @@ def _apply_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return documents.select("doc_id", text_digest("text").alias("digest")).withColumn(
+    (docs,) = _tables(spark, sf_dir, i.DOCS, "docs")
+    return docs.select("doc_id", text_digest("text").alias("digest")).withColumn(
         "unreadable", unreadable()
     )
 
@@ -200,7 +200,7 @@ def _snapshot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    (pages,) = _tables(spark, sf_dir, i.WEB, "web")
     stores = pages.selectExpr("cast(page_id AS string) AS store", "url", "0 AS ordinal")
     return store_sources.check_stores(stores).select("store", "store_error")
 

@@ -16,9 +16,7 @@ _NAME = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_NAMES.
 
 
 def _side(manifest: DataFrame, scope: Sequence[str], side: str) -> DataFrame:
-    return manifest.selectExpr(
-        *scope, "path", f"path AS {side}_path", f"kind AS {side}_kind", f"digest AS {side}_digest"
-    )
+    return manifest.selectExpr(*scope, "path", f"kind AS {side}_kind", f"digest AS {side}_digest")
 
 
 def compare(
@@ -36,8 +34,8 @@ def compare(
         .where("NOT (old_kind <=> new_kind AND old_digest <=> new_digest)")
         .selectExpr(
             "*",
-            f"""explode(CASE WHEN old_path IS NULL THEN array('A')
-                             WHEN new_path IS NULL THEN array('D')
+            f"""explode(CASE WHEN old_kind IS NULL THEN array('A')
+                             WHEN new_kind IS NULL THEN array('D')
                              WHEN old_kind <> new_kind THEN {other_kind}
                              ELSE array('M') END) AS status""",
         )
@@ -45,8 +43,8 @@ def compare(
             *scope,
             "status",
             _NAME.format("status"),
-            "if(status = 'A', NULL, old_path) AS old_path",
-            "if(status = 'D', NULL, new_path) AS new_path",
+            "if(status = 'A', NULL, path) AS old_path",
+            "if(status = 'D', NULL, path) AS new_path",
             "path",
             "if(status = 'A', NULL, old_kind) AS old_kind",
             "if(status = 'D', NULL, new_kind) AS new_kind",

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.operators.compare import diff
-from treeledger.operators.spread import HOT_ROWS, lookup_join
+from treeledger.operators.spread import HOT_ROWS, lookup_join, spread_join
 
 # Fixed value: the fewest digits by which a commit id may be abbreviated.
 MIN_PREFIX = 4
@@ -100,16 +100,20 @@ def resolve_refs(refs: DataFrame, commits: DataFrame, snapshots: DataFrame | Non
         .selectExpr("commit_id", "seq", "substring(commit_id, 1, _length) AS _key")
     )
     places = commits.selectExpr("commit_id", "seq", "concat('@', seq) AS _key")
-    return (
-        keyed.join(prefixes.unionByName(places), "_key", "left")
-        .groupBy("ref")
-        .agg(F.expr("count(commit_id) AS _n"), F.expr("min(struct(seq, commit_id)) AS _found"))
-        .selectExpr(
-            "ref",
-            "if(_n = 1, _found.commit_id, NULL) AS commit_id",
-            "if(_n = 1, _found.seq, NULL) AS seq",
-            "if(_n = 1, NULL, 'bad revision') AS problem",
-        )
+    found = (
+        keyed.select("_key")
+        .distinct()
+        .join(prefixes.unionByName(places), "_key")
+        .groupBy("_key")
+        .agg(F.expr("count(1) AS _n"), F.expr("min(struct(seq, commit_id)) AS _found"))
+        .where("_n = 1")
+    )
+    # Very many names may stand for one commit.
+    return spread_join(keyed, found, ["_key"], "left", ["ref"]).selectExpr(
+        "ref",
+        "_found.commit_id AS commit_id",
+        "_found.seq AS seq",
+        "if(_found IS NULL, 'bad revision', NULL) AS problem",
     )
 
 

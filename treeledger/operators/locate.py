@@ -55,7 +55,7 @@ def locate(
     held = lookup_join(rows, bases, ["commit_id"], "inner", ["path"], hot_rows)
     contents = wanted.select("kind", "digest").distinct()
     first_paths = (
-        lookup_join(held, contents, ["kind", "digest"], "left_semi", ["path"], hot_rows)
+        spread_join(held, contents, ["kind", "digest"], "left_semi", ["path"], hot_rows)
         .groupBy("commit_id", "seq", "kind", "digest")
         .agg(F.expr("min(path) AS _first"))
     )
@@ -120,8 +120,12 @@ def classify_requests(
     asked = requests.select("path", "ref").distinct()
     entries = _with_content(_with_commits(asked, commits, snapshots), manifests)
 
-    missing = entries.where("commit_id IS NOT NULL AND kind IS NULL").select("commit_id", "path")
-    revisions = missing.select("commit_id").distinct()
+    revisions = (
+        resolve_refs(requests, commits, snapshots)
+        .where("commit_id IS NOT NULL")
+        .select("commit_id")
+        .distinct()
+    )
     dirs = (
         lookup_join(
             manifests.selectExpr("revision AS commit_id", "path"),

@@ -22,8 +22,9 @@ _SEEN = 32
 MAX_HOT_KEYS = 1024
 # Pieces of all split keys together, but for one per key.
 MAX_PIECES = 8192
-# A table of at most this many rows is sent to all executors instead of shuffling its partner.
+# A table of at most this size is sent to all executors instead of shuffling its partner.
 MAX_LOOKUP_ROWS = 100_000
+MAX_LOOKUP_BYTES = 64 << 20
 
 
 def sample_rows(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -96,16 +97,22 @@ def lookup_join(
 ) -> DataFrame:
     """Join with a table that is small more often than not, such as commits or given paths.
 
-    Its rows are counted, no further than to the limit. Within it the table is broadcast and the
-    left side stays where it is; beyond it both sides are shuffled, crowded keys apart.
+    It is measured, no further than to the limit. Within it the table is broadcast and the left
+    side stays where it is; beyond it both sides are shuffled, crowded keys apart.
     """
-    if right.limit(most + 1).count() <= most:
+    size = right.limit(most + 1).selectExpr(
+        "count(1) AS n_rows", "coalesce(sum(octet_length(to_json(struct(*)))), 0) AS n_bytes"
+    )
+    measured = size.first()
+    if measured["n_rows"] <= most and measured["n_bytes"] <= MAX_LOOKUP_BYTES:
         return left.join(F.broadcast(right), list(on), how)
     return spread_join(left, right, on, how, by, hot_rows)
 
 
-def _split_points(sample: DataFrame, keys: Sequence[str], by: str) -> DataFrame | None:
-    """Per large key, sorted values that cut its rows into pieces of similar size."""
+def _split_points(
+    sample: DataFrame, keys: Sequence[str], by: str
+) -> tuple[DataFrame, int] | None:
+    """Per large key, sorted values that cut its rows into similar pieces, and the most of one key."""
     hot = hot_keys(sample, keys)
     if hot is None:
         return None
@@ -117,13 +124,14 @@ def _split_points(sample: DataFrame, keys: Sequence[str], by: str) -> DataFrame
         .groupBy(*keys)
         .agg(F.expr("sort_array(collect_list(_point)) AS _points"))
     )
-    table = sample.sparkSession.createDataFrame(points.collect(), points.schema)
-    return F.broadcast(table)
+    rows = points.collect()
+    most = max(len(row["_points"]) for row in rows)
+    return F.broadcast(sample.sparkSession.createDataFrame(rows, points.schema)), most
 
 
-def _piece_of(value: str) -> str:
-    """How many of the sorted points lie at or before the value, by halving steps."""
-    steps = ", ".join(str(MAX_PIECES >> n) for n in range(MAX_PIECES.bit_length()))
+def _piece_of(value: str, most: int) -> str:
+    """How many of at most so many sorted points lie at or before the value, by halving steps."""
+    steps = ", ".join(str(1 << n) for n in reversed(range(most.bit_length())))
     return f"""aggregate(array({steps}), 0,
         (at, step) -> if(get(_points, at + step - 1) <= {value}, at + step, at))"""
 
@@ -148,21 +156,23 @@ def rank_in_groups(
     listed = ", ".join(keys)
     if sample is None:
         sample = sample_rows(df, [by], hot_rows)
-    points = _split_points(sample.select(*keys, by), keys, by)
-    if points is None:
+    split = _split_points(sample.select(*keys, by), keys, by)
+    if split is None:
         placed = df.repartition(*cluster) if cluster else df
         return placed.selectExpr("*", f"row_number() OVER (PARTITION BY {listed} ORDER BY {by}) AS {name}")
 
+    points, most = split
+    piece = _piece_of(by, most)
     numbered = (
         df.join(points, keys, "left")
-        .selectExpr("* EXCEPT (_points)", f"if(_points IS NULL, 0, {_piece_of(by)}) AS _piece")
+        .selectExpr("* EXCEPT (_points)", f"if(_points IS NULL, 0, {piece}) AS _piece")
         .selectExpr("*", f"row_number() OVER (PARTITION BY {listed}, _piece ORDER BY {by}) AS _within")
     )
     # One row per range of a large group.
     sizes = (
         df.select(*keys, by)
         .join(points, keys)
-        .groupBy(*keys, F.expr(f"{_piece_of(by)} AS _piece"))
+        .groupBy(*keys, F.expr(f"{piece} AS _piece"))
         .agg(F.expr("count(1) AS _size"))
         .selectExpr(
             *keys,

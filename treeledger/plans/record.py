@@ -5,11 +5,12 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.operators.compare import new_content
+from treeledger.functions.status import adds_new_content
 from treeledger.operators.history import head_commit
 from treeledger.operators.rollup import root_rollup
 from treeledger.plans.status import diff_staged
-from treeledger.schema import COMMITS
+from treeledger.schema import COMMITS, MANIFEST
+from treeledger.session import new_shared_path
 from treeledger.sources.tables import append_commit, read_commits, read_manifest, write_manifest
 
 
@@ -34,10 +35,17 @@ def commit(
     parent = head_commit(commits).select("commit_id", "seq").first()
     head = read_manifest(spark, base, parent["commit_id"]) if parent else None
 
-    changes = diff_staged(head, staged)
-    if changes.isEmpty():
+    # Three jobs read the staged manifest; what led to it should run once.
+    kept = new_shared_path(spark, "staged")
+    staged.select(*MANIFEST.names).write.parquet(kept)
+    staged = spark.read.schema(MANIFEST).parquet(kept)
+
+    changes = diff_staged(head, staged).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(adds_new_content()).alias("brings")
+    )
+    found = changes.first()
+    if not found["n"]:
         raise NothingStaged("no changes staged for commit")
-    brings = new_content(changes).first()["adds_new_content"]
 
     values = {
         "parent_id": parent["commit_id"] if parent else None,
@@ -54,4 +62,4 @@ def commit(
     record = spark.createDataFrame([made], COMMITS)
     write_manifest(staged, base, made["commit_id"])
     append_commit(record, base)
-    return record.withColumn("adds_new_content", F.lit(brings))
+    return record.withColumn("adds_new_content", F.lit(found["brings"]))

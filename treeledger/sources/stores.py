@@ -1,5 +1,7 @@
 """Backup stores: check their addresses, find their snapshots, and see what each is a copy of."""
 
+import itertools
+import logging
 import os
 from collections.abc import Iterator, Sequence
 
@@ -12,6 +14,8 @@ from treeledger.schema import LEDGER_DIR, SNAPSHOTS
 from treeledger.session import ship_package
 from treeledger.sources.names import to_name, to_text
 
+logger = logging.getLogger(__name__)
+
 # The parts of an address, after RFC 3986.
 _SCHEME = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?"
 _AUTHORITY = r"(?://([^/?#]*))?"
@@ -109,6 +113,18 @@ def snapshot_ids(paths: DataFrame, stores: DataFrame, marker: str = LEDGER_DIR)
     )
 
 
+def _matching(parent: str, start: str, end: str) -> Iterator[str]:
+    try:
+        with os.scandir(parent) as entries:
+            for entry in entries:
+                name = entry.name
+                fits = name.startswith(start) and name.endswith(end) and len(name) >= len(start) + len(end)
+                if fits and (start or not name.startswith(".")):
+                    yield name
+    except OSError as error:
+        logger.error("store not read: %s", error)
+
+
 def _names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The names that may stand for ``*``; a store without ``*`` is one snapshot without id."""
     for frame in frames:
@@ -120,25 +136,15 @@ def _names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             before, after = path.split("*")
             parent, start = os.path.split(before)
             end, _, below = after.partition("/")
-            try:
-                found = os.listdir(parent or "/")
-            except OSError:
-                continue
-            found = [
-                name
-                for name in found
-                if name.startswith(start)
-                and name.endswith(end)
-                and len(name) >= len(start) + len(end)
-                and (start or not name.startswith("."))
-            ]
-            yield pd.DataFrame(
-                {
-                    "store": store,
-                    "snapshot_id": [to_text(n[len(start) : len(n) - len(end)]) for n in found],
-                    "root": [to_text(os.path.join(parent, n, below)) for n in found],
-                }
-            )
+            names = _matching(parent or "/", start, end)
+            while found := list(itertools.islice(names, 10_000)):
+                yield pd.DataFrame(
+                    {
+                        "store": store,
+                        "snapshot_id": [to_text(n[len(start) : len(n) - len(end)]) for n in found],
+                        "root": [to_text(os.path.join(parent, n, below)) for n in found],
+                    }
+                )
 
 
 def _holding(marker: str):
