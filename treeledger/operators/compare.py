@@ -55,14 +55,23 @@ def compare(
     )
 
 
-def _with_content(delta: DataFrame, match_unreadable: bool) -> DataFrame:
-    """Add what a deleted and an added row must share to be one renamed file."""
+def _with_content(delta: DataFrame, scope: Sequence[str], match_unreadable: bool) -> DataFrame:
+    """Add what a deleted and an added row must share to be one renamed file.
+
+    Columns that follow from the status are left out, as all rows are shuffled next.
+    """
     takes_part = "status IN ('A', 'D')"
     if not match_unreadable:
         takes_part += f" AND coalesce(new_digest, old_digest) <> '{ZERO_DIGEST}'"
     # Rows that take no part are spread by their path.
     return delta.selectExpr(
-        "*",
+        *scope,
+        "status",
+        "path",
+        "old_kind",
+        "new_kind",
+        "old_digest",
+        "new_digest",
         f"if({takes_part}, status, '-') AS _side",
         f"if({takes_part}, coalesce(new_kind, old_kind), '-') AS _kind",
         f"if({takes_part}, coalesce(new_digest, old_digest), path) AS _digest",
@@ -79,18 +88,18 @@ def detect_renames(
 ) -> DataFrame:
     """Turn a deletion and an addition of the same content into one ``R`` row.
 
-    Copies of one content are paired in path order, the first deleted with the first added and so
+    ``delta`` is what ``compare`` gives. Copies of one content are paired in path order, the first deleted with the first added and so
     on; what is left over stays as it is. With ``limit`` only that many renames per comparison are
     kept, in the order of their new paths. ``sample`` may give a cheaper sample of the delta.
     """
     if sample is None:
         sample = sample_rows(delta, ["path"], hot_rows)
     ranked = rank_in_groups(
-        _with_content(delta, match_unreadable),
+        _with_content(delta, scope, match_unreadable),
         [*scope, "_kind", "_digest", "_side"],
         "path",
         "_rank",
-        sample=_with_content(sample, match_unreadable),
+        sample=_with_content(sample, scope, match_unreadable),
         hot_rows=hot_rows,
         cluster=[*scope, "_kind", "_digest"],
     ).selectExpr("*", f"(_rank - 1) div {_PAIR_BLOCK} AS _block")
@@ -101,7 +110,7 @@ def detect_renames(
     paired = (
         ranked.selectExpr(
             "*",
-            f"lead(struct(_side, _rank, new_path)) {window} AS _next",
+            f"lead(struct(_side, _rank, path)) {window} AS _next",
             f"lag(struct(_side, _rank)) {window} AS _previous",
         )
         .selectExpr(
@@ -113,15 +122,25 @@ def detect_renames(
         .selectExpr(
             *scope,
             "if(_renamed, 'R', status) AS status",
-            "if(_renamed, 'renamed', status_name) AS status_name",
-            "old_path",
-            "if(_renamed, _next.new_path, new_path) AS new_path",
-            "if(_renamed, _next.new_path, path) AS path",
+            "path AS _old_path",
+            "if(_renamed, _next.path, path) AS path",
             "old_kind",
             "if(_renamed, old_kind, new_kind) AS new_kind",
             "old_digest",
             "if(_renamed, old_digest, new_digest) AS new_digest",
-            "if(_renamed, 100, similarity) AS similarity",
+        )
+        .selectExpr(
+            *scope,
+            "status",
+            _NAME.format("status"),
+            "if(status = 'A', NULL, _old_path) AS old_path",
+            "if(status = 'D', NULL, path) AS new_path",
+            "path",
+            "old_kind",
+            "new_kind",
+            "old_digest",
+            "new_digest",
+            "if(status = 'R', 100, 0) AS similarity",
         )
     )
     return paired if limit is None else _limit_renames(paired, scope, limit, hot_rows)
