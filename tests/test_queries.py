@@ -32,7 +32,9 @@ def test_query(spark, database, name):
     frame = entry_points.queries()[name](spark, SF)
     found = [tuple(row) for row in frame.select(*sorted(frame.columns)).collect()]
     relation = database.sql(entry_points.oracle_sql()[name])
-    assert sorted(relation.columns) == sorted(frame.columns)
+    types = {"VARCHAR": "string", "INTEGER": "int"}
+    wanted_types = {c: types.get(str(t), str(t).lower()) for c, t in zip(relation.columns, relation.types)}
+    assert wanted_types == dict(frame.dtypes)
     places = [relation.columns.index(column) for column in sorted(frame.columns)]
     wanted = [tuple(row[place] for place in places) for row in relation.fetchall()]
     key = lambda row: [(value is None, str(value)) for value in row]

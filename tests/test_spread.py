@@ -18,8 +18,8 @@ def crowded(spark):
 def test_split_groups_are_numbered_as_whole_ones(crowded):
     plain = rank_in_groups(crowded, ["k"], "p", "n")
     split = rank_in_groups(crowded, ["k"], "p", "n", hot_rows=64)
-    assert "_points" not in plain._jdf.queryExecution().toString()
-    assert "_points" in split._jdf.queryExecution().toString()
+    assert "_piece" not in plain._jdf.queryExecution().toString()
+    assert "_piece" in split._jdf.queryExecution().toString()
     assert rows_of(plain) == rows_of(split)
     assert plain.agg(F.max("n")).first()[0] == 3000
 

@@ -366,7 +366,8 @@ def oracle_sql() -> dict[str, str]:
         "rank_candidates": _sql(
             _LOCATED,
             """SELECT path, ref, reference, store = 'aux2' AS eligible,
-                 row_number() OVER (PARTITION BY path, ref, store = 'aux2' ORDER BY seq DESC, ordinal, snapshot_id) AS try_order
+                 CAST(row_number() OVER (PARTITION BY path, ref, store = 'aux2' ORDER BY seq DESC, ordinal, snapshot_id)
+                      AS INTEGER) AS try_order
                FROM located""",
         ),
         "classify_requests": _sql(

@@ -8,7 +8,9 @@ What the driver sees of it, and what is broadcast, is limited in rows by the con
 whatever the size of the data.
 """
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ _SEEN = 32
 MAX_HOT_KEYS = 1024
 # Pieces of all split keys together, but for one per key.
 MAX_PIECES = 8192
+# Points, and groups of points, that one row of a large key is compared with: a root of the above.
+MAX_GROUP = 127
 # A table of at most this size is sent to all executors instead of shuffling its partner.
 MAX_LOOKUP_ROWS = 100_000
 MAX_LOOKUP_BYTES = 64 << 20
@@ -109,31 +113,62 @@ def lookup_join(
     return spread_join(left, right, on, how, by, hot_rows)
 
 
-def _split_points(
-    sample: DataFrame, keys: Sequence[str], by: str
-) -> tuple[DataFrame, int] | None:
-    """Per large key, sorted values that cut its rows into similar pieces, and the most of one key."""
+class _Ranges(NamedTuple):
+    """Where the rows of large keys are cut: sorted points in groups, and each group's first point.
+
+    A row thus meets two short lists instead of all points of its key.
+    """
+
+    groups: DataFrame  # keys, _firsts
+    points: DataFrame  # keys, _group, _points
+    size: int  # points in a group
+
+    def place(self, df: DataFrame, keys: list[str], by: str, how: str) -> DataFrame:
+        """Add ``_piece``, the number of points at or before the row, where the key is large."""
+        grouped = df.join(self.groups, keys, how).selectExpr(
+            "* EXCEPT (_firsts)", f"if(_firsts IS NULL, NULL, {_count_up_to(by, '_firsts')}) AS _group"
+        )
+        return grouped.join(self.points, [*keys, "_group"], how).selectExpr(
+            "* EXCEPT (_group, _points)",
+            f"if(_points IS NULL, 0, _group * {self.size} + {_count_up_to(by, '_points')}) AS _piece",
+        )
+
+
+def _count_up_to(value: str, points: str) -> str:
+    """How many of the sorted points lie at or before the value, by halving steps."""
+    steps = ", ".join(str(1 << n) for n in reversed(range(MAX_GROUP.bit_length())))
+    return f"""aggregate(array({steps}), 0,
+        (at, step) -> if(get({points}, at + step - 1) <= {value}, at + step, at))"""
+
+
+def _ranges(sample: DataFrame, keys: list[str], by: str) -> _Ranges | None:
+    """Cut the rows of large keys into pieces of similar size, if there are large keys."""
     hot = hot_keys(sample, keys)
     if hot is None:
         return None
     # One value per piece is picked at random, so no key gives more values than it has pieces.
-    points = (
-        sample.join(hot, list(keys))
+    picked = (
+        sample.join(hot, keys)
         .groupBy(*keys, F.expr(f"pmod(xxhash64({by}, 2), _pieces) AS _pick"))
         .agg(F.expr(f"min_by({by}, xxhash64({by}, 3)) AS _point"))
         .groupBy(*keys)
         .agg(F.expr("sort_array(collect_list(_point)) AS _points"))
     )
-    rows = points.collect()
-    most = max(len(row["_points"]) for row in rows)
-    return F.broadcast(sample.sparkSession.createDataFrame(rows, points.schema)), most
-
-
-def _piece_of(value: str, most: int) -> str:
-    """How many of at most so many sorted points lie at or before the value, by halving steps."""
-    steps = ", ".join(str(1 << n) for n in reversed(range(most.bit_length())))
-    return f"""aggregate(array({steps}), 0,
-        (at, step) -> if(get(_points, at + step - 1) <= {value}, at + step, at))"""
+    rows = picked.collect()
+    size = max(1, math.isqrt(max(len(row["_points"]) for row in rows)))
+    groups, points = [], []
+    for row in rows:
+        key, found = [row[name] for name in keys], row["_points"]
+        groups.append((*key, found[size::size]))
+        points += [(*key, n // size, found[n : n + size]) for n in range(0, len(found), size)]
+    key_fields = ", ".join(f"{name} {sample.schema[name].dataType.simpleString()}" for name in keys)
+    make = sample.sparkSession.createDataFrame
+    value = sample.schema[by].dataType.simpleString()
+    return _Ranges(
+        F.broadcast(make(groups, f"{key_fields}, _firsts array<{value}>")),
+        F.broadcast(make(points, f"{key_fields}, _group int, _points array<{value}>")),
+        size,
+    )
 
 
 def rank_in_groups(
@@ -156,23 +191,18 @@ def rank_in_groups(
     listed = ", ".join(keys)
     if sample is None:
         sample = sample_rows(df, [by], hot_rows)
-    split = _split_points(sample.select(*keys, by), keys, by)
-    if split is None:
+    ranges = _ranges(sample.select(*keys, by), keys, by)
+    if ranges is None:
         placed = df.repartition(*cluster) if cluster else df
         return placed.selectExpr("*", f"row_number() OVER (PARTITION BY {listed} ORDER BY {by}) AS {name}")
 
-    points, most = split
-    piece = _piece_of(by, most)
-    numbered = (
-        df.join(points, keys, "left")
-        .selectExpr("* EXCEPT (_points)", f"if(_points IS NULL, 0, {piece}) AS _piece")
-        .selectExpr("*", f"row_number() OVER (PARTITION BY {listed}, _piece ORDER BY {by}) AS _within")
+    numbered = ranges.place(df, keys, by, "left").selectExpr(
+        "*", f"row_number() OVER (PARTITION BY {listed}, _piece ORDER BY {by}) AS _within"
     )
     # One row per range of a large group.
     sizes = (
-        df.select(*keys, by)
-        .join(points, keys)
-        .groupBy(*keys, F.expr(f"{piece} AS _piece"))
+        ranges.place(df.select(*keys, by), keys, by, "inner")
+        .groupBy(*keys, "_piece")
         .agg(F.expr("count(1) AS _size"))
         .selectExpr(
             *keys,
