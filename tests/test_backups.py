@@ -147,6 +147,19 @@ def test_store_addresses(spark, url, error):
     assert sources.check_stores(stores).first()["store_error"] == error
 
 
+def test_restore_brings_links_back_by_their_target(spark, history, tmp_path):
+    ids, commits, manifests, snapshots, stores = history
+    link = spark.createDataFrame([("d/l", "link", sha1("../x"), ids[2]), ("m", "link", sha1("lost"), ids[2])], manifests.schema)
+    links = spark.createDataFrame([(sha1("../x"), "../x")], "digest string, link_target string")
+    copies = snapshots.selectExpr("reference", "'/nowhere' AS root")
+    requests = spark.createDataFrame([("d/l", "HEAD"), ("m", "HEAD"), (Golden.c, "HEAD")], "path string, ref string")
+    outcome = restore(requests, str(tmp_path), commits, manifests.union(link), snapshots, stores, copies, links=links)
+    assert rows_of(outcome) == [
+        (Golden.c, "HEAD", "failed", None), ("d/l", "HEAD", "restored", None), ("m", "HEAD", "link", None),
+    ]
+    assert os.readlink(tmp_path / "d/l") == "../x"
+
+
 def test_digest_of_golden_text():
     assert sha1("a content") == "112c74d3c737c3d2facb0b8da36e1ffab710aea1"
 

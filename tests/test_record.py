@@ -6,6 +6,7 @@ from treeledger.operators.compare import compare
 from treeledger.operators.history import log
 from treeledger.plans.record import NothingStaged, commit
 from treeledger.sources import tables
+from treeledger.sources.stores import refresh_snapshots
 
 
 def test_commits_on_disk(spark, golden, tmp_path):
@@ -53,12 +54,23 @@ def test_cache_generations(spark, tmp_path):
     assert rows_of(tables.read_cache(spark, base), "path") == [("a",), ("b",)]
 
 
-def test_snapshot_partitions_are_replaced_by_store(spark, tmp_path):
+def test_snapshot_table_forgets_what_vanished(spark, tmp_path):
     base = str(tmp_path)
     schema = "store string, snapshot_id string, base_commit_id string, reference string"
+    assert tables.read_snapshots(spark, base).isEmpty()
     tables.write_snapshots(spark.createDataFrame([("s", "1", "c", "s/1"), ("t", None, "c", "t")], schema), base)
-    tables.write_snapshots(spark.createDataFrame([("s", "2", "d", "s/2")], schema), base)
-    assert rows_of(tables.read_snapshots(spark, base)) == [("s", "2", "d", "s/2"), ("t", None, "c", "t")]
+    old = tables.read_snapshots(spark, base)
+    stores = spark.createDataFrame([("s", "/s/*", 0), ("t", "/t", 1)], "store string, url string, ordinal int")
+    tables.write_snapshots(refresh_snapshots(old, old.where("false"), stores, ["s"]), base)
+    assert rows_of(tables.read_snapshots(spark, base)) == [("t", None, "c", "t")]
+
+
+def test_link_targets_are_kept_once(spark, tmp_path):
+    base = str(tmp_path)
+    links = spark.createDataFrame([("d1", "x"), ("d1", "x"), ("d2", "y")], "digest string, link_target string")
+    tables.append_links(links, base)
+    tables.append_links(links.union(spark.createDataFrame([("d3", "z")], links.schema)), base)
+    assert rows_of(tables.read_links(spark, base)) == [("d1", "x"), ("d2", "y"), ("d3", "z")]
 
 
 def test_bucketed_revisions_compare_without_a_shuffle(spark, golden, tmp_path):

@@ -353,7 +353,7 @@ def oracle_sql() -> dict[str, str]:
         "ancestors": _sql(
             i.CHAIN,
             """SELECT commit_id, parent_id, seq, commit_time, message FROM commits
-               WHERE seq <= (SELECT seq FROM commits WHERE commit_id = sha1('e100'))""",
+               WHERE seq <= (SELECT max(seq) FROM commits WHERE message = 'signup')""",
         ),
         "diff_refs": _sql(
             f"""{i.HISTORY},

@@ -225,7 +225,7 @@ def _resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     (commits,) = _tables(spark, sf_dir, i.CHAIN, "commits")
-    start = commits.where("commit_id = sha1('e100')").first()["commit_id"]
+    start = commits.where("message = 'signup'").agg(F.max_by("commit_id", "seq")).first()[0]
     return history.ancestors(commits, start).drop("tz_offset_min")
 
 

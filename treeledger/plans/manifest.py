@@ -21,6 +21,7 @@ class TreeState(NamedTuple):
     listing: DataFrame
     manifest: DataFrame  # path, kind, digest, mtime_ns, unreadable
     cache: DataFrame
+    links: DataFrame  # digest, link_target
 
 
 def build_manifest(
@@ -53,7 +54,7 @@ def build_manifest(
         .withColumn("unreadable", unreadable())
     )
     known = cache if cache is not None else spark.createDataFrame([], DIGEST_CACHE)
-    return TreeState(listing, manifest, refresh_cache(known, read))
+    return TreeState(listing, manifest, refresh_cache(known, read), links.select("digest", "link_target"))
 
 
 def verify(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from treeledger.operators.locate import classify_requests, locate, rank_candidates
 from treeledger.operators.spread import HOT_ROWS, lookup_join
 from treeledger.session import new_shared_path
-from treeledger.sinks.restore import restore_files
+from treeledger.sinks.restore import restore_files, restore_links
 
 
 def restore(
@@ -20,11 +20,13 @@ def restore(
     existing: DataFrame | None = None,
     store: str | None = None,
     any_revision: bool = False,
+    links: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per request with what became of it and the snapshot that served.
 
-    ``copies`` gives the mounted ``root`` of each ``reference``. What was located is written to the
+    ``copies`` gives the mounted ``root`` of each ``reference``, ``links`` the target text for the
+    ``digest`` of a link, which needs no snapshot. What was located is written to the
     shared folder, so that the copying job, which has effects, reads settled rows.
     """
     spark = requests.sparkSession
@@ -44,11 +46,17 @@ def restore(
     roots = copies.select("reference", "root")
     plan = lookup_join(candidates, roots, ["reference"], "inner", ["path", "ref"], hot_rows)
     done = new_shared_path(spark, "restored")
-    restore_files(plan, root).write.parquet(done)
-    copied = spark.read.parquet(done).withColumnsRenamed({"outcome": "_copied"})
+    restore_files(plan, root).write.parquet(f"{done}/kind=blob")
+    if links is not None:
+        entries = manifests.selectExpr("revision AS commit_id", "path", "digest")
+        targets = links.groupBy("digest").agg(F.expr("min(link_target) AS link_target"))
+        asked = classified.where("outcome = 'link'").join(entries, ["commit_id", "path"])
+        found = lookup_join(asked, targets, ["digest"], "inner", ["path", "ref"], hot_rows)
+        restore_links(found, root).write.parquet(f"{done}/kind=link")
+    copied = spark.read.parquet(done).selectExpr("path", "ref", "outcome AS _done", "reference")
     return classified.join(copied, ["path", "ref"], "left").select(
         "path",
         "ref",
-        F.expr("if(outcome = 'ok', coalesce(_copied, 'failed'), outcome) AS outcome"),
+        F.expr("if(outcome = 'ok', coalesce(_done, 'failed'), coalesce(_done, outcome)) AS outcome"),
         "reference",
     )

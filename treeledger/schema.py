@@ -45,6 +45,8 @@ MANIFEST = _struct(("path", _S, False), ("kind", _S, False), ("digest", _S, Fals
 
 STORED_MANIFEST = T.StructType([*MANIFEST.fields, T.StructField("revision", _S, False)])
 
+LINK_TARGETS = _struct(("digest", _S, False), ("link_target", _S, False))
+
 COMMITS = _struct(
     ("commit_id", _S, False),
     ("parent_id", _S, True),

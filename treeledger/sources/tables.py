@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeledger.schema import COMMITS, DIGEST_CACHE, MANIFEST, SNAPSHOTS, STORED_MANIFEST
+from treeledger.schema import COMMITS, DIGEST_CACHE, LINK_TARGETS, MANIFEST, SNAPSHOTS, STORED_MANIFEST
 
 
 def write_manifest(manifest: DataFrame, base: str, revision: str) -> None:
@@ -45,46 +45,60 @@ def read_commits(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(COMMITS).parquet(f"{base}/commits")
 
 
-def write_snapshots(snapshots: DataFrame, base: str) -> None:
-    """Replace the rows of the stores that occur, and leave other stores alone."""
-    (
-        snapshots.select(*SNAPSHOTS.names)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("store")
-        .parquet(f"{base}/snapshots")
-    )
+def _generations(spark: SparkSession, base: str, name: str, schema: T.StructType) -> DataFrame:
+    stored = T.StructType([*schema.fields, T.StructField("generation", T.LongType())])
+    return spark.read.schema(stored).parquet(f"{base}/{name}")
 
 
-def read_snapshots(spark: SparkSession, base: str) -> DataFrame:
-    if not _exists(spark, f"{base}/snapshots"):
-        return spark.createDataFrame([], SNAPSHOTS)
-    return spark.read.schema(SNAPSHOTS).parquet(f"{base}/snapshots").select(*SNAPSHOTS.names)
+def _write_generation(table: DataFrame, base: str, name: str, schema: T.StructType) -> None:
+    """Store a whole table anew; the generation it was derived from stays as it is."""
+    spark = table.sparkSession
+    number = 0
+    if _exists(spark, f"{base}/{name}"):
+        stored = _generations(spark, base, name, schema)
+        newest = stored.agg(F.expr("max(generation) AS n")).first()["n"]
+        number = 0 if newest is None else newest + 1
+    table.select(*schema.names).write.parquet(f"{base}/{name}/generation={number}")
 
 
-_STORED_CACHE = T.StructType([*DIGEST_CACHE.fields, T.StructField("generation", T.LongType())])
+def _read_generation(spark: SparkSession, base: str, name: str, schema: T.StructType) -> DataFrame:
+    if not _exists(spark, f"{base}/{name}"):
+        return spark.createDataFrame([], schema)
+    stored = _generations(spark, base, name, schema)
+    newest = stored.agg(F.expr("max(generation) AS n")).first()["n"]
+    return stored.where(F.col("generation") == newest).select(*schema.names)
 
 
-def _generations(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.schema(_STORED_CACHE).parquet(f"{base}/digest_cache")
+def write_snapshots(snapshots: DataFrame, base: str) -> None:
+    """Store what ``refresh_snapshots`` gives; a store that lost all its snapshots has no rows."""
+    _write_generation(snapshots, base, "snapshots", SNAPSHOTS)
+
+
+def read_snapshots(spark: SparkSession, base: str) -> DataFrame:
+    return _read_generation(spark, base, "snapshots", SNAPSHOTS)
 
 
 def write_cache(cache: DataFrame, base: str) -> None:
-    """Store the whole cache as a new generation; the one being read stays as it is."""
-    spark = cache.sparkSession
-    number = 0
-    if _exists(spark, f"{base}/digest_cache"):
-        newest = _generations(spark, base).agg(F.expr("max(generation) AS n")).first()["n"]
-        number = 0 if newest is None else newest + 1
-    cache.select(*DIGEST_CACHE.names).write.parquet(f"{base}/digest_cache/generation={number}")
+    _write_generation(cache, base, "digest_cache", DIGEST_CACHE)
 
 
 def read_cache(spark: SparkSession, base: str) -> DataFrame:
-    if not _exists(spark, f"{base}/digest_cache"):
-        return spark.createDataFrame([], DIGEST_CACHE)
-    stored = _generations(spark, base)
-    newest = stored.agg(F.expr("max(generation) AS n")).scalar()
-    return stored.where(F.col("generation") == newest).select(*DIGEST_CACHE.names)
+    return _read_generation(spark, base, "digest_cache", DIGEST_CACHE)
+
+
+def append_links(links: DataFrame, base: str) -> None:
+    """Keep the target texts of links, by digest, to make the links anew one day."""
+    spark = links.sparkSession
+    new = links.select(*LINK_TARGETS.names).distinct()
+    if _exists(spark, f"{base}/links"):
+        new = new.join(read_links(spark, base).select("digest"), "digest", "left_anti")
+    new.write.mode("append").parquet(f"{base}/links")
+
+
+def read_links(spark: SparkSession, base: str) -> DataFrame:
+    if not _exists(spark, f"{base}/links"):
+        return spark.createDataFrame([], LINK_TARGETS)
+    return spark.read.schema(LINK_TARGETS).parquet(f"{base}/links")
 
 
 def save_bucketed(manifests: DataFrame, table: str, buckets: int) -> None:
