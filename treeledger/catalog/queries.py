@@ -24,6 +24,13 @@ def _tables(spark: SparkSession, sf_dir: str, ctes: str, *names: str) -> list[Da
     return [i.spark_table(spark, sf_dir, ctes, name) for name in names]
 
 
+def _stored(df: DataFrame, *partitions: str) -> DataFrame:
+    """The frame as a table in the shared folder, the form in which manifests are kept."""
+    path = new_shared_path(df.sparkSession, "table")
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _pair_diff(ctes: str, old: str = "old", new: str = "new", **options) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return compare.diff(*_tables(spark, sf_dir, ctes, old, new), **options)
@@ -84,7 +91,7 @@ def _staging(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
         .union(docs.where("lang = 'es'").selectExpr("spanish_path AS path"))
         .union(docs.selectExpr("'web' AS path"))
     )
-    return old, new, docs, staging.stage_paths(old, new, changed)
+    return old, new, docs, _stored(staging.stage_paths(old, new, changed))
 
 
 def _stage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +219,8 @@ def _refresh_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.log(*_tables(spark, sf_dir, i.HISTORY, "commits", "manifests"))
+    commits, manifests = _tables(spark, sf_dir, i.HISTORY, "commits", "manifests")
+    return history.log(commits, _stored(manifests, "revision"))
 
 
 def _log_decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,14 +239,19 @@ def _ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _diff_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits, manifests, snapshots = _tables(spark, sf_dir, i.HISTORY, "commits", "manifests", "snapshots")
-    return statuses.diff_refs(commits, manifests, "aux1/2", "HEAD", snapshots, letters="m")
+    return statuses.diff_refs(
+        commits, _stored(manifests, "revision"), "aux1/2", "HEAD", snapshots, letters="m"
+    )
 
 
-_BACKUPS = ("requests", "commits", "manifests", "snapshots", "stores")
+def _backups(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    names = ("requests", "commits", "manifests", "snapshots", "stores")
+    requests, commits, manifests, *others = _tables(spark, sf_dir, i.HISTORY, *names)
+    return [_stored(requests), commits, _stored(manifests, "revision"), *others]
 
 
 def _locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return locate.locate(*_tables(spark, sf_dir, i.HISTORY, *_BACKUPS))
+    return locate.locate(*_backups(spark, sf_dir))
 
 
 def _rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +260,7 @@ def _rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    backups = _tables(spark, sf_dir, i.HISTORY, *_BACKUPS)
+    backups = _backups(spark, sf_dir)
     (docs,) = _tables(spark, sf_dir, i.DOCS, "docs")
     return locate.classify_requests(*backups, existing=docs.where("lang = 'de'"), store="aux2")
 
