@@ -265,6 +265,32 @@ def oracle_sql() -> dict[str, str]:
                       THEN digest END AS digest
                FROM listing l LEFT JOIN cache c ON l.path = c.path""",
         ),
+        "cache_moved": _sql(
+            i.MOVED,
+            """SELECT m.path, CASE WHEN c.inode IS NULL THEN 'absent' WHEN version <> 1 THEN 'bad_version'
+                 WHEN algorithm <> 'sha1' THEN 'bad_algorithm' WHEN c.mtime_ns <> m.mtime_ns THEN 'outdated'
+                 WHEN digest = '' THEN 'empty' ELSE 'hit' END AS cache_state,
+                 CASE WHEN version = 1 AND algorithm = 'sha1' AND c.mtime_ns = m.mtime_ns AND digest <> ''
+                      THEN digest END AS digest
+               FROM moved m LEFT JOIN cache c ON m.inode = c.inode""",
+        ),
+        "cache_replaced": _sql(
+            i.REPLACED,
+            """, joined AS (
+                 SELECT r.path, r.mtime_ns AS now, r.size AS n, f.inode AS own, p.path AS known_path, p.inode AS other, p.mtime_ns AS p_mtime,
+                        p.size AS p_size, p.version AS p_version, p.algorithm AS p_algorithm, p.digest AS p_digest,
+                        f.version, f.algorithm, f.mtime_ns, f.digest
+                 FROM replaced r LEFT JOIN cache f ON r.inode = f.inode LEFT JOIN cache p ON r.path = p.path),
+               states AS (
+                 SELECT *, CASE WHEN own IS NOT NULL THEN
+                     CASE WHEN version <> 1 THEN 'bad_version' WHEN algorithm <> 'sha1' THEN 'bad_algorithm'
+                       WHEN mtime_ns <> now THEN 'outdated' WHEN digest = '' THEN 'empty' ELSE 'hit' END
+                   WHEN known_path IS NULL THEN 'absent' WHEN other IS NOT NULL THEN 'replaced'
+                   WHEN p_version <> 1 THEN 'bad_version' WHEN p_algorithm <> 'sha1' THEN 'bad_algorithm'
+                   WHEN NOT (p_mtime = now AND p_size = n) THEN 'outdated' WHEN p_digest = '' THEN 'empty' ELSE 'hit' END AS cache_state
+                 FROM joined)
+               SELECT path, cache_state, CASE WHEN cache_state = 'hit' THEN coalesce(digest, p_digest) END AS digest FROM states""",
+        ),
         "cache_entries": _sql(
             i.CACHE, "SELECT path, version, mtime_ns, algorithm, digest FROM cache"
         ),
@@ -272,9 +298,10 @@ def oracle_sql() -> dict[str, str]:
             i.CACHE,
             """, good AS (SELECT l.path FROM listing l JOIN cache c ON l.path = c.path
                  WHERE version = 1 AND algorithm = 'sha1' AND c.mtime_ns >= l.mtime_ns AND digest <> '')
-               SELECT path, version, mtime_ns, algorithm, digest FROM cache WHERE path IN (SELECT path FROM good)
-               UNION ALL SELECT path, 1, 1000000 * doc_id, 'sha1', sha1(text) FROM docs
-               WHERE path NOT IN (SELECT path FROM good)""",
+               SELECT d.path, 1 AS version, l.mtime_ns, 'sha1' AS algorithm,
+                 CASE WHEN d.path IN (SELECT path FROM good) THEN c.digest ELSE sha1(text) END AS digest,
+                 l.size, l.dev, l.inode, l.ctime_ns
+               FROM docs d JOIN listing l ON l.path = d.path LEFT JOIN cache c ON c.path = d.path""",
         ),
         "corruption": _sql(
             f"""{i.CACHE},

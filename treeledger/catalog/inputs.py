@@ -155,16 +155,34 @@ refs AS (
 CACHE = f"""{DOCS},
 listing AS (
   SELECT path, 'blob' AS kind, CAST(length(text) AS BIGINT) AS size,
-         1000000 * doc_id AS mtime_ns, CAST(NULL AS STRING) AS link_target
+         1000000 * doc_id AS mtime_ns, CAST(NULL AS STRING) AS link_target,
+         CAST(1 AS BIGINT) AS dev, doc_id AS inode, 1000000 * doc_id AS ctime_ns
   FROM docs),
 cache AS (
   SELECT path, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version,
          1000000 * doc_id - CASE WHEN quality = 0 THEN 1 ELSE 0 END AS mtime_ns,
          CASE WHEN lang = 'fr' THEN 'md5' ELSE 'sha1' END AS algorithm,
          CASE WHEN source = 'src7' THEN ''
-              WHEN source = 'src3' THEN sha1(concat(text, '?')) ELSE sha1(text) END AS digest
+              WHEN source = 'src3' THEN sha1(concat(text, '?')) ELSE sha1(text) END AS digest,
+         CAST(length(text) AS BIGINT) AS size,
+         -- Spanish entries were written by a version that did not know files apart.
+         CASE WHEN lang = 'es' THEN NULL ELSE CAST(1 AS BIGINT) END AS dev,
+         CASE WHEN lang = 'es' THEN NULL ELSE doc_id END AS inode,
+         CASE WHEN lang = 'es' THEN NULL ELSE 1000000 * doc_id END AS ctime_ns
   FROM docs WHERE toxic = 0)"""
 
+# All files were moved since: their paths and times of change are new, the rest is as it was.
+MOVED = f"""{CACHE},
+moved AS (
+  SELECT concat('moved/', path) AS path, kind, size, mtime_ns, link_target, dev, inode, ctime_ns + 1 AS ctime_ns
+  FROM listing)"""
+
+# Every file was replaced by the one before it, which is older.
+REPLACED = f"""{CACHE},
+replaced AS (
+  SELECT l.path, l.kind, p.size, p.mtime_ns, p.link_target, p.dev, p.inode, p.ctime_ns + 1 AS ctime_ns
+  FROM listing l JOIN listing p ON p.inode + 1 = l.inode)"""
+
 # Pages as paths. A page of every language gets one of the entries that leave its folder out.
 PATHS = f"""{WEB},
 marks AS (

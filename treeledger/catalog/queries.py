@@ -142,6 +142,16 @@ def _cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probed.select("path", "cache_state", "digest")
 
 
+def _cache_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probed = cache.probe_cache(*_tables(spark, sf_dir, i.MOVED, "moved", "cache"))
+    return probed.select("path", "cache_state", "digest")
+
+
+def _cache_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probed = cache.probe_cache(*_tables(spark, sf_dir, i.REPLACED, "replaced", "cache"))
+    return probed.select("path", "cache_state", "digest")
+
+
 def _cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     (rows,) = _tables(spark, sf_dir, i.CACHE, "cache")
     entries = rows.selectExpr("path", "concat_ws(':', version, mtime_ns, algorithm, digest) AS entry")
@@ -150,9 +160,9 @@ def _cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing, rows, docs = _tables(spark, sf_dir, i.CACHE, "listing", "cache", "docs")
-    _, misses = cache.split_cached(listing, rows)
+    hits, misses = cache.split_cached(listing, rows)
     content = docs.selectExpr("path", "sha1(text) AS digest")
-    return cache.refresh_cache(rows, misses.join(content, "path"))
+    return cache.refresh_cache(rows, misses.join(content, "path"), hits)
 
 
 def _corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,6 +350,8 @@ def queries() -> dict[str, Query]:
         "digest_text": _digest_text,
         "link_identity": _link_identity,
         "cache_split": _cache_split,
+        "cache_moved": _cache_moved,
+        "cache_replaced": _cache_replaced,
         "cache_entries": _cache_entries,
         "cache_refresh": _cache_refresh,
         "corruption": _corruption,

@@ -1,8 +1,24 @@
-"""The digest cache: which files need no reading, and the cache that follows from a run."""
+"""The digest cache: which files need no reading, and the cache that follows from a run.
+
+A digest belongs to a file, not to its path. An entry is looked up by what the file system knows the
+file by (device and inode), so that a moved file is known; where an entry or the file has no such
+identity, by path.
+"""
+
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from treeledger.schema import ALGORITHM, CACHE_VERSION, DIGEST_CACHE, LISTING, ZERO_DIGEST
 
-from treeledger.schema import ALGORITHM, CACHE_VERSION
+
+def _complete(df: DataFrame, schema) -> DataFrame:
+    """All columns of the schema; those that the table lacks are null."""
+    have = set(df.columns)
+    return df.select(
+        *[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    )
 
 
 def parse_entries(entries: DataFrame) -> DataFrame:
@@ -24,31 +40,53 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     )
 
 
+# An entry of the same file: as long as nothing about the file changed since, a file that is not newer
+# is the file that was read. After a move, or where the inode was given to another file, time of
+# change and size must be equal. Without identity the same holds for the entry of the path.
+_CURRENT = """(coalesce(_entry.ctime_ns = ctime_ns AND _same AND _entry.mtime_ns >= mtime_ns, false)
+    OR coalesce(_entry.mtime_ns = mtime_ns AND coalesce(_entry.size = size, true), false))"""
+
+
 def probe_cache(listing: DataFrame, cache: DataFrame) -> DataFrame:
-    """The listing with what the cache says: ``cache_state`` and, for a hit, ``digest``."""
-    known = cache.selectExpr(
-        "path",
-        "true AS _known",
-        "version AS _version",
-        "mtime_ns AS _mtime_ns",
-        "algorithm AS _algorithm",
-        "digest AS _digest",
+    """The listing with what the cache says: ``cache_state`` and, for a hit, ``digest``.
+
+    An entry of the path that belongs to another file is ``replaced``.
+    """
+    entry = _complete(cache, DIGEST_CACHE).selectExpr("path", "struct(*) AS _entry")
+    # Several paths may be one file; what was read last counts.
+    by_file = (
+        entry.where("_entry.dev IS NOT NULL AND _entry.inode IS NOT NULL")
+        .groupBy(F.expr("_entry.dev AS dev"), F.expr("_entry.inode AS inode"))
+        .agg(F.expr("max_by(_entry, struct(_entry.mtime_ns, _entry.path)) AS _of_file"))
+    )
+    lacking = [f for f in LISTING if f.name not in listing.columns]
+    complete = listing.withColumns({f.name: F.lit(None).cast(f.dataType) for f in lacking}) if lacking else listing
+    found = complete.join(entry.withColumnRenamed("_entry", "_of_path"), "path", "left").join(
+        by_file, ["dev", "inode"], "left"
     )
     return (
-        listing.join(known, "path", "left")
+        found.selectExpr(
+            "*",
+            "_of_file IS NOT NULL AS _same",
+            # The entry of a path counts only if it may be the entry of this file.
+            "_of_file IS NULL AND _of_path.inode IS NOT NULL AND inode IS NOT NULL AS _other",
+            "coalesce(_of_file, _of_path) AS _entry",
+        )
         .selectExpr(
             "*",
-            f"""CASE WHEN _known IS NULL THEN 'absent'
-                     WHEN NOT _version <=> {CACHE_VERSION} THEN 'bad_version'
-                     WHEN NOT _algorithm <=> '{ALGORITHM}' THEN 'bad_algorithm'
-                     WHEN NOT coalesce(_mtime_ns >= mtime_ns, false) THEN 'outdated'
-                     WHEN coalesce(_digest, '') = '' THEN 'empty'
+            f"""CASE WHEN _entry IS NULL THEN 'absent'
+                     WHEN _other THEN 'replaced'
+                     WHEN NOT _entry.version <=> {CACHE_VERSION} THEN 'bad_version'
+                     WHEN NOT _entry.algorithm <=> '{ALGORITHM}' THEN 'bad_algorithm'
+                     WHEN NOT {_CURRENT} THEN 'outdated'
+                     WHEN coalesce(_entry.digest, '') = '' THEN 'empty'
+                     WHEN _entry.digest = '{ZERO_DIGEST}' THEN 'unreadable'
                      ELSE 'hit' END AS cache_state""",
         )
         .selectExpr(
             *[f"`{column}`" for column in listing.columns],
             "cache_state",
-            "if(cache_state = 'hit', _digest, NULL) AS digest",
+            "if(cache_state = 'hit', _entry.digest, NULL) AS digest",
         )
     )
 
@@ -65,13 +103,35 @@ def split_cached(
     return hits, misses
 
 
-def refresh_cache(cache: DataFrame, digests: DataFrame) -> DataFrame:
-    """The cache after files were read; unreadable files get an entry like all others."""
-    fresh = digests.selectExpr(
-        "path",
-        f"{CACHE_VERSION} AS version",
-        "mtime_ns",
-        f"'{ALGORITHM}' AS algorithm",
-        "digest",
-    )
-    return cache.join(fresh.select("path"), "path", "left_anti").unionByName(fresh)
+def _entries(digests: DataFrame) -> DataFrame:
+    wanted = {"version": f"{CACHE_VERSION}", "algorithm": f"'{ALGORITHM}'"}
+    found = _complete(digests, DIGEST_CACHE)
+    return found.selectExpr(*[f"{wanted[n]} AS {n}" if n in wanted else n for n in DIGEST_CACHE.names])
+
+
+def refresh_cache(
+    cache: DataFrame,
+    digests: DataFrame,
+    hits: DataFrame | None = None,
+    below: Sequence[str] | None = None,
+) -> DataFrame:
+    """The cache after files were read.
+
+    What could not be read gets no entry, so the next run tries again. With ``hits``, the files of
+    the listing that were known, the cache has what was listed and no path that is gone; ``below``
+    gives the paths that were listed if not all were, and entries elsewhere stay.
+    """
+    fresh = _entries(digests.where(f"digest <> '{ZERO_DIGEST}'"))
+    known = _complete(cache, DIGEST_CACHE)
+    if hits is None:
+        stays = known.join(digests.select("path"), "path", "left_anti")
+        return stays.select(*DIGEST_CACHE.names).unionByName(fresh)
+    listed = _entries(hits).unionByName(fresh)
+    if below is None:
+        return listed
+    outside = F.lit(True)
+    for path in below:
+        if path in ("", "."):
+            outside = F.lit(False)
+        outside = outside & ~((F.col("path") == path) | F.col("path").startswith(path.rstrip("/") + "/"))
+    return known.where(outside).unionByName(listed)

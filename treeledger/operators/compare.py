@@ -20,18 +20,24 @@ def _side(manifest: DataFrame, scope: Sequence[str], side: str) -> DataFrame:
 
 
 def compare(
-    old: DataFrame, new: DataFrame, scope: Sequence[str] = (), typechange: bool = False
+    old: DataFrame,
+    new: DataFrame,
+    scope: Sequence[str] = (),
+    typechange: bool = False,
+    match_unreadable: bool = True,
 ) -> DataFrame:
     """Paths that were added, deleted or changed; equal entries leave no row.
 
     A path that turns from file to link or back is deleted and added, or one ``T`` row with
-    ``typechange``. ``scope`` names columns that keep several comparisons apart in one job.
+    ``typechange``. ``scope`` names columns that keep several comparisons apart in one job. Two
+    unreadable files are equal unless ``match_unreadable`` is off.
     """
+    known = "true" if match_unreadable else f"NOT new_digest <=> '{ZERO_DIGEST}'"
     other_kind = "array('T')" if typechange else "array('D', 'A')"
     return (
         _side(old, scope, "old")
         .join(_side(new, scope, "new"), [*scope, "path"], "full_outer")
-        .where("NOT (old_kind <=> new_kind AND old_digest <=> new_digest)")
+        .where(f"NOT (old_kind <=> new_kind AND old_digest <=> new_digest AND {known})")
         .selectExpr(
             "*",
             f"""explode(CASE WHEN old_kind IS NULL THEN array('A')
@@ -182,12 +188,19 @@ def _limit_renames(delta: DataFrame, scope: Sequence[str], limit: int, hot_rows:
 
 
 def detect_copies(
-    delta: DataFrame, old: DataFrame, scope: Sequence[str] = (), hot_rows: int = HOT_ROWS
+    delta: DataFrame,
+    old: DataFrame,
+    scope: Sequence[str] = (),
+    hot_rows: int = HOT_ROWS,
+    match_unreadable: bool = True,
 ) -> DataFrame:
     """Mark the additions left after renames whose content the old manifest already had.
 
-    The first old path with the content becomes the source.
+    The first old path with the content becomes the source. What is unreadable is no copy of
+    anything with ``match_unreadable`` off.
     """
+    if not match_unreadable:
+        old = old.where(f"digest <> '{ZERO_DIGEST}'")
     sources = (
         old.selectExpr(*scope, "kind AS _kind", "digest AS _digest", "path")
         .groupBy(*scope, "_kind", "_digest")
@@ -232,13 +245,13 @@ def diff(
     Crowded contents are looked for in a comparison of two samples: both sides keep the same
     paths, so that job shuffles almost nothing. It runs when this function is called.
     """
-    delta = compare(old, new, scope, typechange)
+    delta = compare(old, new, scope, typechange, match_unreadable)
     if renames:
         parts = [sample_rows(side, ["path"], hot_rows) for side in (old, new)]
         sample = compare(*parts, scope, typechange)
         delta = detect_renames(delta, scope, limit, match_unreadable, sample, hot_rows)
     if copies:
-        delta = detect_copies(delta, old, scope, hot_rows)
+        delta = detect_copies(delta, old, scope, hot_rows, match_unreadable)
     return delta
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.functions.digests import text_digest, unreadable
-from treeledger.operators.cache import refresh_cache, split_cached
+from treeledger.functions.paths import normalised
+from treeledger.operators.cache import probe_cache, refresh_cache, split_cached
 from treeledger.operators.compare import diff
 from treeledger.operators.spread import HOT_ROWS
 from treeledger.schema import BLOB, DIGEST_CACHE, LINK
@@ -39,11 +40,21 @@ def build_manifest(
     """
     listing = scan_tree(spark, root, paths, **scan_options)
     files = listing.where(F.col("kind") == BLOB)
-    hits, misses = split_cached(files, cache, rehash)
+    if rehash or cache is None:
+        hits, misses = split_cached(files, None)
+    else:
+        # The lookup is needed several times, to deal out the reading and for the manifest.
+        looked_up = new_shared_path(spark, "probed")
+        probed = probe_cache(files, cache)
+        probed.write.partitionBy("cache_state").parquet(looked_up)
+        stored = spark.read.schema(probed.schema).parquet(looked_up)
+        hits = stored.where("cache_state = 'hit'").drop("cache_state")
+        misses = stored.where("cache_state <> 'hit'").drop("cache_state", "digest")
 
     where = new_shared_path(spark, "digests")
-    digest_files(misses, root).write.parquet(where)
-    read = spark.read.parquet(where)
+    digested = digest_files(misses, root)
+    digested.write.parquet(where)
+    read = spark.read.schema(digested.schema).parquet(where)
 
     links = listing.where(F.col("kind") == LINK).withColumn("digest", text_digest("link_target"))
     columns = ["path", "kind", "digest", "mtime_ns"]
@@ -54,7 +65,9 @@ def build_manifest(
         .withColumn("unreadable", unreadable())
     )
     known = cache if cache is not None else spark.createDataFrame([], DIGEST_CACHE)
-    return TreeState(listing, manifest, refresh_cache(known, read), links.select("digest", "link_target"))
+    below = None if paths is None else [normalised(path) for path in paths]
+    fresh = refresh_cache(known, read, hits, below)
+    return TreeState(listing, manifest, fresh, links.select("digest", "link_target"))
 
 
 def verify(

@@ -27,19 +27,31 @@ def restore(
 
     ``copies`` gives the mounted ``root`` of each ``reference``, ``links`` the target text for the
     ``digest`` of a link, which needs no snapshot. What was located is written to the
-    shared folder, so that the copying job, which has effects, reads settled rows.
+    shared folder, so that the copying job, which has effects, reads settled rows. Of several
+    requests for one path the newest commit is served, the others are ``superseded``.
     """
     spark = requests.sparkSession
     found = new_shared_path(spark, "located")
     located = locate(requests, commits, manifests, snapshots, stores, any_revision, hot_rows)
-    rank_candidates(located, store).write.parquet(found)
-    ranked = spark.read.parquet(found)
+    ranked = rank_candidates(located, store)
+    ranked.write.parquet(found)
+    ranked = spark.read.schema(ranked.schema).parquet(found)
 
     outcomes = new_shared_path(spark, "outcomes")
-    classify_requests(
+    classified = classify_requests(
         requests, commits, manifests, snapshots, stores, existing, store, any_revision, ranked, hot_rows
-    ).write.parquet(outcomes)
-    classified = spark.read.parquet(outcomes)
+    )
+    by_seq = commits.selectExpr("commit_id", "seq AS _seq")
+    served = "outcome IN ('ok', 'link')"
+    settled = (
+        lookup_join(classified, by_seq, ["commit_id"], "left", ["path", "ref"], hot_rows)
+        .selectExpr("*", f"row_number() OVER (PARTITION BY path, {served} ORDER BY _seq DESC, ref) AS _turn")
+        .selectExpr(
+            *[f"if({served} AND _turn > 1, 'superseded', outcome) AS outcome" if c == "outcome" else c for c in classified.columns]
+        )
+    )
+    settled.write.parquet(outcomes)
+    classified = spark.read.schema(settled.schema).parquet(outcomes)
 
     wanted = classified.where("outcome = 'ok'").select("path", "ref")
     candidates = ranked.where("eligible").join(wanted, ["path", "ref"], "left_semi")
@@ -53,7 +65,7 @@ def restore(
         asked = classified.where("outcome = 'link'").join(entries, ["commit_id", "path"])
         found = lookup_join(asked, targets, ["digest"], "inner", ["path", "ref"], hot_rows)
         restore_links(found, root).write.parquet(f"{done}/kind=link")
-    copied = spark.read.parquet(done).selectExpr("path", "ref", "outcome AS _done", "reference")
+    copied = spark.read.schema("path string, ref string, outcome string, reference string").parquet(f"{done}/*").selectExpr("path", "ref", "outcome AS _done", "reference")
     return classified.join(copied, ["path", "ref"], "left").select(
         "path",
         "ref",

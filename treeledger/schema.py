@@ -31,6 +31,10 @@ LISTING = _struct(
     ("size", _L, True),
     ("mtime_ns", _L, True),
     ("link_target", _S, True),
+    # What the file system knows the file by, whatever its path.
+    ("dev", _L, True),
+    ("inode", _L, True),
+    ("ctime_ns", _L, True),
 )
 
 DIGEST_CACHE = _struct(
@@ -39,6 +43,10 @@ DIGEST_CACHE = _struct(
     ("mtime_ns", _L, True),
     ("algorithm", _S, True),
     ("digest", _S, True),
+    ("size", _L, True),
+    ("dev", _L, True),
+    ("inode", _L, True),
+    ("ctime_ns", _L, True),
 )
 
 MANIFEST = _struct(("path", _S, False), ("kind", _S, False), ("digest", _S, False))

@@ -93,13 +93,14 @@ def restore_files(plan: DataFrame, root: str, tasks: int | None = None) -> DataF
 
     ``plan`` has ``path, ref, try_order, digest, root, found_path, reference`` with the mounted
     root of each snapshot. Copies are hashed again before they get their name, so a snapshot whose
-    content is not what its commit says is passed over. Nothing is ever overwritten.
+    content is not what its commit says is passed over. Nothing is ever overwritten. All rows of a
+    path go to one task; ``plan`` has one request for a path.
     """
     ship_package(plan.sparkSession)
     tasks = tasks or plan.sparkSession.sparkContext.defaultParallelism * 4
     ordered = (
         plan.select("path", "ref", "try_order", "digest", "root", "found_path", "reference")
-        .repartition(tasks, "path", "ref")
+        .repartition(tasks, "path")
         .sortWithinPartitions("path", "ref", "try_order")
     )
     return ordered.mapInPandas(_copies(mounted(root)), _OUTCOME)

@@ -6,9 +6,14 @@ _TO_TEXT = {_SURROGATES + n: _PRIVATE + n for n in range(128)}
 _TO_NAME = {text: name for name, text in _TO_TEXT.items()}
 
 
+# Characters of a name that lie in that range themselves go the same way, byte by byte.
+_TO_TEXT |= {p: "".join(chr(_PRIVATE + b - 128) for b in chr(p).encode()) for p in _TO_NAME}
+
+
 def to_text(name: str) -> str:
     return name.translate(_TO_TEXT)
 
 
 def to_name(text: str) -> str:
-    return text.translate(_TO_NAME)
+    # Bytes that are UTF-8 after all become characters again.
+    return text.translate(_TO_NAME).encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape")

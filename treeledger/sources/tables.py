@@ -45,28 +45,37 @@ def read_commits(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(COMMITS).parquet(f"{base}/commits")
 
 
-def _generations(spark: SparkSession, base: str, name: str, schema: T.StructType) -> DataFrame:
-    stored = T.StructType([*schema.fields, T.StructField("generation", T.LongType())])
-    return spark.read.schema(stored).parquet(f"{base}/{name}")
+def _generations(spark: SparkSession, base: str, name: str) -> dict[int, bool]:
+    """The numbers of all generations, and whether each was written to its end."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return {}
+    found = {}
+    for status in system.listStatus(where):
+        label, _, number = status.getPath().getName().partition("=")
+        if label == "generation" and number.isdigit():
+            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+            found[int(number)] = system.exists(done)
+    return found
 
 
 def _write_generation(table: DataFrame, base: str, name: str, schema: T.StructType) -> None:
-    """Store a whole table anew; the generation it was derived from stays as it is."""
-    spark = table.sparkSession
-    number = 0
-    if _exists(spark, f"{base}/{name}"):
-        stored = _generations(spark, base, name, schema)
-        newest = stored.agg(F.expr("max(generation) AS n")).first()["n"]
-        number = 0 if newest is None else newest + 1
+    """Store a whole table anew; the generation it was derived from stays as it is.
+
+    A generation without its mark of success was left by a job that failed, and counts for nothing
+    but its number.
+    """
+    number = max(_generations(table.sparkSession, base, name), default=-1) + 1
     table.select(*schema.names).write.parquet(f"{base}/{name}/generation={number}")
 
 
 def _read_generation(spark: SparkSession, base: str, name: str, schema: T.StructType) -> DataFrame:
-    if not _exists(spark, f"{base}/{name}"):
+    done = [number for number, complete in _generations(spark, base, name).items() if complete]
+    if not done:
         return spark.createDataFrame([], schema)
-    stored = _generations(spark, base, name, schema)
-    newest = stored.agg(F.expr("max(generation) AS n")).first()["n"]
-    return stored.where(F.col("generation") == newest).select(*schema.names)
+    return spark.read.schema(schema).parquet(f"{base}/{name}/generation={max(done)}")
 
 
 def write_snapshots(snapshots: DataFrame, base: str) -> None:

@@ -27,6 +27,19 @@ _BATCH = 10_000
 _COLUMNS = LISTING.names
 
 
+def _identity(info: os.stat_result) -> tuple[int, int, int]:
+    # File systems may number beyond what a signed number holds; what counts is that it is the same.
+    return _signed(info.st_dev), _signed(info.st_ino), info.st_ctime_ns
+
+
+def _signed(number: int) -> int:
+    return (number + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def _pending(path: str) -> tuple:
+    return (path, _PENDING, *[None] * (len(_COLUMNS) - 2))
+
+
 def _entry(root: str, path: str) -> tuple | None:
     """The listing row of one path, or None for what is no file, link or directory."""
     full = os.path.join(root, path)
@@ -34,17 +47,17 @@ def _entry(root: str, path: str) -> tuple | None:
         info = os.lstat(full)
     except OSError:
         # Gone since its directory was read: the digest will tell.
-        return (to_text(path), BLOB, None, None, None)
+        return (to_text(path), BLOB, None, None, None, None, None, None)
     if stat.S_ISLNK(info.st_mode):
         try:
-            return (to_text(path), LINK, None, info.st_mtime_ns, to_text(os.readlink(full)))
+            return (to_text(path), LINK, None, info.st_mtime_ns, to_text(os.readlink(full)), *_identity(info))
         except OSError as error:
             logger.warning("link not read: %s", error)
             return None
     if stat.S_ISDIR(info.st_mode):
-        return (to_text(path), _PENDING, None, None, None)
+        return _pending(to_text(path))
     if stat.S_ISREG(info.st_mode):
-        return (to_text(path), BLOB, info.st_size, info.st_mtime_ns, None)
+        return (to_text(path), BLOB, info.st_size, info.st_mtime_ns, None, *_identity(info))
     return None
 
 
@@ -80,7 +93,7 @@ def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=_COLUMNS)
-    return frame.astype({"size": "Int64", "mtime_ns": "Int64"})
+    return frame.astype({name: "Int64" for name in ("size", "mtime_ns", "dev", "inode", "ctime_ns")})
 
 
 def _start(root: str, names: Sequence[str], flags: Sequence[str]):
@@ -98,7 +111,7 @@ def _start(root: str, names: Sequence[str], flags: Sequence[str]):
                 if skipped or any(_is_flagged(directory, flags) for directory in above):
                     continue
                 if not parts:
-                    yield ("", _PENDING, None, None, None)
+                    yield _pending("")
                 elif os.path.lexists(os.path.join(root, path)):
                     row = _entry(root, path)
                     if row:
@@ -116,7 +129,7 @@ def _walk(root: str, names: Sequence[str], flags: Sequence[str], budget: int):
             waiting = [to_name(text) for text in frame["path"]]
             while waiting:
                 if left <= 0:
-                    yield from ((to_text(path), _PENDING, None, None, None) for path in waiting)
+                    yield from (_pending(to_text(path)) for path in waiting)
                     break
                 for row in _list_dir(root, waiting.pop(), names, flags):
                     left -= 1
