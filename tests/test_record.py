@@ -102,7 +102,7 @@ def test_cache_states(spark):
     assert misses.count() == 6 and misses.columns == listing.columns
     assert split_cached(listing, cache, rehash=True)[0].isEmpty()
     fresh = refresh_cache(cache, listing.where("path = 'b'").selectExpr("*", f"'{sha1('b')}' AS digest"))
-    assert rows_of(fresh.where("path IN ('b', 'z')")) == [("b", 1, 100, "sha1", sha1("b")), ("z", 1, 1, "sha1", "z")]
+    assert rows_of(fresh.where("path IN ('b', 'z')"), "path", "version", "mtime_ns", "algorithm", "digest") == [("b", 1, 100, "sha1", sha1("b")), ("z", 1, 1, "sha1", "z")]
 
 
 def test_cache_entries_as_text(spark):

@@ -96,20 +96,32 @@ staged AS (
   SELECT path, kind, digest FROM old WHERE NOT {_inside('old.path', 'changed')}
   UNION ALL SELECT path, kind, digest FROM new WHERE {_inside('new.path', 'changed')})"""
 
+_STEP = """CASE WHEN x IN ('~', '^', '^1') THEN 1 WHEN x = '^0' THEN 0
+    WHEN x LIKE '~%' THEN coalesce(TRY_CAST(substr(x, 2) AS BIGINT), 1000000000000) ELSE 1000000000000 END"""
+_SUFFIX = r"'^(.*?)((?:~[0-9]*|\^[0-9]*)*)$'"
+
 _RESOLVED = f"""{i.CHAIN},
-asked AS (SELECT DISTINCT ref FROM refs),
-named AS (SELECT a.ref, coalesce(s.base_commit_id, a.ref) AS target FROM asked a LEFT JOIN snapshots s ON a.ref = s.reference),
-tip AS (SELECT max(seq) AS top FROM commits),
-by_place AS (
-  SELECT n.ref, c.commit_id, c.seq FROM named n JOIN commits c
-  ON c.seq = (SELECT top FROM tip) - CASE WHEN target = 'HEAD' THEN 0 ELSE CAST(substr(target, 6) AS BIGINT) END
-  WHERE target = 'HEAD' OR target LIKE 'HEAD~%'),
+parsed AS MATERIALIZED (
+  SELECT ref, regexp_extract(ref, {_SUFFIX}, 1) AS base,
+         coalesce(list_sum(list_transform(regexp_extract_all(regexp_extract(ref, {_SUFFIX}, 2), '[~^][0-9]*'), lambda x: {_STEP})), 0) AS steps
+  FROM (SELECT DISTINCT ref FROM refs) a),
+known AS MATERIALIZED (SELECT reference, base_commit_id FROM snapshots),
+chain AS MATERIALIZED (SELECT commit_id, seq, substr(commit_id, 1, 4) AS start FROM commits),
+named AS MATERIALIZED (
+  SELECT p.ref, lower(coalesce(w.base_commit_id, b.base_commit_id, p.base)) AS target,
+         coalesce(w.base_commit_id, b.base_commit_id, p.base) IN ('HEAD', '@', 'master') AS at_head,
+         CASE WHEN w.reference IS NULL THEN p.steps ELSE 0 END AS steps
+  FROM parsed p LEFT JOIN known w ON w.reference = p.ref LEFT JOIN known b ON b.reference = p.base),
 by_id AS (
-  SELECT n.ref, c.commit_id, c.seq FROM named n JOIN commits c
-  ON substr(c.commit_id, 1, 4) = substr(lower(n.target), 1, 4) AND starts_with(c.commit_id, lower(n.target))
-  WHERE regexp_matches(lower(n.target), '^[0-9a-f]{{4,40}}$')),
-found AS (SELECT ref, min(commit_id) AS commit_id, min(seq) AS seq
-          FROM (SELECT * FROM by_place UNION ALL SELECT * FROM by_id) u GROUP BY ref HAVING count(*) = 1)"""
+  SELECT n.ref, n.steps, min(c.seq) AS seq
+  FROM (SELECT *, substr(target, 1, 4) AS start FROM named
+        WHERE NOT at_head AND regexp_matches(target, '^[0-9a-f]{{4,40}}$')) n
+  JOIN chain c ON c.start = n.start WHERE starts_with(c.commit_id, n.target)
+  GROUP BY n.ref, n.steps HAVING count(*) = 1),
+by_place AS (SELECT ref, steps, (SELECT max(seq) FROM chain) AS seq FROM named WHERE at_head),
+asked AS (SELECT ref FROM parsed),
+places AS MATERIALIZED (SELECT ref, CAST(seq - steps AS BIGINT) AS place FROM (SELECT * FROM by_place UNION ALL SELECT * FROM by_id) u),
+found AS (SELECT p.ref, c.commit_id, c.seq FROM places p JOIN chain c ON c.seq = p.place)"""
 
 _LOCATED = f"""{i.HISTORY},
 bound AS (
@@ -265,6 +277,60 @@ def oracle_sql() -> dict[str, str]:
                       THEN digest END AS digest
                FROM listing l LEFT JOIN cache c ON l.path = c.path""",
         ),
+        "restore_two_refs": _sql(
+            i.DOCS,
+            """SELECT path, 'HEAD' AS ref, 'restored' AS outcome, 'aux1/2' AS reference, sha1(concat(text, '!')) AS digest FROM docs
+               UNION ALL SELECT path, 'HEAD~1', 'superseded', NULL, sha1(concat(text, '!')) FROM docs""",
+        ),
+        "scan_paths": _sql(
+            i.DOCS,
+            """SELECT path, 'blob' AS kind, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM docs
+               WHERE source = 'src1' OR (source = 'src2' AND lang = 'en') OR (source = 'src3' AND lang = 'fr')""",
+        ),
+        "unreadable": _sql(
+            i.DOCS,
+            """SELECT path, CASE WHEN toxic = 0 THEN sha1(text) ELSE repeat('0', 40) END AS digest, toxic <> 0 AS unreadable
+               FROM docs""",
+        ),
+        "rehash": _sql(i.DOCS, "SELECT path, sha1(text) AS digest, sha1(text) AS cached FROM docs"),
+        "commit": _sql(
+            i.PAIR,
+            """SELECT path, kind, digest, seq, CASE WHEN seq > 0 THEN seq - 1 END AS parent_seq, concat('Change ', CAST(seq AS STRING)) AS message
+               FROM (SELECT *, unnest([CAST(0 AS BIGINT), CAST(2 AS BIGINT)]) AS seq FROM old
+                     UNION ALL SELECT *, CAST(1 AS BIGINT) FROM new) u""",
+        ),
+        "commit_times": _sql(
+            i.CHAIN,
+            """, zoned AS (SELECT seq, commit_time, seq % 1440 - 720 AS tz FROM commits)
+               SELECT seq, CAST(commit_time AS BIGINT) * 1000000 AS micros,
+                 concat(strftime(make_timestamp(CAST((commit_time + 60 * tz) * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S'), ' ',
+                        CASE WHEN tz < 0 THEN '-' ELSE '+' END, lpad(CAST(abs(tz) // 60 AS STRING), 2, '0'), ':',
+                        lpad(CAST(abs(tz) % 60 AS STRING), 2, '0')) AS local_time
+               FROM zoned""",
+        ),
+        "snapshot_table": _sql(
+            i.TURNS, "SELECT *, CAST(0 AS BIGINT) AS kept_before FROM turns WHERE store = 'user'"
+        ),
+        "unreadable_differ": _sql(
+            i.BROKEN,
+            """SELECT 'M' AS status, o.path AS old_path, n.path AS new_path, o.digest AS old_digest, n.digest AS new_digest
+               FROM old o JOIN new n ON o.path = n.path WHERE o.digest <> n.digest OR n.digest = repeat('0', 40)
+               UNION ALL SELECT 'D', path, NULL, digest, NULL FROM old WHERE path NOT IN (SELECT path FROM new)
+               UNION ALL SELECT 'A', NULL, path, NULL, digest FROM new WHERE path NOT IN (SELECT path FROM old)""",
+        ),
+        "status_ignored": _sql(
+            f"{i.PATHS},{_HITS}",
+            "SELECT 'ignored' AS section, 'X' AS status, 'ignored' AS status_name, path FROM hits",
+        ),
+        "store_outcomes": _sql(
+            i.ADDRESSES,
+            """SELECT store, CASE form WHEN 'host' THEN 'host must be empty' WHEN 'no_host' THEN 'host must not be empty'
+                 WHEN 'scheme' THEN 'unknown scheme' WHEN 'query' THEN 'query must be empty'
+                 WHEN 'fragment' THEN 'fragment must be empty' WHEN 'parameters' THEN 'parameters must be empty'
+                 WHEN 'wild_host' THEN 'host must not contain *' WHEN 'two_wild' THEN 'more than one *'
+                 WHEN 'none' THEN 'no path' END AS store_error
+               FROM addresses""",
+        ),
         "cache_moved": _sql(
             i.MOVED,
             """SELECT m.path, CASE WHEN c.inode IS NULL THEN 'absent' WHEN version <> 1 THEN 'bad_version'

@@ -149,6 +149,11 @@ refs AS (
   UNION ALL SELECT concat('HEAD~', CAST(seq AS STRING)) FROM commits
   UNION ALL SELECT concat('HEAD~', CAST(seq + 100000000 AS STRING)) FROM commits
   UNION ALL SELECT concat(reference, 'x') FROM snapshots
+  UNION ALL SELECT concat(reference, '~2^') FROM snapshots
+  UNION ALL SELECT concat(substr(commit_id, 1, 12), '^') FROM commits
+  UNION ALL SELECT concat('master~', CAST(seq AS STRING), '^^') FROM commits
+  UNION ALL SELECT concat('@^0~', CAST(seq AS STRING)) FROM commits
+  UNION ALL SELECT concat(commit_id, '^2') FROM commits
   UNION ALL SELECT 'HEAD' FROM commits)"""
 
 # A cache that is right, out of date, missing or unfit depending on how a document was labelled.
@@ -171,6 +176,34 @@ cache AS (
          CASE WHEN lang = 'es' THEN NULL ELSE 1000000 * doc_id END AS ctime_ns
   FROM docs WHERE toxic = 0)"""
 
+# Turns of conversations as backups of the commits of their conversation.
+TURNS = """
+turns AS (
+  SELECT DISTINCT role AS store, concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS snapshot_id,
+         sha1(CAST(conv_id AS STRING)) AS base_commit_id,
+         concat(role, '/', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS reference
+  FROM {conversations})"""
+
+# Documents that cannot be read: those of one source never, those of another after the review only.
+BROKEN = f"""{DOCS},
+old AS (SELECT path, 'blob' AS kind,
+               CASE WHEN source = 'src3' THEN repeat('0', 40) ELSE sha1(text) END AS digest FROM docs),
+new AS (SELECT CASE WHEN quality = 0 AND source = 'src3' THEN concat('moved/', path) ELSE path END AS path, 'blob' AS kind,
+               CASE WHEN source IN ('src3', 'src4') THEN repeat('0', 40) ELSE sha1(text) END AS digest FROM docs)"""
+
+# Every page's path as the address of a store, in each form that is taken or refused.
+_FORMS = [
+    ("plain", "'file:///'", "''"), ("bare", "'/'", "''"), ("wild", "'/'", "'/*/copy'"), ("ssh", "'ssh://host/'", "''"),
+    ("host", "'file://host/'", "''"), ("no_host", "'ssh:///'", "''"), ("scheme", "'http://h/'", "''"),
+    ("query", "'file:///'", "'?q'"), ("fragment", "'file:///'", "'#f'"), ("parameters", "'file:///'", "';p'"),
+    ("wild_host", "'ssh://h*/'", "''"), ("two_wild", "'/'", "'/*/*'"),
+]
+ADDRESSES = f"""{WEB},
+bare AS (SELECT page_id, digest FROM web),
+addresses AS (
+  {" UNION ALL ".join(f"SELECT concat('{name}', CAST(page_id AS STRING)) AS store, concat({before}, digest, {after}) AS url, 0 AS ordinal, '{name}' AS form FROM bare" for name, before, after in _FORMS)}
+  UNION ALL SELECT concat('none', CAST(page_id AS STRING)), 'file://', 0, 'none' FROM bare)"""
+
 # All files were moved since: their paths and times of change are new, the rest is as it was.
 MOVED = f"""{CACHE},
 moved AS (

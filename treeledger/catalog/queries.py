@@ -12,10 +12,13 @@ from treeledger.functions.digests import abbreviated, link_identity, text_digest
 from treeledger.functions.status import adds_new_content, shown_old_digest, status_code
 from treeledger.operators import cache, compare, constrain, export, history, ignore, locate, rollup, staging
 from treeledger.plans import manifest as trees
-from treeledger.plans import recover
+from treeledger.plans import record, recover
 from treeledger.plans import status as statuses
+from treeledger.schema import LISTING
 from treeledger.session import mounted, new_shared_path, ship_package
+from treeledger.sources import content, tables
 from treeledger.sources import stores as store_sources
+from treeledger.sources import tree as tree_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,8 +164,8 @@ def _cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing, rows, docs = _tables(spark, sf_dir, i.CACHE, "listing", "cache", "docs")
     hits, misses = cache.split_cached(listing, rows)
-    content = docs.selectExpr("path", "sha1(text) AS digest")
-    return cache.refresh_cache(rows, misses.join(content, "path"), hits)
+    read = docs.selectExpr("path", "sha1(text) AS digest")
+    return cache.refresh_cache(rows, misses.join(read, "path"), hits)
 
 
 def _corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,15 +291,98 @@ def _write_texts(root: str):
     return write
 
 
-def _tree_of_documents(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """All documents as files of a tree in the shared folder, written by the executors."""
-    ship_package(spark)
-    (docs,) = _tables(spark, sf_dir, i.DOCS, "docs")
-    root = mounted(new_shared_path(spark, "tree"))
+def _write_tree(docs: DataFrame) -> str:
+    """Documents as files of a tree in the shared folder, written by the executors."""
+    ship_package(docs.sparkSession)
+    root = mounted(new_shared_path(docs.sparkSession, "tree"))
     os.makedirs(root)
     written = docs.select("path", "text").repartition("path").mapInPandas(_write_texts(root), "n long")
     written.agg(F.sum("n")).first()
-    return root, docs
+    return root
+
+
+def _tree_of_documents(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    (docs,) = _tables(spark, sf_dir, i.DOCS, "docs")
+    return _write_tree(docs), docs
+
+
+# Paths of a tree that are scanned alone: a folder, a folder below another, files, one that is not there.
+_GIVEN = ["src1", "src2/en", "src2/en/x", "nowhere", "src3/fr"]
+
+
+def _scan_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, _ = _tree_of_documents(spark, sf_dir)
+    return tree_source.scan_tree(spark, root, _GIVEN).select("path", "kind", "size")
+
+
+def _unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents, where the toxic ones went after the tree was listed."""
+    (docs,) = _tables(spark, sf_dir, i.DOCS, "docs")
+    root = _write_tree(docs.where("toxic = 0"))
+    listed = docs.selectExpr("path", "'blob' AS kind", "CAST(octet_length(text) AS LONG) AS size")
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in LISTING if f.name not in listed.columns}
+    found = content.digest_files(listed.withColumns(empty), root)
+    return found.withColumn("unreadable", unreadable()).select("path", "digest", "unreadable")
+
+
+def _rehash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest and the new cache of a tree whose cache is wrong everywhere."""
+    root, _ = _tree_of_documents(spark, sf_dir)
+    known = tree_source.scan_tree(spark, root).selectExpr(
+        "path", "1 AS version", "mtime_ns", "'sha1' AS algorithm", "sha1(path) AS digest", "size", "dev", "inode", "ctime_ns"
+    )
+    state = trees.build_manifest(spark, root, cache=_stored(known), rehash=True)
+    entries = state.cache.selectExpr("path", "digest AS cached")
+    return state.manifest.join(entries, "path").select("path", "digest", "cached")
+
+
+def _commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three commits and what the ledger has of them."""
+    old, new = _tables(spark, sf_dir, i.PAIR, "old", "new")
+    base = new_shared_path(spark, "ledger")
+    for n, staged in enumerate((old, new, old)):
+        record.commit(spark, base, staged, f"Change {n}", when=86400 * n, tz_offset_min=-90)
+    commits = tables.read_commits(spark, base)
+    parents = commits.selectExpr("commit_id AS parent_id", "seq AS parent_seq")
+    named = commits.join(parents, "parent_id", "left").selectExpr("commit_id AS revision", "seq", "parent_seq", "message")
+    return tables.read_manifest(spark, base).join(F.broadcast(named), "revision").drop("revision")
+
+
+def _commit_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (commits,) = _tables(spark, sf_dir, i.CHAIN, "commits")
+    zoned = commits.withColumn("tz_offset_min", F.expr("CAST(seq % 1440 - 720 AS INT)"))
+    return history.with_times(zoned).selectExpr("seq", "local_time", "unix_micros(committed_at) AS micros")
+
+
+def _snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of all turns are stored, all vanish, and those of the users are stored again."""
+    (turns,) = _tables(spark, sf_dir, i.TURNS, "turns")
+    base = new_shared_path(spark, "ledger")
+    found = []
+    for part in (turns, turns.where("false"), turns.where("store = 'user'")):
+        tables.write_snapshots(part, base)
+        found.append(tables.read_snapshots(spark, base).agg(F.expr("count(1) AS kept_before")))
+    return tables.read_snapshots(spark, base).crossJoin(found[1])
+
+
+def _unreadable_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _tables(spark, sf_dir, i.BROKEN, "old", "new")
+    changed = compare.diff(old, new, copies=True, match_unreadable=False)
+    return changed.select("status", "old_path", "new_path", "old_digest", "new_digest")
+
+
+def _status_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (listing,) = _tables(spark, sf_dir, i.PATHS, "listing")
+    ignored = ignore.ignored_dirs(listing)
+    kept = ignore.prune_ignored(listing).select("path", "kind", "digest")
+    shown = statuses.status(kept, kept, kept, ignored=ignored, show_ignored=True)
+    return shown.select("section", "status", "status_name", "path")
+
+
+def _store_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's address in the forms that stores may and may not have."""
+    stores = i.spark_table(spark, sf_dir, i.ADDRESSES, "addresses")
+    return store_sources.check_stores(stores).select("store", "store_error")
 
 
 def _tree_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,6 +406,26 @@ def _restore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recover.restore(requests, target, first, manifests, one, stores, copies)
 
 
+def _restore_two_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is asked for at two revisions; the newer one is restored."""
+    (docs,) = _tables(spark, sf_dir, i.DOCS, "docs")
+    edited = docs.selectExpr("path", "concat(text, '!') AS text")
+    manifests = docs.selectExpr("path", "'blob' AS kind", "sha1(text) AS digest", "sha1('c0') AS revision").union(
+        edited.selectExpr("path", "'blob'", "sha1(text)", "sha1('c1')")
+    )
+    commits, stores, snapshots = _tables(spark, sf_dir, i.HISTORY, "commits", "stores", "snapshots")
+    two = snapshots.where("reference IN ('aux1/1', 'aux1/2')")
+    roots = {"aux1/1": _write_tree(docs), "aux1/2": _write_tree(edited)}
+    copies = spark.createDataFrame(list(roots.items()), "reference string, root string")
+    requests = docs.selectExpr("path", "explode(array('HEAD', 'HEAD~1')) AS ref")
+    target = mounted(new_shared_path(spark, "restored"))
+    done = recover.restore(
+        requests, target, commits.where("seq <= 1"), _stored(manifests, "revision"), two, stores, copies
+    )
+    there = trees.build_manifest(spark, target).manifest.select("path", "digest")
+    return done.join(there, "path").select("path", "ref", "outcome", "reference", "digest")
+
+
 def queries() -> dict[str, Query]:
     return {
         "diff": _diff,
@@ -373,4 +479,14 @@ def queries() -> dict[str, Query]:
         "classify_requests": _classify_requests,
         "tree_manifest": _tree_manifest,
         "restore_files": _restore_files,
+        "restore_two_refs": _restore_two_refs,
+        "scan_paths": _scan_paths,
+        "unreadable": _unreadable,
+        "rehash": _rehash,
+        "commit": _commit,
+        "commit_times": _commit_times,
+        "snapshot_table": _snapshot_table,
+        "unreadable_differ": _unreadable_differ,
+        "status_ignored": _status_ignored,
+        "store_outcomes": _store_outcomes,
     }

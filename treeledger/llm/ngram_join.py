@@ -9,8 +9,9 @@ share an n-gram among the first few of each (their prefixes). The steps:
 2. Each class hands out its prefix. An n-gram that only one class hands out goes.
 3. Each class is compared with one other class per n-gram. The links give first components, which
    settles large groups of copies with few comparisons.
-4. Pairs that share an n-gram but lie in different components are compared, unless the places of
-   the n-gram already tell that too little can be shared. So no link between components is lost.
+4. Pairs that share an n-gram but lie in different components are compared, unless the number of
+   n-grams in both prefixes already tells that too little can be shared. So no link between
+   components is lost.
 
 A comparison takes one set and puts its partners, in blocks of bounded size, into a prefix tree.
 The tree is traversed once: what sets share at their start is intersected once, and a subtree is
@@ -160,15 +161,15 @@ def _levels(described: DataFrame) -> np.ndarray:
 
 
 def _hand_out(rule: Shingles, levels):
-    """The prefix of each class: n-gram, class key, set size and place packed into one number."""
+    """The prefix of each class: n-gram, class key and set size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen, hashes = levels.value, set(), _WordHashes()
-        grams, keys, packed, held = [], [], [], 0
+        grams, keys, sizes, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in (grams, keys, packed)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "k1", "at"])
+            columns = [np.concatenate(c) for c in (grams, keys, sizes)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "k1", "n"])
 
         for batch in batches:
             for text in texts(batch.column(0)):
@@ -180,11 +181,11 @@ def _hand_out(rule: Shingles, levels):
                 first = in_order(found, level)[: rule.prefix(len(found))]
                 grams.append(first.astype(np.int64))
                 keys.append(np.full(len(first), key[0]))
-                packed.append((len(found) << 31) | np.arange(len(first)))
+                sizes.append(np.full(len(first), len(found)))
                 held += len(first)
             if held > _FLUSH:
                 yield flush()
-                grams, keys, packed, held = [], [], [], 0
+                grams, keys, sizes, held = [], [], [], 0
         if held:
             yield flush()
 
@@ -277,13 +278,18 @@ def _compare(rule: Shingles):
     return run
 
 
-def _ordered_sets(rule: Shingles, levels):
+def _sets_for_blocks(rule: Shingles, levels):
+    """The ordered set of each document, once for each block that it has to go to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            found = [in_order(shingle_hashes(t, rule.words, hashes), levels.value) for t in texts(batch.column(1))]
-            columns = [batch.column(0).cast(pa.int64()), pa.array([f.astype(">u8").tobytes() for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "grams"])
+            for text, places in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
+                found = in_order(shingle_hashes(text, rule.words, hashes), levels.value).astype(">u8").tobytes()
+                columns = [pa.array([p[name] for p in places], pa.int64()) for name in ("a", "block", "b")]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array([found] * len(places), pa.binary())], ["a", "block", "b", "grams"]
+                )
 
     return run
 
@@ -291,18 +297,16 @@ def _ordered_sets(rule: Shingles, levels):
 def _verify(pairs: DataFrame, docs: DataFrame, rule: Shingles, levels) -> DataFrame:
     """Which of the pairs (a, b, and the size of b's set) are linked."""
     pairs = stored(pairs, "pairs")
-    wanted = stored(pairs.selectExpr("explode(array(a, b)) AS doc_id").distinct(), "wanted")
-    sets = stored(
-        keyed_join(docs, wanted, ["doc_id"], "left_semi").mapInArrow(
-            _ordered_sets(rule, levels), "doc_id long, grams binary"
-        ),
-        "sets",
+    blocks = pairs.groupBy("a").agg(F.expr(f"1 + sum(n) DIV {TREE_SIZE} AS blocks"))
+    dealt = pairs.join(blocks, "a").selectExpr("a", "b", "CAST(pmod(xxhash64(b), blocks) AS LONG) AS block")
+    own = dealt.select("a", "block").distinct().selectExpr("a", "CAST(NULL AS LONG) AS b", "block")
+    places = (
+        dealt.select("a", "b", "block").union(own)
+        .groupBy(F.expr("coalesce(b, a) AS doc_id"))
+        .agg(F.expr("collect_list(struct(a, block, b)) AS places"))
     )
-    blocks = pairs.groupBy("a").agg(F.expr(f"CAST(1 + sum(n) DIV {TREE_SIZE} AS INT) AS blocks"))
-    dealt = pairs.join(blocks, "a").selectExpr("a", "b", "pmod(xxhash64(b), blocks) AS block")
-    partners = dealt.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "block", "b", "grams")
-    own = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a")
-    both = partners.unionByName(own.selectExpr("a", "block", "CAST(NULL AS LONG) AS b", "grams"))
+    sent = keyed_join(docs, stored(places, "places"), ["doc_id"]).select("text", "places")
+    both = sent.mapInArrow(_sets_for_blocks(rule, levels), "a long, block long, b long, grams binary")
     return stored(both.groupBy("a", "block").applyInPandas(_compare(rule), "a long, b long"), "verified")
 
 
@@ -322,23 +326,22 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
 
     # What two classes or more hand out.
     handed = stored(
-        docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_hand_out(rule, levels), "gram long, k1 long, at long"),
+        docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_hand_out(rule, levels), "gram long, k1 long, n long"),
         "handed",
     )
-    hubs = handed.groupBy("gram").agg(
-        F.expr("min(k1) AS hub"), F.expr("max(k1) AS top"), F.expr("min_by(at, k1) AS hub_at")
-    )
+    hubs = handed.groupBy("gram").agg(F.expr("min(k1) AS hub"), F.expr("max(k1) AS top"))
     met = stored(
         handed.join(hubs.where("hub < top").drop("top"), "gram").dropDuplicates(["gram", "k1"]), "met"
     )
     reps = classes.select("k1", "rep", "n")
 
     def named_pairs(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(reps.selectExpr("k1 AS x", "rep AS a"), "x")
+        """Pairs of class keys, with the n-grams that both hand out counted, as pairs that may be linked."""
+        left = pairs.join(reps.selectExpr("k1 AS x", "rep AS a", "n AS m"), "x")
         right = left.join(reps.selectExpr("k1 AS y", "rep AS b", "n"), "y").where("a <> b")
-        return right.selectExpr("a", "b", "n").distinct()
+        return right.where(_possible("m", "n", "both", rule)).select("a", "b", "n").distinct()
 
-    first = met.where(f"k1 <> hub AND {_possible('hub_at', 'at', rule)}").selectExpr("hub AS x", "k1 AS y").distinct()
+    first = met.where("k1 <> hub").groupBy(F.expr("hub AS x"), F.expr("k1 AS y")).agg(F.expr("count(1) AS both"))
     links = _verify(named_pairs(first), docs, rule, levels)
     # Rows that share a doc_id.
     several = named.groupBy("doc_id").agg(F.expr("count(1) AS c")).where("c > 1")
@@ -350,14 +353,18 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     labelled = reps.join(labels, reps["rep"] == labels["node"], "left").selectExpr(
         "k1", "coalesce(component, rep) AS label"
     )
-    placed = met.select("gram", "k1", "at").join(labelled.dropDuplicates(["k1"]), "k1")
+    placed = met.select("gram", "k1", "n").join(labelled.dropDuplicates(["k1"]), "k1")
     placed = stored(placed, "placed")
     mixed = placed.groupBy("gram").agg(F.expr("min(label) AS low"), F.expr("max(label) AS high")).where("low < high")
     open_ = stored(placed.join(mixed.select("gram"), "gram", "left_semi"), "open")
-    x = open_.selectExpr("gram", "k1 AS x", "at AS x_at", "label AS x_label")
-    y = open_.selectExpr("gram", "k1 AS y", "at AS y_at", "label AS y_label")
+    x = open_.selectExpr("gram", "k1 AS x", "n AS x_n", "label AS x_label")
+    y = open_.selectExpr("gram", "k1 AS y", "n AS y_n", "label AS y_label")
+    similar = f"least(x_n, y_n) * 100 >= greatest(x_n, y_n) * {percent}"
     second = (
-        x.join(y, "gram").where(f"x < y AND x_label <> y_label AND {_possible('x_at', 'y_at', rule)}").select("x", "y").distinct()
+        x.join(y, "gram")
+        .where(f"x < y AND x_label <> y_label AND {similar}")
+        .groupBy("x", "y")
+        .agg(F.expr("count(1) AS both"))
     )
     more = _verify(named_pairs(second), docs, rule, levels)
     if not more.isEmpty():
@@ -370,8 +377,10 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     return linked.unionByName(alone)
 
 
-def _possible(one: str, other: str, rule: Shingles) -> str:
-    """Whether two sets may be linked whose first shared n-gram has these sizes and places."""
-    sizes = f"(({one} >> 31) + ({other} >> 31))"
-    left = " , ".join(f"({x} >> 31) - ({x} & {(1 << 31) - 1})" for x in (one, other))
-    return f"least({left}) * {100 + rule.percent} >= {rule.percent} * {sizes}"
+def _possible(m: str, n: str, both: str, rule: Shingles) -> str:
+    """Whether sets of these sizes may be linked whose prefixes share so many n-grams.
+
+    Of the set whose prefix ends first in the common order, what else is shared lies behind its prefix.
+    """
+    behind = " , ".join(f"{size} - ({size} - (({rule.percent} * {size} + 99) DIV 100) + 1)" for size in (m, n))
+    return f"({both} + greatest({behind})) * {100 + rule.percent} >= {rule.percent} * ({m} + {n})"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from treeledger.schema import ALGORITHM, CACHE_VERSION, DIGEST_CACHE, LISTING, ZERO_DIGEST
 
 
-def _complete(df: DataFrame, schema) -> DataFrame:
+def complete(df: DataFrame, schema) -> DataFrame:
     """All columns of the schema; those that the table lacks are null."""
     have = set(df.columns)
     return df.select(
@@ -52,7 +52,7 @@ def probe_cache(listing: DataFrame, cache: DataFrame) -> DataFrame:
 
     An entry of the path that belongs to another file is ``replaced``.
     """
-    entry = _complete(cache, DIGEST_CACHE).selectExpr("path", "struct(*) AS _entry")
+    entry = complete(cache, DIGEST_CACHE).selectExpr("path", "struct(*) AS _entry")
     # Several paths may be one file; what was read last counts.
     by_file = (
         entry.where("_entry.dev IS NOT NULL AND _entry.inode IS NOT NULL")
@@ -105,7 +105,7 @@ def split_cached(
 
 def _entries(digests: DataFrame) -> DataFrame:
     wanted = {"version": f"{CACHE_VERSION}", "algorithm": f"'{ALGORITHM}'"}
-    found = _complete(digests, DIGEST_CACHE)
+    found = complete(digests, DIGEST_CACHE)
     return found.selectExpr(*[f"{wanted[n]} AS {n}" if n in wanted else n for n in DIGEST_CACHE.names])
 
 
@@ -122,7 +122,7 @@ def refresh_cache(
     gives the paths that were listed if not all were, and entries elsewhere stay.
     """
     fresh = _entries(digests.where(f"digest <> '{ZERO_DIGEST}'"))
-    known = _complete(cache, DIGEST_CACHE)
+    known = complete(cache, DIGEST_CACHE)
     if hits is None:
         stays = known.join(digests.select("path"), "path", "left_anti")
         return stays.select(*DIGEST_CACHE.names).unionByName(fresh)

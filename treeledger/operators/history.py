@@ -64,29 +64,39 @@ def decorate(commits: DataFrame, snapshots: DataFrame, stores: DataFrame) -> Dat
     return heads.unionByName(taken.select("commit_id", "seq", "ordinal", "reference"))
 
 
-def resolve_refs(refs: DataFrame, commits: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+# A name and the steps back from it: ``~n`` goes n commits back, ``^`` one, and they may be repeated.
+_STEPS = r"^(.*?)((?:~[0-9]*|\\^[0-9]*)*)$"
+
+
+def resolve_refs(
+    refs: DataFrame, commits: DataFrame, snapshots: DataFrame | None = None, branch: str = "master"
+) -> DataFrame:
     """The commit each name stands for; ``problem`` says so where there is none.
 
-    A snapshot's name comes first, then ``HEAD``, ``HEAD~n``, and a commit id or the start of one
-    that no other commit shares. Ids are cut to the lengths that occur among the names, of which
-    there are at most 37, so that prefixes are found by an ordinary join.
+    A snapshot's name comes first, then ``HEAD``, ``@`` and the branch, and a commit id or the start of
+    one that no other commit shares; steps back (``~n``, ``^``) may follow any of them. A commit has one
+    parent, so ``^2`` stands for nothing. Ids are cut to the lengths that occur among the names, of
+    which there are at most 37, so that prefixes are found by an ordinary join.
     """
-    asked = refs.select("ref").distinct()
-    if snapshots is None:
-        named = asked.selectExpr("ref", "ref AS _target")
-    else:
-        named = asked.join(
-            snapshots.selectExpr("reference AS ref", "base_commit_id AS _base"), "ref", "left"
-        ).selectExpr("ref", "coalesce(_base, ref) AS _target")
-
-    newest = named.withColumn("_head", head_seq(commits))
-    steps = r"regexp_extract(_target, '^HEAD(?:~([0-9]*))?$', 1)"
-    keyed = newest.selectExpr(
+    step = "CASE WHEN x IN ('~', '^', '^1') THEN 1L WHEN x = '^0' THEN 0L WHEN x LIKE '~%' THEN try_cast(substring(x, 2) AS bigint) END"
+    parsed = refs.select("ref").distinct().selectExpr(
+        "ref",
+        f"regexp_extract(ref, '{_STEPS}', 1) AS _base",
+        f"aggregate(regexp_extract_all(regexp_extract(ref, '{_STEPS}', 2), '[~^][0-9]*', 0), 0L, (a, x) -> a + {step}) AS _steps",
+    )
+    named = parsed.selectExpr("ref", "_base AS _target", "_steps")
+    if snapshots is not None:
+        taken = snapshots.select("reference", "base_commit_id")
+        named = (
+            parsed.join(taken.selectExpr("reference AS ref", "base_commit_id AS _whole"), "ref", "left")
+            .join(taken.selectExpr("reference AS _base", "base_commit_id AS _part"), "_base", "left")
+            .selectExpr("ref", "coalesce(_whole, _part, _base) AS _target", "if(_whole IS NULL, _steps, 0L) AS _steps")
+        )
+
+    keyed = named.withColumn("_head", head_seq(commits)).withColumn("_branch", F.lit(branch)).selectExpr(
         "ref",
-        rf"""CASE WHEN _target RLIKE '^HEAD(~[0-9]*)?$' THEN concat('@', _head -
-                 CASE WHEN {steps} <> '' THEN try_cast({steps} AS bigint)
-                      WHEN _target = 'HEAD~' THEN 1 ELSE 0 END)
-             ELSE lower(_target) END AS _key""",
+        "_steps",
+        "if(_target IN ('HEAD', '@', _branch), concat('@', _head), lower(_target)) AS _key",
     )
     lengths = (
         keyed.where(f"_key RLIKE '^[0-9a-f]{{{MIN_PREFIX},{_ID_LENGTH}}}$'")
@@ -96,24 +106,41 @@ def resolve_refs(refs: DataFrame, commits: DataFrame, snapshots: DataFrame | Non
     prefixes = (
         commits.select("commit_id", "seq")
         .withColumn("_lengths", lengths)
-        .selectExpr("commit_id", "seq", "explode(_lengths) AS _length")
-        .selectExpr("commit_id", "seq", "substring(commit_id, 1, _length) AS _key")
+        .selectExpr("seq", "explode(_lengths) AS _length", "commit_id")
+        .selectExpr("seq", "substring(commit_id, 1, _length) AS _key")
     )
-    places = commits.selectExpr("commit_id", "seq", "concat('@', seq) AS _key")
+    places = head_commit(commits).selectExpr("seq", "concat('@', seq) AS _key")
     found = (
         keyed.select("_key")
         .distinct()
         .join(prefixes.unionByName(places), "_key")
         .groupBy("_key")
-        .agg(F.expr("count(1) AS _n"), F.expr("min(struct(seq, commit_id)) AS _found"))
+        .agg(F.expr("count(1) AS _n"), F.expr("min(seq) AS _from"))
         .where("_n = 1")
+        .select("_key", "_from")
     )
     # Very many names may stand for one commit.
-    return spread_join(keyed, found, ["_key"], "left", ["ref"]).selectExpr(
+    based = spread_join(keyed, found, ["_key"], "left", ["ref"]).selectExpr("ref", "_from - _steps AS seq")
+    return based.join(commits.select("seq", "commit_id"), "seq", "left").selectExpr(
         "ref",
-        "_found.commit_id AS commit_id",
-        "_found.seq AS seq",
-        "if(_found IS NULL, 'bad revision', NULL) AS problem",
+        "commit_id",
+        "if(commit_id IS NULL, NULL, seq) AS seq",
+        "if(commit_id IS NULL, 'bad revision', NULL) AS problem",
+    )
+
+
+def with_times(commits: DataFrame) -> DataFrame:
+    """Commits with ``committed_at``, a timestamp, and ``local_time``, the clock where they were made."""
+    zone = "format_string('%s%02d:%02d', if(tz_offset_min < 0, '-', '+'), abs(tz_offset_min) DIV 60, abs(tz_offset_min) % 60)"
+    # The day and the seconds of the day are counted, so the session's zone plays no part.
+    moved = "(commit_time + 60L * tz_offset_min)"
+    day = f"date_format(date_add(DATE'1970-01-01', CAST(floor({moved} / 86400) AS INT)), 'yyyy-MM-dd')"
+    second = f"pmod({moved}, 86400L)"
+    clock = f"format_string('%02d:%02d:%02d', {second} DIV 3600, {second} DIV 60 % 60, {second} % 60)"
+    return commits.selectExpr(
+        "*",
+        "timestamp_seconds(commit_time) AS committed_at",
+        f"concat_ws(' ', {day}, {clock}, {zone}) AS local_time",
     )
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeledger.operators.cache import complete
 from treeledger.schema import COMMITS, DIGEST_CACHE, LINK_TARGETS, MANIFEST, SNAPSHOTS, STORED_MANIFEST
 
 
@@ -88,7 +89,8 @@ def read_snapshots(spark: SparkSession, base: str) -> DataFrame:
 
 
 def write_cache(cache: DataFrame, base: str) -> None:
-    _write_generation(cache, base, "digest_cache", DIGEST_CACHE)
+    """Store a cache; one that does not tell files apart, as from text entries, gets empty columns."""
+    _write_generation(complete(cache, DIGEST_CACHE), base, "digest_cache", DIGEST_CACHE)
 
 
 def read_cache(spark: SparkSession, base: str) -> DataFrame:
