@@ -60,8 +60,8 @@ def probe_cache(listing: DataFrame, cache: DataFrame) -> DataFrame:
         .agg(F.expr("max_by(_entry, struct(_entry.mtime_ns, _entry.path)) AS _of_file"))
     )
     lacking = [f for f in LISTING if f.name not in listing.columns]
-    complete = listing.withColumns({f.name: F.lit(None).cast(f.dataType) for f in lacking}) if lacking else listing
-    found = complete.join(entry.withColumnRenamed("_entry", "_of_path"), "path", "left").join(
+    whole = listing.withColumns({f.name: F.lit(None).cast(f.dataType) for f in lacking}) if lacking else listing
+    found = whole.join(entry.withColumnRenamed("_entry", "_of_path"), "path", "left").join(
         by_file, ["dev", "inode"], "left"
     )
     return (
