@@ -50,7 +50,7 @@ def test_cache_generations(spark, tmp_path):
     schema = "path string, version int, mtime_ns long, algorithm string, digest string"
     tables.write_cache(spark.createDataFrame([("a", 1, 1, "sha1", "x")], schema), base)
     cache = tables.read_cache(spark, base)
-    tables.write_cache(cache.union(spark.createDataFrame([("b", 1, 1, "sha1", "y")], schema)), base)
+    tables.write_cache(cache.unionByName(spark.createDataFrame([("b", 1, 1, "sha1", "y")], schema), True), base)
     assert rows_of(tables.read_cache(spark, base), "path") == [("a",), ("b",)]
 
 
