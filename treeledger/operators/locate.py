@@ -5,20 +5,24 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.paths import proper_ancestors
 from treeledger.operators.history import resolve_refs
-from treeledger.operators.spread import HOT_ROWS, lookup_join, spread_join
+from treeledger.operators.spread import HOT_ROWS, lookup_join, sample_rows, spread_join
 from treeledger.schema import BLOB, LINK
+from treeledger.session import stored
 
 
-def _with_commits(requests: DataFrame, commits: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Requests with the commit their ``ref`` stands for; many may name the same one."""
-    found = resolve_refs(requests, commits, snapshots)
-    return lookup_join(requests, found, ["ref"], "left", ["path"])
-
+def bind_requests(
+    requests: DataFrame, commits: DataFrame, manifests: DataFrame, snapshots: DataFrame
+) -> DataFrame:
+    """Requests with the commit their ``ref`` stands for and the entry their path has there.
 
-def _with_content(requests: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Requests with the entry their path has at their commit, NULL where there is none."""
+    A stored table: names are resolved once, whatever the requests go through afterwards.
+    """
+    asked = requests.select("path", "ref").distinct()
+    found = stored(resolve_refs(asked, commits, snapshots), "refs")
+    # Many requests may name the same commit.
+    named = lookup_join(asked, found, ["ref"], "left", ["path"])
     entries = manifests.selectExpr("revision AS commit_id", "path", "kind", "digest")
-    return requests.join(entries, ["commit_id", "path"], "left")
+    return stored(named.join(entries, ["commit_id", "path"], "left"), "requests")
 
 
 def locate(
@@ -29,6 +33,7 @@ def locate(
     stores: DataFrame,
     any_revision: bool = False,
     hot_rows: int = HOT_ROWS,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """One row per request and snapshot that holds the requested content.
 
@@ -37,25 +42,29 @@ def locate(
     it holds the content, else the first path that does, at any depth.
 
     Copies of one content are first reduced to one path per commit, so no request meets more rows
-    than there are commits with snapshots.
+    than there are commits with snapshots. ``bound`` gives what ``bind_requests`` found.
+
+    Large keys are looked for in the stored requests and manifests, not in what is derived from them.
     """
-    asked = requests.select("path", "ref").distinct()
-    wanted = (
-        _with_content(_with_commits(asked, commits, snapshots), manifests)
-        .where(f"kind = '{BLOB}'")
-        .select("path", "ref", "kind", "digest", F.col("seq").alias("_seq"))
+    if bound is None:
+        bound = bind_requests(requests, commits, manifests, snapshots)
+    wanted = bound.where(f"kind = '{BLOB}'").select(
+        "path", "ref", "kind", "digest", F.col("seq").alias("_seq")
     )
 
-    bases = (
+    bases = stored(
         snapshots.selectExpr("base_commit_id AS commit_id")
         .distinct()
-        .join(commits.select("commit_id", "seq"), "commit_id")
+        .join(commits.select("commit_id", "seq"), "commit_id"),
+        "bases",
     )
     rows = manifests.selectExpr("revision AS commit_id", "path", "kind", "digest")
     held = lookup_join(rows, bases, ["commit_id"], "inner", ["path"], hot_rows)
     contents = wanted.select("kind", "digest").distinct()
     first_paths = (
-        spread_join(held, contents, ["kind", "digest"], "left_semi", ["path"], hot_rows)
+        spread_join(
+            held, contents, ["kind", "digest"], "left_semi", ["path"], hot_rows, sample_rows(rows, ["path"], hot_rows)
+        )
         .groupBy("commit_id", "seq", "kind", "digest")
         .agg(F.expr("min(path) AS _first"))
     )
@@ -76,9 +85,12 @@ def locate(
         "coalesce(_in_place, false) AS same_path",
     )
 
-    sources = lookup_join(
-        snapshots, stores.select("store", "ordinal"), ["store"], "inner", ["reference"]
-    ).selectExpr("base_commit_id AS commit_id", "store", "snapshot_id", "reference", "ordinal")
+    sources = stored(
+        lookup_join(
+            snapshots, stores.select("store", "ordinal"), ["store"], "inner", ["reference"]
+        ).selectExpr("base_commit_id AS commit_id", "store", "snapshot_id", "reference", "ordinal"),
+        "sources",
+    )
     return lookup_join(placed, sources, ["commit_id"], "inner", ["path", "ref"], hot_rows)
 
 
@@ -108,24 +120,20 @@ def classify_requests(
     any_revision: bool = False,
     located: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """What will become of each request, as a word instead of an error.
 
-    ``existing`` lists paths that are in the working tree and will not be overwritten.
+    ``existing`` lists paths that are in the working tree and will not be overwritten. ``bound`` gives
+    what ``bind_requests`` found.
     """
+    entries = bind_requests(requests, commits, manifests, snapshots) if bound is None else bound
     if located is None:
         located = locate(
-            requests, commits, manifests, snapshots, stores, any_revision, hot_rows
+            requests, commits, manifests, snapshots, stores, any_revision, hot_rows, entries
         )
-    asked = requests.select("path", "ref").distinct()
-    entries = _with_content(_with_commits(asked, commits, snapshots), manifests)
-
-    revisions = (
-        resolve_refs(requests, commits, snapshots)
-        .where("commit_id IS NOT NULL")
-        .select("commit_id")
-        .distinct()
-    )
+    asked = requests.select("path").distinct()
+    revisions = entries.where("commit_id IS NOT NULL").select("commit_id").distinct()
     dirs = (
         lookup_join(
             manifests.selectExpr("revision AS commit_id", "path"),

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.operators.locate import classify_requests, locate, rank_candidates
+from treeledger.operators.locate import bind_requests, classify_requests, locate, rank_candidates
 from treeledger.operators.spread import HOT_ROWS, lookup_join
 from treeledger.session import new_shared_path
 from treeledger.sinks.restore import restore_files, restore_links
@@ -32,14 +32,15 @@ def restore(
     """
     spark = requests.sparkSession
     found = new_shared_path(spark, "located")
-    located = locate(requests, commits, manifests, snapshots, stores, any_revision, hot_rows)
+    bound = bind_requests(requests, commits, manifests, snapshots)
+    located = locate(requests, commits, manifests, snapshots, stores, any_revision, hot_rows, bound)
     ranked = rank_candidates(located, store)
     ranked.write.parquet(found)
     ranked = spark.read.schema(ranked.schema).parquet(found)
 
     outcomes = new_shared_path(spark, "outcomes")
     classified = classify_requests(
-        requests, commits, manifests, snapshots, stores, existing, store, any_revision, ranked, hot_rows
+        requests, commits, manifests, snapshots, stores, existing, store, any_revision, ranked, hot_rows, bound
     )
     by_seq = commits.selectExpr("commit_id", "seq AS _seq")
     served = "outcome IN ('ok', 'link')"

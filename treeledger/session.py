@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -34,6 +34,13 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder, so that what uses it several times computes it once."""
+    path = new_shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mounted(path: str) -> str:
     """The plain file system path of a folder that executors reach through a mount."""
     parsed = urlparse(path)
