@@ -10,8 +10,8 @@ share an n-gram among the first few of each (their prefixes). The steps:
 3. Each class is compared with one other class per n-gram. The links give first components, which
    settles large groups of copies with few comparisons.
 4. Pairs that share an n-gram but lie in different components are compared, unless the number of
-   n-grams in both prefixes already tells that too little can be shared. So no link between
-   components is lost.
+   n-grams in both prefixes, or the parities of the sets, already tell that too little can be
+   shared. So no link between components is lost.
 
 A comparison takes one set and puts its partners, in blocks of bounded size, into a prefix tree.
 The tree is traversed once: what sets share at their start is intersected once, and a subtree is
@@ -44,8 +44,12 @@ HASH_BITS = 58
 # Words a worker remembers the hashes of.
 _WORDS = 1 << 18
 # N-grams in one prefix tree, about.
-TREE_SIZE = 1 << 20
-# Prefix n-grams a task sorts at once, and pairs it holds at once.
+TREE_SIZE = 1 << 17
+# Numbers of 64 bits that hold the parities of a set's elements, dealt over as many bits by hash.
+PARITIES = 8
+# Documents whose places are broadcast, at most; a document has few places.
+BROADCAST_PLACES = 100_000
+# Prefix n-grams that a task hands out at once.
 _FLUSH = 1 << 21
 
 
@@ -98,34 +102,47 @@ def in_order(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((level << np.uint64(HASH_BITS)) | hashes)
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """Bit by bit, whether an odd number of elements fell there: sets differ by as many elements at least as bits."""
+    counts = np.bincount((hashes & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def _set_key(hashes: np.ndarray) -> tuple[int, int]:
     digest = xxhash.xxh3_128_digest(hashes.tobytes())
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
+_PARITY_NAMES = [f"s{i}" for i in range(PARITIES)]
+
+
 def _describe(rule: Shingles):
     """Size and key of each text's set; and, per task, the sketch of the classes it saw."""
-    names = ["doc_id", "n", "k1", "k2", "piece", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["doc_id", "n", "k1", "k2", "piece", "counts", *_PARITY_NAMES]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * PARITIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen, hashes = np.zeros(1 << SKETCH_BITS, np.uint32), set(), _WordHashes()
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, odd = [], [], []
             for text in texts(batch.column(1)):
                 found = shingle_hashes(text, rule.words, hashes)
                 key = _set_key(found)
                 sizes.append(len(found))
                 keys.append(key)
+                odd.append(parities(found))
                 if key not in seen:
                     seen.add(key)
                     np.add.at(sketch, (found >> np.uint64(HASH_BITS - SKETCH_BITS)).astype(np.int64), 1)
             empty = [None] * len(sizes)
-            columns = [batch.column(0).cast(pa.int64()), sizes, [k[0] for k in keys], [k[1] for k in keys], empty, empty]
+            if not keys:
+                continue
+            columns = [batch.column(0).cast(pa.int64()), sizes, [k[0] for k in keys], [k[1] for k in keys], empty, empty, *zip(*odd)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
         if seen:
+            # As the last rows: what this task counted.
             for piece, counts in enumerate(sketch.reshape(-1, _PIECE)):
-                columns = [[None]] * 4 + [[piece], [counts.tobytes()]]
+                columns = [[None]] * 4 + [[piece], [counts.tobytes()]] + [[None]] * PARITIES
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return run
@@ -305,7 +322,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, rule: Shingles, levels) -> DataFr
         .groupBy(F.expr("coalesce(b, a) AS doc_id"))
         .agg(F.expr("collect_list(struct(a, block, b)) AS places"))
     )
-    sent = keyed_join(docs, stored(places, "places"), ["doc_id"]).select("text", "places")
+    sent = keyed_join(docs, stored(places, "places"), ["doc_id"], most=BROADCAST_PLACES).select("text", "places")
     both = sent.mapInArrow(_sets_for_blocks(rule, levels), "a long, block long, b long, grams binary")
     return stored(both.groupBy("a", "block").applyInPandas(_compare(rule), "a long, b long"), "verified")
 
@@ -317,11 +334,16 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     rule = Shingles(words, percent)
     docs = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
     described = stored(
-        docs.mapInArrow(_describe(rule), "doc_id long, n long, k1 long, k2 long, piece int, counts binary"), "described"
+        docs.mapInArrow(
+            _describe(rule),
+            "doc_id long, n long, k1 long, k2 long, piece int, counts binary, "
+            + ", ".join(f"{name} long" for name in _PARITY_NAMES),
+        ),
+        "described",
     )
-    rows = described.where("piece IS NULL").select("doc_id", "n", "k1", "k2")
+    rows = described.where("piece IS NULL").drop("piece", "counts")
     named = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(named.groupBy("k1", "k2").agg(F.expr("min(doc_id) AS rep"), F.expr("min(n) AS n")), "classes")
+    classes = stored(named.groupBy("k1", "k2").agg(*[F.expr(f"min({c}) AS {name}") for c, name in (("doc_id", "rep"), ("n", "n"), *zip(_PARITY_NAMES, _PARITY_NAMES))]), "classes")
     levels = spark.sparkContext.broadcast(_levels(described))
 
     # What two classes or more hand out.
@@ -329,19 +351,29 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
         docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_hand_out(rule, levels), "gram long, k1 long, n long"),
         "handed",
     )
-    hubs = handed.groupBy("gram").agg(F.expr("min(k1) AS hub"), F.expr("max(k1) AS top"))
+    ends = handed.groupBy("gram").agg(F.expr("min(k1) AS low"), F.expr("max(k1) AS high"))
     met = stored(
-        handed.join(hubs.where("hub < top").drop("top"), "gram").dropDuplicates(["gram", "k1"]), "met"
+        handed.join(ends.where("low < high").select("gram"), "gram").dropDuplicates(["gram", "k1"]), "met"
     )
-    reps = classes.select("k1", "rep", "n")
+    reps = classes.select("k1", "rep", "n", *_PARITY_NAMES)
 
     def named_pairs(pairs: DataFrame) -> DataFrame:
         """Pairs of class keys, with the n-grams that both hand out counted, as pairs that may be linked."""
-        left = pairs.join(reps.selectExpr("k1 AS x", "rep AS a", "n AS m"), "x")
-        right = left.join(reps.selectExpr("k1 AS y", "rep AS b", "n"), "y").where("a <> b")
-        return right.where(_possible("m", "n", "both", rule)).select("a", "b", "n").distinct()
-
-    first = met.where("k1 <> hub").groupBy(F.expr("hub AS x"), F.expr("k1 AS y")).agg(F.expr("count(1) AS both"))
+        left = pairs.join(_side(reps.withColumnsRenamed({"k1": "x", "rep": "a"}), "x"), "x")
+        right = left.join(_side(reps.withColumnsRenamed({"k1": "y", "rep": "b"}), "y"), "y").where("a <> b")
+        near = right.where(_possible("x_n", "y_n", "both", rule)).where(_near_parities(rule))
+        return near.selectExpr("a", "b", "y_n AS n").distinct()
+
+    # The one class that all others of an n-gram are compared with: that which shares most of its prefix,
+    # as the text does that the others were copied from.
+    shared = met.groupBy("k1").agg(F.expr(f"(count(1) * 1000 DIV {_prefix('min(n)', rule)} << 40) + pmod(k1, 1L << 40) AS rank"))
+    ranked = met.join(shared, "k1")
+    hubs = ranked.groupBy("gram").agg(F.expr("max_by(k1, rank) AS hub"))
+    first = (
+        ranked.join(hubs, "gram").where("k1 <> hub")
+        .groupBy(F.expr("hub AS x"), F.expr("k1 AS y"))
+        .agg(F.expr("count(1) AS both"))
+    )
     links = _verify(named_pairs(first), docs, rule, levels)
     # Rows that share a doc_id.
     several = named.groupBy("doc_id").agg(F.expr("count(1) AS c")).where("c > 1")
@@ -351,18 +383,17 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
 
     # What lies in different components and could still be linked.
     labelled = reps.join(labels, reps["rep"] == labels["node"], "left").selectExpr(
-        "k1", "coalesce(component, rep) AS label"
+        "k1", "n", *_PARITY_NAMES, "coalesce(component, rep) AS label"
     )
-    placed = met.select("gram", "k1", "n").join(labelled.dropDuplicates(["k1"]), "k1")
-    placed = stored(placed, "placed")
+    placed = stored(met.select("gram", "k1").join(labelled.select("k1", "label").dropDuplicates(["k1"]), "k1"), "placed")
     mixed = placed.groupBy("gram").agg(F.expr("min(label) AS low"), F.expr("max(label) AS high")).where("low < high")
-    open_ = stored(placed.join(mixed.select("gram"), "gram", "left_semi"), "open")
-    x = open_.selectExpr("gram", "k1 AS x", "n AS x_n", "label AS x_label")
-    y = open_.selectExpr("gram", "k1 AS y", "n AS y_n", "label AS y_label")
+    open_ = placed.join(mixed.select("gram"), "gram", "left_semi").select("gram", "k1")
+    open_ = stored(open_.join(labelled.dropDuplicates(["k1"]), "k1"), "open")
+    x, y = (_side(open_.withColumnRenamed("k1", side), side) for side in ("x", "y"))
     similar = f"least(x_n, y_n) * 100 >= greatest(x_n, y_n) * {percent}"
     second = (
         x.join(y, "gram")
-        .where(f"x < y AND x_label <> y_label AND {similar}")
+        .where(f"x < y AND x_label <> y_label AND {similar} AND {_near_parities(rule)}")
         .groupBy("x", "y")
         .agg(F.expr("count(1) AS both"))
     )
@@ -377,10 +408,26 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     return linked.unionByName(alone)
 
 
+def _side(df: DataFrame, name: str) -> DataFrame:
+    """A side of a join, with its size, label and parities named after it."""
+    own = [c for c in df.columns if c in ("n", "label", *_PARITY_NAMES)]
+    return df.withColumnsRenamed({c: f"{name}_{c}" for c in own})
+
+
+def _near_parities(rule: Shingles) -> str:
+    """Whether the sets differ in no more elements than linked ones may, as far as the parities tell."""
+    differ = " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in _PARITY_NAMES)
+    return f"(x_n + y_n - ({differ})) * {100 + rule.percent} >= {2 * rule.percent} * (x_n + y_n)"
+
+
+def _prefix(n: str, rule: Shingles) -> str:
+    return f"({n} - ({rule.percent} * {n} + 99) DIV 100 + 1)"
+
+
 def _possible(m: str, n: str, both: str, rule: Shingles) -> str:
     """Whether sets of these sizes may be linked whose prefixes share so many n-grams.
 
     Of the set whose prefix ends first in the common order, what else is shared lies behind its prefix.
     """
-    behind = " , ".join(f"{size} - ({size} - (({rule.percent} * {size} + 99) DIV 100) + 1)" for size in (m, n))
-    return f"({both} + greatest({behind})) * {100 + rule.percent} >= {rule.percent} * ({m} + {n})"
+    behind = " , ".join(f"{size} - {_prefix(size, rule)}" for size in (m, n))
+    return f"least({m}, {n}, {both} + greatest({behind})) * {100 + rule.percent} >= {rule.percent} * ({m} + {n})"

@@ -69,8 +69,10 @@ def with_column_from_text(
     return df.mapInArrow(add, schema)
 
 
-def keyed_join(left: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+def keyed_join(
+    left: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "inner", most: int = BROADCAST_ROWS
+) -> DataFrame:
     """Join with a stored table of keys: broadcast if it was counted and is small, else by shuffle."""
-    if keys.count() <= BROADCAST_ROWS:
+    if keys.count() <= most:
         keys = F.broadcast(keys)
     return left.join(keys, list(on), how)
