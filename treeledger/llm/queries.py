@@ -146,7 +146,7 @@ WITH RECURSIVE words AS (
   FROM documents),
 sets AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 2)),
-         i -> array_to_string(w[i:i + 3], ' '))) END AS s
+         lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
   FROM words),
 grams AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM sets),
 shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
@@ -162,9 +162,9 @@ _VECTORS = (
     """
 WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 usable AS MATERIALIZED (
-  SELECT *, sqrt(list_sum(list_transform(e, x -> x * x))) AS length FROM v
-  WHERE label IS NOT NULL AND len(e) > 0 AND NOT list_contains(list_transform(e, x -> x IS NULL OR NOT isfinite(x)), true)
-    AND list_contains(list_transform(e, x -> x <> 0), true)),
+  SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS length FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND NOT list_contains(list_transform(e, lambda x: x IS NULL OR NOT isfinite(x)), true)
+    AND list_contains(list_transform(e, lambda x: x <> 0), true)),
 links AS MATERIALIZED (
   SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id
   WHERE list_dot_product(x.e, y.e) / (x.length * y.length) >= 0.93),
