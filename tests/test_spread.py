@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from treeledger.operators.compare import compare, detect_renames, diff
-from treeledger.operators.spread import MAX_HOT_KEYS, hot_keys, lookup_join, rank_in_groups, sample_rows, spread_join
+from treeledger.operators import spread
+from treeledger.operators.spread import hot_keys, lookup_join, rank_in_groups, sample_rows, spread_join
 
 
 @pytest.fixture(scope="module")
@@ -33,9 +34,13 @@ def test_no_task_numbers_a_whole_crowded_group(crowded):
     assert pieces["hot"] > 50
 
 
-def test_hot_keys_are_few(spark):
+def test_hot_keys_follow_the_sample(spark, monkeypatch):
     many = spark.range(200_000).selectExpr("cast(id % 4000 AS string) AS k", "cast(id AS string) AS p")
-    assert hot_keys(many, ["k"]).count() == MAX_HOT_KEYS
+    assert hot_keys(many, ["k"]).count() == 4000
+    few = many.where("k < '2'")
+    assert rows_of(rank_in_groups(few, ["k"], "p", "n", hot_rows=32)) == rows_of(rank_in_groups(few, ["k"], "p", "n"))
+    monkeypatch.setattr(spread, "MAX_HOT_KEYS", 1000)
+    assert hot_keys(many, ["k"]).count() == 1000
     assert hot_keys(many.limit(0), ["k"]) is None
 
 

@@ -20,12 +20,13 @@ from pyspark.sql import types as T
 HOT_ROWS = 1_000_000
 # Sampled rows by which such a key is recognised.
 _SEEN = 32
-# Keys that are split at most. Any further key holds less than 1/1024 of the rows.
-MAX_HOT_KEYS = 1024
-# Pieces of all split keys together, but for one per key.
-MAX_PIECES = 8192
+# Keys that are split at most. Any further key holds less than 1/100,000 of the rows.
+MAX_HOT_KEYS = 100_000
+# Pieces of all split keys together, but for one per key; up to 5 * 10^11 rows of large keys a piece
+# has HOT_ROWS / 2 rows.
+MAX_PIECES = 1_000_000
 # Points, and groups of points, that one row of a large key is compared with: a root of the above.
-MAX_GROUP = 127
+MAX_GROUP = 1023
 # A table of at most this size is sent to all executors instead of shuffling its partner.
 MAX_LOOKUP_ROWS = 100_000
 MAX_LOOKUP_BYTES = 64 << 20
