@@ -464,15 +464,31 @@ def test_automaton_equals_edit_distance():
     for word in [make() for _ in range(1500)] + terms + ["abcazzz", "ddc"]:
         near = [e for t in terms if (e := edits(word, t)) <= toxicity.edits_allowed(t, False)]
         wanted = min(near) if near else 3 if word.startswith(tuple(stems)) else -1
-        assert automaton.match(word) == wanted, word
+        assert automaton.match(word)[0] == wanted, word
+
+
+def test_unseen_misspellings_count(spark, toxic_docs):
+    """Learned from texts that are spelled well, misspelled ones are found."""
+    docs, labels = toxic_docs
+    spelled = docs.where("NOT text RLIKE 'x'")
+    model = toxicity.fit(spelled, labels)
+    rows = [(1, "lmnors pejoxativ lmnors rstuvl"), (2, "dreadfuIword tuvlmn"), (3, "lmnors rstuvl"), (4, "insultamt rstuvl lmnors")]
+    found = by_id(toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model, "s"), "s")
+    assert [found[i][0] >= 0.5 for i in (1, 2, 3, 4)] == [True, True, False, True]
+
+
+def test_terms_that_words_look_like_are_exact():
+    automaton = toxicity.LexiconAutomaton([("trash", False), ("idiots", False)], frozenset({"trash"}))
+    assert [automaton.match(w)[0] for w in ("tresh", "trash", "idiotz")] == [-1, 0, 1]
+    assert automaton.near("idiotz") == ["idiots"] and automaton.near("idiots") == []
 
 
 def test_quotation_differs_from_abuse():
     matches = toxicity.Matches(toxicity.LexiconAutomaton([("worthless", False)]))
     plain_hit = toxicity.hit_features("you are worthlesss and more".encode(), matches)
     quoted = toxicity.hit_features('he wrote "you are worthless" in a letter'.encode(), matches)
-    assert plain_hit[1] > 0 and plain_hit[5] > 0 and plain_hit[4] == 0
-    assert quoted[4] > 0 and not quoted[:4].any() and quoted[5] == 0
+    assert plain_hit[0] > 0 and plain_hit[2] == 1 and plain_hit[5] > 0 and plain_hit[4] == 0
+    assert quoted[4] > 0 and not quoted[:4].any() and quoted[5] == 0 and quoted[6] == 0
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,8 @@ Levenshtein automata, intersected with that trie: a state is a set of (trie node
 states are built when they are first reached. The number of edits that a term allows follows from
 its length. Around each hit a window is looked at: inside quotation marks or after a word of
 reporting, a hit counts as quotation; near a word of address it counts as aimed at someone. The
-counted hits by kind and context are the features of a logistic model.
+counted hits by kind and context are the features of a logistic model. A misspelled hit counts like any
+other unless the labels say otherwise; terms that ordinary words look like are taken as they are.
 
 Nulls and empty texts have no hits and get the score of a text without hits. Labels that are null
 are not learned from. Without usable labels the lexicon is empty and every score is 0. Repeated rows
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.llm.shared import free_name, prepare, stored, texts, with_column_from_text
+from treeledger.llm.sql_text import let
 
 # Labelled texts that the lexicon and the model are learned from, at most: those first in hash order.
 TRAINING_ROWS = 20_000
 # Terms of the lexicon, at most: those with the strongest evidence.
 LEXICON_TERMS = 4096
-# A term occurs in so many toxic texts at least, and so many times more often there than elsewhere.
-SUPPORT, RATIO = 4, 20.0
+# A word, or a beginning of words, occurs in so many toxic texts at least, and so many times more often
+# there than elsewhere.
+SUPPORT, STEM_SUPPORT, RATIO = 4, 12, 20.0
 # Lengths of the beginnings of words that may be terms.
 STEMS = (4, 5, 6)
 # Words before and after a hit that make up its context.
@@ -54,14 +57,21 @@ def edits_allowed(term: str, stem: bool) -> int:
 class LexiconAutomaton:
     """The Levenshtein automata of all terms, run together along the trie of the terms."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        """``terms``: each a word (False), or the beginning of words (True)."""
+    def __init__(
+        self,
+        terms: list[tuple[str, bool]],
+        exact: frozenset[str] = frozenset(),
+        evidence: list[float] | None = None,
+    ):
+        """``terms``: each a word (False), or the beginning of words (True). ``exact`` ones allow no edit."""
+        self.evidence: dict[tuple[int, bool], float] = {}
         self.children: list[dict[str, int]] = [{}]
         self.word_edits = [-1]  # edits allowed for the word that ends at the node, or -1
         self.stem_ends = [False]
+        self.words: dict[int, str] = {}
         self.most = [0]  # edits allowed anywhere below
-        for term, stem in terms:
-            node, allowed = 0, edits_allowed(term, stem)
+        for term_number, (term, stem) in enumerate(terms):
+            node, allowed = 0, 0 if term in exact else edits_allowed(term, stem)
             self.most[0] = max(self.most[0], allowed)
             for letter in term:
                 if letter not in self.children[node]:
@@ -72,10 +82,12 @@ class LexiconAutomaton:
                     self.most.append(0)
                 node = self.children[node][letter]
                 self.most[node] = max(self.most[node], allowed)
+            self.evidence[node, stem] = evidence[term_number] if evidence else 1.0
             if stem:
                 self.stem_ends[node] = True
             else:
                 self.word_edits[node] = allowed
+                self.words[node] = term
         self._reset()
 
     def _reset(self) -> None:
@@ -117,43 +129,61 @@ class LexiconAutomaton:
         self.moves[state][letter] = number
         return number
 
-    def match(self, word: str) -> int:
-        """0, 1, 2: edits to the nearest term; 3: the word begins with a term; -1: neither."""
-        if len(self.states) > _KEPT:
-            self._reset()
+    def _run(self, word: str) -> int:
         state = self.start
         for letter in word:
             following = self.moves[state].get(letter)
             state = self._move(state, letter) if following is None else following
             if state < 0:
                 break
+        return state
+
+    def near(self, word: str) -> list[str]:
+        """The terms that the word is a misspelling of, other than itself."""
+        state = self._run(word)
+        if state < 0:
+            return []
+        return [self.words[n] for n, e in self.states[state] if n in self.words and 0 < e <= self.word_edits[n]]
+
+    def match(self, word: str) -> tuple[int, float]:
+        """What the word is, and the evidence of the strongest term that makes it so.
+
+        0, 1, 2: edits to the nearest term; 3: the word begins with a term; -1: neither.
+        """
+        if len(self.states) > _KEPT:
+            self._reset()
+        state = self._run(word)
         if state >= 0 and self.accepts[state] >= 0:
-            return self.accepts[state]
-        node = 0
+            edits = self.accepts[state]
+            ends = [self.evidence[n, False] for n, e in self.states[state] if e == edits and e <= self.word_edits[n]]
+            return edits, max(ends)
+        node, found = 0, 0.0
         for letter in word:
             node = self.children[node].get(letter, -1)
             if node < 0:
-                return -1
+                break
             if self.stem_ends[node]:
-                return 3
-        return -1
+                found = max(found, self.evidence[node, True])
+        return (3, found) if found else (-1, 0.0)
 
 
 class Matches(dict):
-    """What each word matches; kept for the words a worker has met lately."""
+    """What each word matches, None for most; kept for the words a worker has met lately."""
 
     def __init__(self, automaton: LexiconAutomaton):
         super().__init__()
         self.automaton = automaton
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, float] | None:
         if len(self) >= _KEPT:
             self.clear()
-        found = self[word] = self.automaton.match(word)
+        kind, evidence = self.automaton.match(word)
+        found = self[word] = None if kind < 0 else (kind, evidence)
         return found
 
 
-# Plain hits with 0, 1, 2 edits and by beginning; quoted hits; aimed hits; any hit; hits per word.
+# Strongest evidence of a plain hit; number of plain hits; whether all are misspelled, or beginnings;
+# quoted hits; aimed hits; any plain hit; plain hits per word.
 N_FEATURES = 8
 
 
@@ -162,10 +192,11 @@ def hit_features(text: bytes, matches: Matches) -> np.ndarray:
     features = np.zeros(N_FEATURES)
     lowered = text.decode("utf-8", "replace").lower()
     words = _WORD.findall(lowered)
-    hits = [i for i, word in enumerate(words) if matches[word] >= 0]
+    hits = [i for i, word in enumerate(words) if matches[word] is not None]
     if not hits:
         return features
     starts = [m.start() for m in _WORD.finditer(lowered)]
+    kinds = set()
     for i in hits:
         near = words[max(0, i - WINDOW) : i + WINDOW + 1]
         before = lowered[starts[max(0, i - WINDOW)] : starts[i]]
@@ -173,24 +204,35 @@ def hit_features(text: bytes, matches: Matches) -> np.ndarray:
         marked = (before.count('"') % 2 == 1 and '"' in after) or (
             any(mark in before for mark in _OPEN) and any(mark in after for mark in _CLOSE)
         )
+        kind, evidence = matches[words[i]]
         if marked or REPORTING.intersection(near):
             features[4] += 1
         else:
-            features[matches[words[i]]] += 1
+            features[0] = max(features[0], evidence)
+            features[1] += 1
+            kinds.add(kind)
             features[5] += bool(ADDRESS.intersection(near))
-    features[7] = len(hits) / len(words)
-    features[:6] = np.log1p(features[:6])
-    features[6] = 1.0
+    features[7] = features[1] / len(words)
+    features[6] = features[1] > 0
+    features[2] = bool(kinds) and kinds <= {1, 2}
+    features[3] = kinds == {3}
+    for i in (1, 4, 5):
+        features[i] = np.log1p(features[i])
     return features
 
 
 class ToxicityModel(NamedTuple):
     terms: list[tuple[str, bool]]
     weights: list[float]  # of the features, and the constant
+    exact: frozenset[str] = frozenset()  # terms whose misspellings are ordinary words
+    evidence: tuple[float, ...] = ()  # of each term: the logarithm of how much likelier toxic texts have it
+
+    def automaton(self) -> LexiconAutomaton:
+        return LexiconAutomaton(self.terms, self.exact, list(self.evidence))
 
     def scorer(self):
         """A function from texts to scores, for one worker."""
-        matches = Matches(LexiconAutomaton(self.terms))
+        matches = Matches(self.automaton())
         weights = np.array(self.weights)
 
         def score(found: list[bytes]) -> np.ndarray:
@@ -257,7 +299,16 @@ def _text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> ToxicityModel:
     """Learn lexicon and weights from at most TRAINING_ROWS labelled rows."""
     prepare(docs.sparkSession)
-    rows = stored(training_rows(docs, labels, "toxic", held_out), "training")
+    rows = training_rows(docs, labels, "toxic", held_out)
+    # Of texts with the same least hash of three words one counts: copies would make all their words terms.
+    least = let(
+        "words",
+        "split(lower(text), '\\\\s+')",
+        "array_min(transform(slice(words, 1, greatest(size(words) - 2, 1)),"
+        " (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2))))",
+    )
+    rows = rows.groupBy(F.expr(f"{least} AS least")).agg(F.expr("min(struct(text, label)) AS kept"))
+    rows = stored(rows.select("kept.text", "kept.label"), "training")
     counts = rows.agg(F.expr("count(1)"), F.expr("coalesce(sum(label), 0)")).first()
     total, bad = counts[0], counts[1]
     if not bad or bad == total:
@@ -267,22 +318,43 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> ToxicityMo
     )
     ratio = f"((toxic + 0.5) / {bad + 1}) / ((n - toxic + 0.5) / {total - bad + 1})"
     found = (
-        counted.where(f"toxic >= {SUPPORT} AND {ratio} >= {RATIO}")
+        counted.where(f"toxic >= if(term LIKE '%*', {STEM_SUPPORT}, {SUPPORT}) AND {ratio} >= {RATIO}")
         .orderBy(F.expr(f"-toxic * ln({ratio})"), "term")
         .limit(LEXICON_TERMS)
-        .select("term")
+        .selectExpr("term", "toxic", f"ln({ratio}) AS evidence")
         .collect()
     )
     terms = [(row.term.rstrip("*"), row.term.endswith("*")) for row in found]
-    model = ToxicityModel(terms, [0.0] * (N_FEATURES + 1))
-    features = rows.mapInArrow(_featurize(terms), "label int, features array<double>").toPandas()
+    # A term that ordinary words look like allows no edit.
+    ordinary = counted.where("term NOT LIKE '%*' AND n > toxic").mapInArrow(_near_terms(terms), "term string, n long")
+    seen = {row.term: row.n for row in ordinary.groupBy("term").agg(F.expr("sum(n) AS n")).collect()}
+    toxic = {row.term: row.toxic for row in found}
+    exact = frozenset(term for term, n in seen.items() if n * RATIO > toxic[term])
+    model = ToxicityModel(terms, [0.0] * (N_FEATURES + 1), exact, tuple(row.evidence for row in found))
+    features = rows.mapInArrow(_featurize(model), "label int, features array<double>").toPandas()
     weights = fit_logistic(np.array(features["features"].tolist()).reshape(-1, N_FEATURES), features["label"].to_numpy(float))
     return model._replace(weights=[float(w) for w in weights])
 
 
-def _featurize(terms: list[tuple[str, bool]]):
+def _near_terms(terms: list[tuple[str, bool]]):
+    """How many ordinary texts have words that look like each term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, found = LexiconAutomaton(terms), Counter()
+        for batch in batches:
+            for word, n, toxic in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for term in automaton.near(word):
+                    found[term] += n - toxic
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"]
+        )
+
+    return run
+
+
+def _featurize(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches = Matches(LexiconAutomaton(terms))
+        matches = Matches(model.automaton())
         for batch in batches:
             rows = [hit_features(text, matches).tolist() for text in texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
