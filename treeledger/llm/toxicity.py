@@ -324,6 +324,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> ToxicityMo
         .selectExpr("term", "toxic", f"ln({ratio}) AS evidence")
         .collect()
     )
+    # A beginning that one word explains says nothing about others.
+    whole = [(row.term, row.toxic) for row in found if not row.term.endswith("*")]
+    explained = lambda stem: any(w.startswith(stem.term[:-1]) and n >= 0.8 * stem.toxic for w, n in whole)
+    found = [row for row in found if not (row.term.endswith("*") and explained(row))]
     terms = [(row.term.rstrip("*"), row.term.endswith("*")) for row in found]
     # A term that ordinary words look like allows no edit.
     ordinary = counted.where("term NOT LIKE '%*' AND n > toxic").mapInArrow(_near_terms(terms), "term string, n long")
