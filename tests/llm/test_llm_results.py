@@ -225,6 +225,24 @@ def test_random_strings(spark):
     assert sum(bool(found[i][0]) for i in range(60, 120)) == 0
 
 
+def test_random_strings_after_equals_and_of_one_kind(spark):
+    """An equals sign may stand before or behind a random string, and letters or digits may be all it has."""
+    rng = np.random.default_rng(3)
+    make = lambda letters, n=40: "".join(rng.choice(list(letters), n))
+    upper, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    both = upper + upper.lower()
+    secret = [make(both + digit) for _ in range(20)] + [make(both) for _ in range(20)] + [make(digit, 22) for _ in range(20)]
+    ways = ["AWS_SECRET_ACCESS_KEY={}", "see https://x.example/a?sig={}&b=1", "{}=value", "a {}== z"]
+    ordinary = ["?path=section/about/the/lines/and/more/lines/in/the/end", "n=" + "0" * 22, "z" * 60]
+    rows = [(i, ways[i % 4].format(t)) for i, t in enumerate(secret)]
+    rows += [(60 + i, ordinary[i % 3]) for i in range(60)]
+    found = by_id(secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")), "spans")
+    for kind in range(3):
+        hit = [i for i in range(20 * kind, 20 * kind + 20) if any(rows[i][1][x.s : x.e].rstrip("=") == secret[i] for x in found[i][0])]
+        assert len(hit) >= 17, kind
+    assert sum(bool(found[i][0]) for i in range(60, 120)) == 0
+
+
 def test_redaction(spark, hard, empty):
     rows = {r.doc_id: r for r in secret_scan.redact(hard).collect()}
     assert secret_scan.redact(hard).schema.names == hard.columns and rows[0].text is None

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on strings that look encoded.
 
 Fixed patterns give the base spans, which always stay. Further candidates are strings of at least
-MIN_LENGTH letters of an encoding that mix letters and digits. The encoding is inferred from the letters: decimal,
+MIN_LENGTH letters of an encoding, after an equals sign too. The encoding is inferred from the letters: decimal,
 hexadecimal, base 32 or base 64. Under the hypothesis that a candidate is random in its encoding
 three tests are made: chi-squared for equal shares of the alphabet's letters, the number of runs
 above and below the middle of the alphabet, and the serial correlation of neighbours. Their squared
@@ -30,7 +30,8 @@ ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[
 _ASSIGN_HEAD = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}+"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+# Equals signs are padding only where nothing of the encoding follows; before a string they assign it.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 MIN_LENGTH = 20
 ALPHA = 0.05
 # P-values are counted in steps of this factor.
@@ -103,9 +104,8 @@ def _scanned(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", f"{clean('text')} AS t", *keep)
     kept = [name.rpartition(" AS ")[2] for name in keep]
     plain = "x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e)"
-    mixed = "x.m RLIKE '[0-9]' AND x.m RLIKE '[A-Za-z]'"
     long_runs = matches("t", CANDIDATE, "random", "t RLIKE '[A-Za-z0-9+/_-]{20}'")
-    free = f"filter({long_runs}, x -> {mixed} AND NOT exists(base, b -> x.s < b.e AND b.s < x.e))"
+    free = f"filter({long_runs}, x -> NOT exists(base, b -> x.s < b.e AND b.s < x.e))"
     tested = f"transform({free}, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'p', {p_random('x.m')}))"
     based = rows.selectExpr("doc_id", "t", f"{base_spans('t')} AS base", *kept)
     return based.selectExpr("doc_id", f"transform(base, {plain}) AS base", f"{tested} AS tested", *kept)
