@@ -432,6 +432,18 @@ def test_token_files(spark, hard, sample, tokenizer, monkeypatch):
         assert not found
 
 
+def test_capitals_are_composed_before_they_are_lowered(tokenizer):
+    """Of some letters only the small one has a composed form: the ids are those of the capital and its mark."""
+    from treeledger.llm.word_ids import WordEncoder
+
+    encode, _ = tokenizer("word_bpe_49k.json")
+    marks = [chr(c) for c in range(0x300, 0x339)]
+    rows = [f"{chr(letter)}{mark}A x" for letter in range(65, 91) for mark in marks]
+    rows += ["aJ\u0323\u030cB, J\u030c. ", "Ünï GRÖSSE USA\u2019s ÀÉ", "T\u0308 <|ENDOFTEXT|> H\u0331", "W\u030a", "", "Y\u030a"]
+    found = WordEncoder(queries.tokenizer_path("word_bpe_49k.json")).encode([row.encode() for row in rows])
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in found] == [list(encode(row)) for row in rows]
+
+
 def test_token_files_empty(empty):
     assert pfor.round_trip(empty, queries.tokenizer_path("word_bpe_49k.json")).collect() == []
 

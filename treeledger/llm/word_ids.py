@@ -26,6 +26,23 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 # Small letters of one byte, and those of two that neither case nor composition changes.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _FACTOR = 0x9E3779B97F4A7C15
+# No character with a lower first byte is a mark that a letter before it could be composed with.
+_LEAST_MARK = 0xC4
+
+
+def _capitals_kept(texts: bytes, lowered: bytes) -> bytes:
+    """The lowered texts, but with those of A-Z kept that marks may follow.
+
+    The library composes before it lowers, and some small letters have composed forms that their capitals lack.
+    """
+    data = np.frombuffer(texts, np.uint8)
+    before = np.flatnonzero(data[1:] >= _LEAST_MARK)
+    kept = before[(data[before] >= 65) & (data[before] <= 90)]
+    if not len(kept):
+        return lowered
+    found = np.frombuffer(lowered, np.uint8).copy()
+    found[kept] = data[kept]
+    return found.tobytes()
 
 
 class WordEncoder:
@@ -96,6 +113,8 @@ class WordEncoder:
         lowered = [text.lower() for text in texts]
         lowered = [text if b"|>" in low else low for text, low in zip(texts, lowered)]
         joined = b"\n".join(lowered)
+        if not joined.isascii():
+            joined = _capitals_kept(b"\n".join(texts), joined)
         data = np.frombuffer(joined + b"\n", np.uint8)
         if len(data) == 1:
             return [b""] * len(texts)
