@@ -129,6 +129,40 @@ def test_many_near_copies(spark):
     assert found == plain.ngram_components(rows, 4, 85)
 
 
+def test_sets_are_sent_in_bounded_batches():
+    """A document with many places sends its set in several batches, however many places one row holds."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rule, levels = ngram_join.Shingles(), SimpleNamespace(value=np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8))
+    text = " ".join(f"w{i}" for i in range(20_000))
+    places = [{"a": 1, "block": i, "b": None} for i in range(600)]
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("block", pa.int64()), ("b", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([text.encode()]), pa.array([places], kind)], ["text", "places"])
+    sent = list(ngram_join._sets_for_blocks(rule, levels)(iter([batch])))
+    assert max(b.nbytes for b in sent) < 40 << 20
+    assert [x for b in sent for x in b.column(1).to_pylist()] == list(range(600))
+    assert {len(x) for b in sent for x in b.column(3).to_pylist()} == {8 * 19_996}
+
+
+def test_many_places(spark, monkeypatch):
+    """Places dealt over rows and trees of few sets give the same components."""
+    for name, value in (("PLACES", 3), ("TREE_SIZE", 100), ("LARGE_TREE", 300)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(60):
+        words = [f"v{j}" for j in range(150)]
+        for place in rng.choice(150, int(rng.integers(1, 5)), replace=False):
+            words[place] = f"x{i}-{place}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"z{i}-{j}" for j in range(30))) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = by_id(ngram_join.ngram_components(df), "n_shingles", "component_id")
+    assert found == plain.ngram_components(rows, 5, 80)
+
+
 def test_prefix_tree():
     rng = np.random.default_rng(1)
     rule = ngram_join.Shingles(4, 85)

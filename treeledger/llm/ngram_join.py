@@ -43,12 +43,15 @@ _PIECE = 1 << 14
 HASH_BITS = 58
 # Words a worker remembers the hashes of.
 _WORDS = 1 << 18
-# N-grams in one prefix tree, about.
-TREE_SIZE = 1 << 17
+# N-grams in one prefix tree, about; of large sets as many as TREE_SETS of them have, up to LARGE_TREE.
+TREE_SIZE, TREE_SETS, LARGE_TREE = 1 << 17, 4, 1 << 22
 # Numbers of 64 bits that hold the parities of a set's elements, dealt over as many bits by hash.
 PARITIES = 8
-# Documents whose places are broadcast, at most; a document has few places.
+# Places of a document in one row, about, and rows of places that are broadcast, at most; most documents have few places.
+PLACES = 512
 BROADCAST_PLACES = 100_000
+# Bytes of sets that are sent to blocks at once, unless a single set has more.
+SENT_BYTES = 1 << 25
 # Prefix n-grams that a task hands out at once.
 _FLUSH = 1 << 21
 
@@ -303,10 +306,13 @@ def _sets_for_blocks(rule: Shingles, levels):
         for batch in batches:
             for text, places in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
                 found = in_order(shingle_hashes(text, rule.words, hashes), levels.value).astype(">u8").tobytes()
-                columns = [pa.array([p[name] for p in places], pa.int64()) for name in ("a", "block", "b")]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array([found] * len(places), pa.binary())], ["a", "block", "b", "grams"]
-                )
+                step = max(1, SENT_BYTES // max(1, len(found)))
+                for first in range(0, len(places), step):
+                    some = places[first : first + step]
+                    columns = [pa.array([p[name] for p in some], pa.int64()) for name in ("a", "block", "b")]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array([found] * len(some), pa.binary())], ["a", "block", "b", "grams"]
+                    )
 
     return run
 
@@ -314,13 +320,19 @@ def _sets_for_blocks(rule: Shingles, levels):
 def _verify(pairs: DataFrame, docs: DataFrame, rule: Shingles, levels) -> DataFrame:
     """Which of the pairs (a, b, and the size of b's set) are linked."""
     pairs = stored(pairs, "pairs")
-    blocks = pairs.groupBy("a").agg(F.expr(f"1 + sum(n) DIV {TREE_SIZE} AS blocks"))
+    # A set is repeated for each block of its partners, so large sets get few large blocks.
+    most = f"greatest({TREE_SIZE}, least({TREE_SETS} * max(n), {LARGE_TREE}))"
+    blocks = pairs.groupBy("a").agg(F.expr(f"1 + sum(n) DIV {most} AS blocks"))
     dealt = pairs.join(blocks, "a").selectExpr("a", "b", "CAST(pmod(xxhash64(b), blocks) AS LONG) AS block")
     own = dealt.select("a", "block").distinct().selectExpr("a", "CAST(NULL AS LONG) AS b", "block")
+    every = stored(dealt.select("a", "b", "block").union(own).selectExpr("coalesce(b, a) AS doc_id", "a", "block", "b"), "every")
+    many = every.groupBy("doc_id").agg(F.expr(f"1 + count(1) DIV {PLACES} AS parts")).where("parts > 1")
+    part = "if(parts IS NULL, 0L, pmod(xxhash64(a, block), parts)) AS part"
     places = (
-        dealt.select("a", "b", "block").union(own)
-        .groupBy(F.expr("coalesce(b, a) AS doc_id"))
+        keyed_join(every, stored(many, "many"), ["doc_id"], "left")
+        .groupBy("doc_id", F.expr(part))
         .agg(F.expr("collect_list(struct(a, block, b)) AS places"))
+        .drop("part")
     )
     sent = keyed_join(docs, stored(places, "places"), ["doc_id"], most=BROADCAST_PLACES).select("text", "places")
     both = sent.mapInArrow(_sets_for_blocks(rule, levels), "a long, block long, b long, grams binary")
