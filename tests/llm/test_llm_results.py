@@ -351,6 +351,24 @@ def test_moved_passage_lowers_likeness(spark):
     assert near["same"] == 1 and near["moved"] < 0.75 < near["edited"]
 
 
+def test_insertion_in_a_text_without_blanks(spark):
+    """One character put in front of a long run changes few symbols, in every script."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for name, first, last in (("cjk", 0x4E00, 0x9FA5), ("base64", 0x41, 0x5B), ("emoji", 0x1F300, 0x1F5FF)):
+        text = "".join(map(chr, rng.integers(first, last, 4000)))
+        other = "".join(map(chr, rng.integers(first, last, 4000)))
+        rows.append((name, text, chr(first) + text, other, f"some words {text[:17]} and more"))
+    df = spark.createDataFrame(rows, "k string, a string, b string, c string, d string").selectExpr(
+        "k", *[f"{order_minhash.signature(x)} AS {x}" for x in "abc"], f"{order_minhash.symbols('d')} AS words", "d"
+    )
+    found = df.selectExpr("*", f"{order_minhash.likeness('a', 'b')} AS near", f"{order_minhash.likeness('a', 'c')} AS far").collect()
+    for row in found:
+        assert row.near > 0.9 and row.far < 0.1, row.k
+        run = row.d.split(" ")[2]
+        assert row.words == ["some", "words", *[run[i : i + 8] for i in range(10)], "and", "more"]
+
+
 def test_fingerprints_single_and_empty(spark, empty):
     one = spark.createDataFrame([(4, "a few words here")], "doc_id long, text string")
     row = order_minhash.compare_with_edit(one).first()

@@ -1,14 +1,15 @@
 """Document fingerprints: Order MinHash.
 
-Symbols of a text are its runs of at most 16 characters without white space. K symbols in a row form
-a k-mer; equal k-mers of a text are numbered in their order, so a repeated one counts as often as it
-occurs. The hashes of the numbered k-mers are dealt over BUCKETS buckets by their lowest bits, which
-take the place of as many permutations. In each bucket the two least are selected, put back into
-the order in which they stand in the text, and hashed as a tuple. Moving a passage keeps the k-mers
-and changes tuples, so the likeness follows edits and not only shared content. The likeness of two
-fingerprints is the share of equal tuples among the buckets that either of them fills.
-
-Everything is SQL. A text's work grows with its length times its logarithm.
+Symbols of a text are its runs of at most 16 characters without white space. A longer run (of a
+script without blanks, or encoded) gives its WIDE characters from each place on, so that a character
+put in changes the symbols around it only. K symbols in a row form a k-mer; equal k-mers of a text
+are numbered in their order, so a repeated one counts as often as it occurs. The hashes of the
+numbered k-mers are dealt over BUCKETS buckets by their lowest bits, which take the place of as many
+permutations. In each bucket the two least are selected, put back into the order in which they stand
+in the text, and hashed as a tuple. Moving a passage keeps the k-mers and changes tuples, so the
+likeness follows edits and not only shared content. The likeness of two fingerprints is the share of
+equal tuples among the buckets that either of them fills. Everything is SQL. A text's work grows
+with its length times its logarithm.
 
 Nulls and empty texts, and texts of white space, have the empty fingerprint; two empty ones are
 alike (1), an empty and a filled one are not (0). Rows without doc_id come first in the order of
@@ -27,7 +28,8 @@ BUCKETS = 64
 # Documents in a range of ids that is sorted at once, about.
 RANGE_ROWS = 1024
 
-_SYMBOLS = r"regexp_extract_all({text}, '\\S{{1,16}}', 0)"
+# Runs up to SHORT characters are symbols; a longer one has one of WIDE characters at each place.
+SHORT, WIDE = 16, 8
 # Bits that tell the bucket.
 _LOW = BUCKETS - 1
 
@@ -39,6 +41,14 @@ def _first_place(hashes: str, value: str) -> str:
         (at, step) -> if(get({hashes}, CAST(least(at + step - 1, 2147483646) AS INT)) < {value}, at + step, at))"""
 
 
+def symbols(text: str) -> str:
+    """SQL for the symbols of a text, in their order."""
+    runs = rf"regexp_extract_all({text}, '\\S+', 0)"
+    wide = rf"regexp_extract_all(r, '(?=(\\S{{{WIDE}}}))\\S', 1)"
+    # Most texts have no long run.
+    return rf"if({text} RLIKE '\\S{{{SHORT + 1}}}', flatten(transform({runs}, r -> if(length(r) <= {SHORT}, array(r), {wide}))), {runs})"
+
+
 def signature(text: str) -> str:
     """SQL for the tuples' hashes, an array with one number for each bucket that has any."""
     kmers = f"transform(slice(words, 1, greatest(size(words) - {K - 1}, 1)), (w, i) -> xxhash64(w, " + ", ".join(
@@ -66,7 +76,7 @@ def signature(text: str) -> str:
         ELSE (xxhash64(get(least2, t + 1).h, x.h) & {~_LOW}L) | x.b END), x -> x IS NOT NULL)"""
     return let(
         "words",
-        _SYMBOLS.format(text=text),
+        symbols(text),
         let("kmers", kmers, let("dealt", dealt, let("least2", two_least, tuples))),
     )
 
