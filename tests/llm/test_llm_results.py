@@ -565,6 +565,19 @@ def test_terms_that_words_look_like_are_exact():
     assert automaton.near("idiotz") == ["idiots"] and automaton.near("idiots") == []
 
 
+def test_digits_and_marks_for_letters():
+    """A term whose letters are replaced by digits or marks is a misspelled one, wherever it stands."""
+    terms = ["idiot", "moron", "stupid", "trash", "worthless"]
+    matches = toxicity.Matches(toxicity.LexiconAutomaton([(t, False) for t in terms]))
+    for word in ("idi0t", "m0ron", "stup1d", "tr@sh", "Tr@sh!", "w0rthl3ss", "w*rthl$ss", "you-id1ot", "stup-id", "1diot,", "id.iot", "st_upid"):
+        found = toxicity.hit_features(f"an {word} of 2 kinds".encode(), matches)
+        assert found[6] == 1 and found[1] == np.log1p(1) and found[2] == 1, word
+    for word in ("m0r0n", "a5c1d07e", "he.is", "3.14", "x" * 500 + "1d", "st--up--id", "mo ron", "0x1d10t99", "www.mor.example"):
+        assert not toxicity.hit_features(f"an {word} of 2 kinds".encode(), matches).any(), word
+    long = "1,a-" * 100_000 + "idi0t"
+    assert toxicity.hit_features(long.encode(), matches)[6] == 1
+
+
 def test_quotation_differs_from_abuse():
     matches = toxicity.Matches(toxicity.LexiconAutomaton([("worthless", False)]))
     plain_hit = toxicity.hit_features("you are worthlesss and more".encode(), matches)

@@ -4,7 +4,7 @@ The lexicon is learned from labelled texts: words, and beginnings of words, that
 and others do not. Its terms form a trie. A word of a text runs through the union of the terms'
 Levenshtein automata, intersected with that trie: a state is a set of (trie node, edits so far), and
 states are built when they are first reached. The number of edits that a term allows follows from
-its length. Around each hit a window is looked at: inside quotation marks or after a word of
+its length. Digits and marks between letters are taken for letters too, each an edit ("idi0t", "tr@sh"). Around each hit a window is looked at: inside quotation marks or after a word of
 reporting, a hit counts as quotation; near a word of address it counts as aimed at someone. The
 counted hits by kind and context are the features of a logistic model. A misspelled hit counts like any
 other unless the labels say otherwise; terms that ordinary words look like are taken as they are.
@@ -15,6 +15,7 @@ are scored each by itself; all other columns pass through untouched, whatever th
 """
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -44,6 +45,11 @@ REPORTING = frozenset("said says wrote writes quoted quote called dijo dice escr
 ADDRESS = frozenset("you your youre ur u tú usted eres du dich dein ihr tu vous toi ton".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
+# Words with digits and marks between letters: letters and digits in a row, joined by one or two marks.
+_PIECE = re.compile(r"[^\W_]+")
+_MARKS = re.compile(r"(?:[^\w\s]|_){1,2}")
+# Edits at most, and so digits and marks in a misspelled term at most; letters of such a word at most.
+_MOST_EDITS, _MOST_LETTERS = 2, 48
 _OPEN, _CLOSE = "“„«‘", "”»’"
 # Words with their matches, and states, that a worker keeps.
 _KEPT = 1 << 18
@@ -173,6 +179,7 @@ class Matches(dict):
     def __init__(self, automaton: LexiconAutomaton):
         super().__init__()
         self.automaton = automaton
+        self.masked = MaskedWords(self)
 
     def __missing__(self, word: str) -> tuple[int, float] | None:
         if len(self) >= _KEPT:
@@ -182,6 +189,53 @@ class Matches(dict):
         return found
 
 
+def masked_hits(text: str, matches: Matches) -> list[tuple[int, int, tuple[int, float]]]:
+    """Begin, end and match of each word that only its digits and marks, taken for letters, make a misspelled term.
+
+    Each digit or mark is an edit, so words with more of them than edits are not looked at.
+    """
+    found, last = [], 0
+    pieces = [m.span() for m in _PIECE.finditer(text)]
+    for i, (begin, end) in enumerate(pieces):
+        if begin < last:
+            continue
+        for j in range(i, min(i + _MOST_EDITS + 1, len(pieces))):
+            if j > i and not _MARKS.fullmatch(text, pieces[j - 1][1], pieces[j][0]):
+                break
+            end = pieces[j][1]
+            if end - begin > _MOST_LETTERS:
+                break
+            word = text[begin:end]
+            letters = _WORD.findall(word)
+            others = len(word) - sum(map(len, letters))
+            if others > _MOST_EDITS:
+                break
+            if not others or not letters or any(matches[part] is not None for part in letters):
+                continue
+            match = matches[word]
+            if match is not None and match[0] in (1, 2):
+                found.append((begin, end, match))
+                last = end
+                break
+    return found
+
+
+class MaskedWords(dict):
+    """Whether text without white space has masked hits; kept for what a worker has met lately."""
+
+    def __init__(self, matches: Matches):
+        super().__init__()
+        self.matches = matches
+
+    def __missing__(self, token: str) -> bool:
+        found = not token.isalpha() and bool(masked_hits(token, self.matches))
+        if len(token) <= 2 * _MOST_LETTERS:
+            if len(self) >= _KEPT:
+                self.clear()
+            self[token] = found
+        return found
+
+
 # Strongest evidence of a plain hit; number of plain hits; whether all are misspelled, or beginnings;
 # quoted hits; aimed hits; any plain hit; plain hits per word.
 N_FEATURES = 8
@@ -192,19 +246,23 @@ def hit_features(text: bytes, matches: Matches) -> np.ndarray:
     features = np.zeros(N_FEATURES)
     lowered = text.decode("utf-8", "replace").lower()
     words = _WORD.findall(lowered)
-    hits = [i for i, word in enumerate(words) if matches[word] is not None]
-    if not hits:
+    hits = {i: (len(word), matches[word]) for i, word in enumerate(words) if matches[word] is not None}
+    masked = matches.masked
+    any_masked = any([masked[token] for token in lowered.split()])
+    if not hits and not any_masked:
         return features
     starts = [m.start() for m in _WORD.finditer(lowered)]
+    if any_masked:
+        for begin, end, match in masked_hits(lowered, matches):
+            hits[bisect_left(starts, begin)] = (end - begin, match)
     kinds = set()
-    for i in hits:
+    for i, (length, (kind, evidence)) in sorted(hits.items()):
         near = words[max(0, i - WINDOW) : i + WINDOW + 1]
         before = lowered[starts[max(0, i - WINDOW)] : starts[i]]
-        after = lowered[starts[i] + len(words[i]) : starts[min(len(words) - 1, i + WINDOW)]]
+        after = lowered[starts[i] + length : starts[min(len(words) - 1, i + WINDOW)]]
         marked = (before.count('"') % 2 == 1 and '"' in after) or (
             any(mark in before for mark in _OPEN) and any(mark in after for mark in _CLOSE)
         )
-        kind, evidence = matches[words[i]]
         if marked or REPORTING.intersection(near):
             features[4] += 1
         else:
