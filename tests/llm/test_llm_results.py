@@ -586,6 +586,16 @@ def test_quotation_differs_from_abuse():
     assert quoted[4] > 0 and not quoted[:4].any() and quoted[5] == 0 and quoted[6] == 0
 
 
+def test_quotation_is_that_of_the_whole_text():
+    matches = toxicity.Matches(toxicity.LexiconAutomaton([("worthless", False)]))
+    many = "one two three four five six seven eight nine ten " * 2
+    for text in ('a "{0} worthless {0}" b', "a “{0} worthless {0}” b", "a „{0} worthless {0}“ b", "a « {0} don’t worthless {0}» b"):
+        assert toxicity.hit_features(text.format(many).encode(), matches)[4] > 0, text
+    for text in ('a "{0}" a worthless one and "{0}" b', 'of 5" a worthless one of 6" b', 'a "{0} worthless {0}', 'a "{0} worthless "{0}" b'):
+        found = toxicity.hit_features(text.format(many).encode(), matches)
+        assert found[4] == 0 and found[6] == 1, text
+
+
 @pytest.fixture(scope="module")
 def toxic_docs(spark):
     """Texts of two languages, a third of them toxic, with unseen misspellings in those held out."""

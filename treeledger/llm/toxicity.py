@@ -4,8 +4,8 @@ The lexicon is learned from labelled texts: words, and beginnings of words, that
 and others do not. Its terms form a trie. A word of a text runs through the union of the terms'
 Levenshtein automata, intersected with that trie: a state is a set of (trie node, edits so far), and
 states are built when they are first reached. The number of edits that a term allows follows from
-its length. Digits and marks between letters are taken for letters too, each an edit ("idi0t", "tr@sh"). Around each hit a window is looked at: inside quotation marks or after a word of
-reporting, a hit counts as quotation; near a word of address it counts as aimed at someone. The
+its length. Digits and marks between letters are taken for letters too, each an edit ("idi0t", "tr@sh"). Inside quotation marks (of the
+whole text), or with a word of reporting in the window around it, a hit counts as quotation; near a word of address it counts as aimed at someone. The
 counted hits by kind and context are the features of a logistic model. A misspelled hit counts like any
 other unless the labels say otherwise; terms that ordinary words look like are taken as they are.
 
@@ -50,7 +50,9 @@ _PIECE = re.compile(r"[^\W_]+")
 _MARKS = re.compile(r"(?:[^\w\s]|_){1,2}")
 # Edits at most, and so digits and marks in a misspelled term at most; letters of such a word at most.
 _MOST_EDITS, _MOST_LETTERS = 2, 48
-_OPEN, _CLOSE = "“„«‘", "”»’"
+# Quotation marks and what closes them.
+_CLOSES = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
+_QUOTES = re.compile('["“„«‘”»’]')
 # Words with their matches, and states, that a worker keeps.
 _KEPT = 1 << 18
 
@@ -236,6 +238,26 @@ class MaskedWords(dict):
         return found
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where quotations begin and end, in one pass over all marks; what is never closed is no quotation."""
+    found, begin, opened = [], -1, ""
+    for m in _QUOTES.finditer(text):
+        at, mark = m.start(), m[0]
+        before, after = text[max(0, at - 1) : at], text[at + 1 : at + 2]
+        if mark == "’" and before.isalnum() and after.isalnum():
+            continue
+        # A straight mark in front of a word begins anew: the one before was never closed.
+        anew = mark == opened == '"' and (not before or before.isspace()) and after.isalnum()
+        if begin >= 0 and mark in _CLOSES[opened] and not anew:
+            found.append((begin, at))
+            begin, opened = -1, ""
+        elif anew or mark in _CLOSES and (begin < 0 or mark == opened):
+            # Behind a number or a word a straight mark opens nothing.
+            if anew or mark != '"' or not (before.isascii() and before.isalnum()):
+                begin, opened = at, mark
+    return found
+
+
 # Strongest evidence of a plain hit; number of plain hits; whether all are misspelled, or beginnings;
 # quoted hits; aimed hits; any plain hit; plain hits per word.
 N_FEATURES = 8
@@ -246,23 +268,22 @@ def hit_features(text: bytes, matches: Matches) -> np.ndarray:
     features = np.zeros(N_FEATURES)
     lowered = text.decode("utf-8", "replace").lower()
     words = _WORD.findall(lowered)
-    hits = {i: (len(word), matches[word]) for i, word in enumerate(words) if matches[word] is not None}
+    hits = {i: matches[word] for i, word in enumerate(words) if matches[word] is not None}
     masked = matches.masked
     any_masked = any([masked[token] for token in lowered.split()])
     if not hits and not any_masked:
         return features
     starts = [m.start() for m in _WORD.finditer(lowered)]
     if any_masked:
-        for begin, end, match in masked_hits(lowered, matches):
-            hits[bisect_left(starts, begin)] = (end - begin, match)
+        for begin, _, match in masked_hits(lowered, matches):
+            hits[bisect_left(starts, begin)] = match
+    quoted = quotations(lowered)
+    begins = [begin for begin, _ in quoted]
     kinds = set()
-    for i, (length, (kind, evidence)) in sorted(hits.items()):
+    for i, (kind, evidence) in sorted(hits.items()):
         near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-        before = lowered[starts[max(0, i - WINDOW)] : starts[i]]
-        after = lowered[starts[i] + length : starts[min(len(words) - 1, i + WINDOW)]]
-        marked = (before.count('"') % 2 == 1 and '"' in after) or (
-            any(mark in before for mark in _OPEN) and any(mark in after for mark in _CLOSE)
-        )
+        quote = bisect_left(begins, starts[i]) - 1
+        marked = quote >= 0 and starts[i] < quoted[quote][1]
         if marked or REPORTING.intersection(near):
             features[4] += 1
         else:
