@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from treeledger.llm import (
     bpe,
     embedding_join,
+    external_shuffle,
     ngram_join,
     order_minhash,
     packing,
     pfor,
     pii,
+    pivotal_grams,
     quality,
     secret_scan,
     toxicity,
+    whitening,
 )
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -43,6 +46,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(_LABELS).parquet(f"{sf_dir}/labels.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "vec_id long, embedding array<float>, label int"
+    return spark.read.schema(schema).parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, labels(spark, sf_dir))
@@ -76,8 +84,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "vec_id long, embedding array<float>, label int"
-    return embedding_join.near_vectors(spark.read.schema(schema).parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+    return embedding_join.near_vectors(embeddings(spark, sf_dir), 0.93)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +114,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotal_grams.spelling_groups(documents(spark, sf_dir))
+
+
+def op12_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return external_shuffle.shard_documents(documents(spark, sf_dir), shards=8)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,6 +144,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bpe,
         op9_order_minhash,
         op10_token_files,
+        op11_pivotal_grams,
+        op12_external_shuffle,
+        op13_whitening,
         pipeline,
     ]
     return {f.__name__: f for f in found}
