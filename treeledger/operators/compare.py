@@ -33,12 +33,19 @@ def compare(
     unreadable files are equal unless ``match_unreadable`` is off.
     """
     known = "true" if match_unreadable else f"NOT new_digest <=> '{ZERO_DIGEST}'"
-    other_kind = "array('T')" if typechange else "array('D', 'A')"
-    return (
+    sides = (
         _side(old, scope, "old")
         .join(_side(new, scope, "new"), [*scope, "path"], "full_outer")
         .where(f"NOT (old_kind <=> new_kind AND old_digest <=> new_digest AND {known})")
-        .selectExpr(
+    )
+    return delta_of_sides(sides, scope, typechange)
+
+
+def delta_of_sides(sides: DataFrame, scope: Sequence[str] = (), typechange: bool = False) -> DataFrame:
+    """The changes that rows stand for which differ: path, old_kind, old_digest, new_kind, new_digest."""
+    other_kind = "array('T')" if typechange else "array('D', 'A')"
+    return (
+        sides.selectExpr(
             "*",
             f"""explode(CASE WHEN old_kind IS NULL THEN array('A')
                              WHEN new_kind IS NULL THEN array('D')

@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.operators.compare import diff
-from treeledger.operators.spread import HOT_ROWS, lookup_join, spread_join
+from treeledger.operators.compare import delta_of_sides, detect_renames
+from treeledger.operators.intervals import changes_of_manifests
+from treeledger.operators.spread import HOT_ROWS, lookup_join, sample_rows, spread_join
 
 # Fixed value: the fewest digits by which a commit id may be abbreviated.
 MIN_PREFIX = 4
@@ -37,16 +38,32 @@ def log(
 ) -> DataFrame:
     """The changes of every commit against its parent, up to the given commit, as one job.
 
-    Each manifest row serves its own commit as the new state and the next one as the old state.
-    Renames are looked for within each commit.
+    Manifests are shuffled once, by path, where each row meets its neighbours in the history. Renames
+    are looked for within each commit. A history that is kept as change sets goes to ``log_of_changes``.
     """
-    chain = ancestors(commits, commit_id)
-    rows = manifests.select("revision", "path", "kind", "digest")
-    own = chain.selectExpr("commit_id AS revision", "commit_id", "seq")
-    child = chain.where("parent_id IS NOT NULL").selectExpr("parent_id AS revision", "commit_id", "seq")
-    new = lookup_join(rows, own, ["revision"], "inner", ["path"], hot_rows).drop("revision")
-    old = lookup_join(rows, child, ["revision"], "inner", ["path"], hot_rows).drop("revision")
-    return diff(old, new, scope=["seq", "commit_id"], limit=limit, hot_rows=hot_rows)
+    wanted = ancestors(commits, commit_id)
+    parts = [changes_of_manifests(wanted, rows, hot_rows) for rows in (manifests, sample_rows(manifests, ["path"], hot_rows))]
+    return log_of_changes(wanted, parts[0], limit=limit, hot_rows=hot_rows, sample=parts[1])
+
+
+def log_of_changes(
+    commits: DataFrame,
+    changes: DataFrame,
+    commit_id: str | None = None,
+    limit: int | None = None,
+    hot_rows: int = HOT_ROWS,
+    sample: DataFrame | None = None,
+) -> DataFrame:
+    """The same from change sets: what is read and shuffled is what changed. ``sample`` may give some of the paths."""
+    wanted = ancestors(commits, commit_id).select("seq", "commit_id")
+    scope = ["seq", "commit_id"]
+    if sample is None:
+        sample = sample_rows(changes, ["path"], hot_rows)
+    deltas = []
+    for part in (changes, sample):
+        sides = part.selectExpr("seq", "path", "old_kind", "old_digest", "kind AS new_kind", "digest AS new_digest")
+        deltas.append(delta_of_sides(lookup_join(sides, wanted, ["seq"], "inner", ["path"], hot_rows), scope))
+    return detect_renames(deltas[0], scope, limit, sample=deltas[1], hot_rows=hot_rows)
 
 
 def decorate(commits: DataFrame, snapshots: DataFrame, stores: DataFrame) -> DataFrame:

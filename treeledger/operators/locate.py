@@ -5,10 +5,14 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.paths import proper_ancestors
 from treeledger.operators.history import resolve_refs
+from treeledger.operators.intervals import intervals_of_manifests, last_marked
 from treeledger.operators.spread import HOT_ROWS, lookup_join, sample_rows, spread_join
 from treeledger.schema import BLOB, LINK
 from treeledger.session import stored
 
+# Depths of unknown paths that are told apart, at most.
+_MAX_DEPTHS = 64
+
 
 def bind_requests(
     requests: DataFrame, commits: DataFrame, manifests: DataFrame, snapshots: DataFrame
@@ -94,6 +98,96 @@ def locate(
     return lookup_join(placed, sources, ["commit_id"], "inner", ["path", "ref"], hot_rows)
 
 
+def locate_first(
+    bound: DataFrame,
+    commits: DataFrame,
+    intervals: DataFrame,
+    snapshots: DataFrame,
+    stores: DataFrame,
+    store: str | None = None,
+    any_revision: bool = False,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The snapshot to try first for each request that some snapshot can serve, at most one row each.
+
+    The same row that ``locate`` and ``rank_candidates`` put first, without making the others. ``bound`` is
+    what ``bind_requests`` gives, ``intervals`` the history; ``store`` lets only its snapshots count.
+    An interval of content is cut at the last snapshot within it. The newest snapshot that serves a request
+    is then the smaller of two places: the last snapshot before the request, and the furthest that any
+    interval of the content which began by then reaches. That is a running maximum per content, whose
+    rows are as many as the content has beginnings, and requests times, that differ.
+    """
+    named = lookup_join(snapshots, stores.select("store", "ordinal"), ["store"], "inner", ["reference"])
+    if store is not None:
+        named = named.where(F.col("store") == store)
+    known = commits.select("commit_id", "seq")
+    sources = stored(
+        lookup_join(named.withColumnRenamed("base_commit_id", "commit_id"), known, ["commit_id"], "inner", ["reference"])
+        .groupBy("seq", "commit_id")
+        .agg(F.expr("min(struct(ordinal, snapshot_id, store, reference)) AS _source"))
+        .selectExpr("seq", "commit_id", "_source.ordinal", "_source.snapshot_id", "_source.store", "_source.reference"),
+        "sources",
+    )
+    # Content ends at the place before the commit that takes it away.
+    places = known.selectExpr("explode(array(seq, seq - 1)) AS seq").distinct()
+    newest = stored(last_marked(places, sources.select("seq")), "newest")
+
+    wanted = bound.where(f"kind = '{BLOB}' AND seq IS NOT NULL").select("path", "ref", "kind", "digest", "seq")
+    if any_revision:
+        wanted = wanted.withColumn("seq", newest.agg(F.expr("max(seq) AS seq")).scalar())
+    wanted = lookup_join(wanted, newest, ["seq"], "inner", ["path", "ref"], hot_rows).selectExpr(
+        "path", "ref", "kind", "digest", "last AS _until"
+    )
+    wanted = stored(wanted, "wanted")
+
+    contents = wanted.select("kind", "digest").distinct()
+    runs = spread_join(intervals, contents, ["kind", "digest"], "left_semi", ["path", "from_seq"], hot_rows)
+    # What still lasts reaches to the last snapshot of all.
+    ends = newest.selectExpr("seq AS _end", "last AS _last")
+    runs = lookup_join(runs.selectExpr("*", "to_seq - 1 AS _end"), ends, ["_end"], "left", ["path", "from_seq"], hot_rows)
+    held = stored(
+        runs.withColumn("_most", newest.agg(F.expr("max(last) AS last")).scalar())
+        .selectExpr("path", "kind", "digest", "from_seq", "if(to_seq IS NULL, _most, _last) AS _reach")
+        .where("_reach >= from_seq"),
+        "held",
+    )
+
+    starts = held.groupBy("kind", "digest", F.expr("from_seq AS at")).agg(F.expr("max(_reach) AS _reach"))
+    points = wanted.selectExpr("kind", "digest", "_until AS at", "CAST(NULL AS LONG) AS _reach").distinct()
+    best = (
+        starts.unionByName(points)
+        .selectExpr(
+            "kind", "digest", "at", "_reach IS NULL AS _asks",
+            "max(_reach) OVER (PARTITION BY kind, digest ORDER BY at, _reach IS NULL ROWS UNBOUNDED PRECEDING) AS _far",
+        )
+        .where("_asks AND _far IS NOT NULL")
+        .selectExpr("kind", "digest", "at AS _until", "least(at, _far) AS seq")
+    )
+    found = stored(spread_join(wanted, best, ["kind", "digest", "_until"], "inner", ["path", "ref"], hot_rows).drop("_until"), "found")
+
+    own = held.selectExpr("path", "kind", "digest", "from_seq", "_reach")
+    inside = (found["seq"] >= own["from_seq"]) & (found["seq"] <= own["_reach"])
+    same = [found[c] == own[c] for c in ("path", "kind", "digest")]
+    placed = stored(
+        found.join(own, [*same, inside], "left").select(*[found[c] for c in found.columns], own["path"].isNotNull().alias("same_path")),
+        "placed",
+    )
+    # Content that lies elsewhere: its first path there.
+    moved = placed.where("NOT same_path").select("kind", "digest", "seq").distinct()
+    elsewhere = (
+        spread_join(held, moved, ["kind", "digest"], "inner", ["path", "from_seq"], hot_rows)
+        .where("seq BETWEEN from_seq AND _reach")
+        .groupBy("kind", "digest", "seq")
+        .agg(F.expr("min(path) AS _first"))
+        .withColumn("same_path", F.lit(False))
+    )
+    there = spread_join(placed, elsewhere, ["kind", "digest", "seq", "same_path"], "left", ["path", "ref"], hot_rows)
+    return lookup_join(there, sources, ["seq"], "inner", ["path", "ref"], hot_rows).selectExpr(
+        "path", "ref", "kind", "digest", "commit_id", "seq", "if(same_path, path, _first) AS found_path", "same_path",
+        "store", "snapshot_id", "reference", "ordinal",
+    )
+
+
 def rank_candidates(located: DataFrame, store: str | None = None) -> DataFrame:
     """Number the snapshots of each request in the order to try them.
 
@@ -109,6 +203,33 @@ def rank_candidates(located: DataFrame, store: str | None = None) -> DataFrame:
     )
 
 
+def _asked_dirs(entries: DataFrame, manifests: DataFrame, hot_rows: int) -> DataFrame:
+    """Those of the unknown paths that are directories of their commit.
+
+    Rows are cut to the depths that the unknown paths have, and meet these before anything is shuffled if
+    they are few.
+    """
+    deep = "size(split(path, '/'))"
+    unknown = stored(
+        entries.where("commit_id IS NOT NULL AND kind IS NULL").select("commit_id", "path").distinct(), "unknown"
+    )
+    depths = [r.d for r in unknown.selectExpr(f"if(path = '', 0, {deep}) AS d").distinct().limit(_MAX_DEPTHS + 1).collect()]
+    if len(depths) > _MAX_DEPTHS:
+        above = proper_ancestors()
+    else:
+        listed = ", ".join(str(d) for d in sorted(depths)) or "-1"
+        above = f"transform(filter(array({listed}), d -> d < {deep}), d -> substring_index(path, '/', d))"
+    rows = manifests.selectExpr("revision AS commit_id", "path")
+    revisions = unknown.select("commit_id").distinct()
+    below = lookup_join(rows, revisions, ["commit_id"], "left_semi", ["path"], hot_rows)
+    cut = below.selectExpr("commit_id", f"explode({above}) AS path")
+    return (
+        lookup_join(cut, unknown, ["commit_id", "path"], "left_semi", ["path"], hot_rows)
+        .distinct()
+        .selectExpr("commit_id", "path", "true AS _is_dir")
+    )
+
+
 def classify_requests(
     requests: DataFrame,
     commits: DataFrame,
@@ -121,36 +242,27 @@ def classify_requests(
     located: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     bound: DataFrame | None = None,
+    intervals: DataFrame | None = None,
 ) -> DataFrame:
     """What will become of each request, as a word instead of an error.
 
     ``existing`` lists paths that are in the working tree and will not be overwritten. ``bound`` gives
-    what ``bind_requests`` found.
+    what ``bind_requests`` found, ``intervals`` the history if it is at hand.
     """
     entries = bind_requests(requests, commits, manifests, snapshots) if bound is None else bound
     if located is None:
-        located = locate(
-            requests, commits, manifests, snapshots, stores, any_revision, hot_rows, entries
-        )
+        if intervals is None:
+            intervals = stored(intervals_of_manifests(commits, manifests, hot_rows), "intervals")
+        names = [None] if store is None else [None, store]
+        firsts = [locate_first(entries, commits, intervals, snapshots, stores, s, any_revision, hot_rows) for s in names]
+        offers = firsts[0].selectExpr("path", "ref", "true AS _offered")
+        fitting = firsts[-1].selectExpr("path", "ref", "true AS _matching")
+        offers = offers.withColumn("_matching", F.lit(True)) if store is None else offers.join(fitting, ["path", "ref"], "left")
+    else:
+        matching = F.expr("true") if store is None else F.col("store") == store
+        offers = located.groupBy("path", "ref").agg(F.expr("true AS _offered"), F.bool_or(matching).alias("_matching"))
     asked = requests.select("path").distinct()
-    revisions = entries.where("commit_id IS NOT NULL").select("commit_id").distinct()
-    dirs = (
-        lookup_join(
-            manifests.selectExpr("revision AS commit_id", "path"),
-            revisions,
-            ["commit_id"],
-            "left_semi",
-            ["path"],
-            hot_rows,
-        )
-        .selectExpr("commit_id", f"explode({proper_ancestors()}) AS path")
-        .distinct()
-        .selectExpr("commit_id", "path", "true AS _is_dir")
-    )
-    matching = F.expr("true") if store is None else F.col("store") == store
-    offers = located.groupBy("path", "ref").agg(
-        F.expr("true AS _offered"), F.bool_or(matching).alias("_matching")
-    )
+    dirs = _asked_dirs(entries, manifests, hot_rows)
     there = (
         asked.select("path").where("false") if existing is None else existing.select("path")
     ).distinct()
@@ -170,7 +282,7 @@ def classify_requests(
                      WHEN kind IS NULL THEN 'unknown_path'
                      WHEN kind = '{LINK}' THEN 'link'
                      WHEN _offered IS NULL THEN 'no_snapshot'
-                     WHEN NOT _matching THEN 'excluded_only'
+                     WHEN NOT coalesce(_matching, false) THEN 'excluded_only'
                      ELSE 'ok' END AS outcome""",
         )
     )

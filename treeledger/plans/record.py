@@ -1,17 +1,20 @@
 """Record the staged manifest as a new commit."""
 
+import hashlib
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.functions.status import adds_new_content
+from treeledger.operators.compare import delta_of_sides, detect_renames
 from treeledger.operators.history import head_commit
-from treeledger.operators.rollup import root_rollup
-from treeledger.plans.status import diff_staged
+from treeledger.operators.intervals import change_set
+from treeledger.operators.rollup import changed_root, root_rollup
 from treeledger.schema import COMMITS, MANIFEST
-from treeledger.session import new_shared_path
-from treeledger.sources.tables import append_commit, read_commits, read_manifest, write_manifest
+from treeledger.session import stored
+from treeledger.sources import ledger, tables
+from treeledger.sources.tables import append_commit, read_commits, read_manifest
 
 
 class NothingStaged(ValueError):
@@ -28,38 +31,61 @@ def commit(
 ) -> DataFrame:
     """Append a commit and return it with ``adds_new_content``, the reason to take a snapshot.
 
-    The manifest is written before the row that makes the commit visible, so a job that fails in
-    between leaves nothing to clean up. The id follows from parent, time, message and content.
+    The staged manifest and the last state are compared once; from there on only what changed is
+    stored and looked at. The place in the history is claimed first, so of two writers one gets it and the
+    other an error. The change set is written before the row that makes the commit visible, so a job
+    that fails in between leaves nothing but a claim, which is given back. The id follows from parent, time, message and content.
     """
     commits = read_commits(spark, base)
     parent = head_commit(commits).select("commit_id", "seq").first()
-    head = read_manifest(spark, base, parent["commit_id"]) if parent else None
-
-    # Three jobs read the staged manifest; what led to it should run once.
-    kept = new_shared_path(spark, "staged")
-    staged.select(*MANIFEST.names).write.parquet(kept)
-    staged = spark.read.schema(MANIFEST).parquet(kept)
-
-    changes = diff_staged(head, staged).agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or(adds_new_content()).alias("brings")
+    seq = parent["seq"] + 1 if parent else 0
+    head = read_manifest(spark, base, parent["commit_id"]) if parent else spark.createDataFrame([], MANIFEST)
+    changes = stored(change_set(head, staged.select(*MANIFEST.names)), "changes")
+    renamed = detect_renames(
+        delta_of_sides(changes.selectExpr("path", "old_kind", "old_digest", "kind AS new_kind", "digest AS new_digest"))
     )
-    found = changes.first()
+    found = renamed.agg(F.expr("count(1) AS n"), F.bool_or(adds_new_content()).alias("brings")).first()
     if not found["n"]:
         raise NothingStaged("no changes staged for commit")
 
+    ledger.claim(spark, base, seq)
+    try:
+        return _append(spark, base, changes, parent, seq, bool(found["brings"]), message, when, tz_offset_min)
+    except BaseException:
+        if head_commit(read_commits(spark, base)).where(F.col("seq") >= seq).isEmpty():
+            ledger.release(spark, base, seq)
+        raise
+
+
+def _append(
+    spark: SparkSession, base: str, changes: DataFrame, parent: Row | None, seq: int, brings: bool, message: str, when: int | None, zone: int
+) -> DataFrame:
+    # A writer that saw the history before this place was taken and given back starts anew.
+    newest = head_commit(read_commits(spark, base)).select("commit_id").first()
+    if (newest and newest["commit_id"]) != (parent and parent["commit_id"]):
+        raise ledger.Taken(f"commit {seq} was written by another writer")
+    if parent and not ledger.has_history(spark, base):
+        # The ledger holds full copies so far: the last one is where the history starts.
+        old = read_manifest(spark, base, parent["commit_id"])
+        start = old.selectExpr("path", "CAST(NULL AS STRING) AS old_kind", "CAST(NULL AS STRING) AS old_digest", "kind", "digest")
+        ledger.write_changes(start, base, parent["seq"], old.count())
+    before = tables.read_root(spark, base, parent["commit_id"]) if parent else {"n_files": 0, "h1": 0, "h2": 0}
+    if before is None:
+        before = root_rollup(read_manifest(spark, base, parent["commit_id"])).first().asDict()
+    step = changed_root(changes).first()
+    root = {name: before[name] + step[name] for name in ("n_files", "h1", "h2")}
     values = {
         "parent_id": parent["commit_id"] if parent else None,
-        "seq": parent["seq"] + 1 if parent else 0,
+        "seq": seq,
         "commit_time": int(time.time()) if when is None else when,
-        "tz_offset_min": tz_offset_min,
+        "tz_offset_min": zone,
         "message": message,
     }
-    literals = [F.lit(value).cast(COMMITS[name].dataType).alias(name) for name, value in values.items()]
-    row = root_rollup(staged).select("*", *literals)
-    identity = "concat_ws('\\n', coalesce(parent_id, ''), commit_time, tz_offset_min, n_files, h1, h2, message)"
-    made = row.selectExpr(f"sha1(cast({identity} AS binary)) AS commit_id", *values).first()
-
-    record = spark.createDataFrame([made], COMMITS)
-    write_manifest(staged, base, made["commit_id"])
-    append_commit(record, base)
-    return record.withColumn("adds_new_content", F.lit(found["brings"]))
+    parts = [values["parent_id"] or "", values["commit_time"], zone, root["n_files"], root["h1"], root["h2"], message]
+    made = {"commit_id": hashlib.sha1("\n".join(map(str, parts)).encode()).hexdigest(), **values}
+    record = spark.createDataFrame([tuple(made[name] for name in COMMITS.names)], COMMITS)
+    kept = record.selectExpr("*", *[f"CAST('{root[c]}' AS {'LONG' if c == 'n_files' else 'DECIMAL(38, 0)'}) AS {c}" for c in root])
+    ledger.write_changes(changes, base, seq, changes.count())
+    append_commit(kept, base)
+    ledger.settle(spark, base, seq, root["n_files"])
+    return record.withColumn("adds_new_content", F.lit(brings))

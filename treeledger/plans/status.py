@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.operators.compare import diff, filter_status
+from treeledger.operators.compare import delta_of_sides, detect_renames, diff, filter_status
 from treeledger.operators.constrain import Paths, constrain
 from treeledger.operators.history import resolve_names
+from treeledger.operators.intervals import net_changes
 from treeledger.operators.spread import HOT_ROWS
 from treeledger.operators.staging import path_table, without_ignored
 from treeledger.schema import DELTA_COLUMNS
@@ -32,6 +33,24 @@ def diff_refs(
     return filter_status(delta, letters)
 
 
+def diff_refs_of_changes(
+    commits: DataFrame,
+    changes: DataFrame,
+    old_ref: str,
+    new_ref: str = "HEAD",
+    snapshots: DataFrame | None = None,
+    letters: str | None = None,
+    limit: int | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The same from the change sets of a history: only what changed between the two is read."""
+    ids = resolve_names([old_ref, new_ref], commits, snapshots)
+    places = {r["commit_id"]: r["seq"] for r in commits.where(F.col("commit_id").isin(ids)).select("commit_id", "seq").collect()}
+    sides = net_changes(changes, places[ids[0]], places[ids[1]])
+    delta = detect_renames(delta_of_sides(sides), limit=limit, hot_rows=hot_rows)
+    return filter_status(delta, letters)
+
+
 def _restricted(
     sides: list[DataFrame], paths: Paths | None, ignored: DataFrame | None
 ) -> list[DataFrame]:

@@ -53,6 +53,20 @@ MANIFEST = _struct(("path", _S, False), ("kind", _S, False), ("digest", _S, Fals
 
 STORED_MANIFEST = T.StructType([*MANIFEST.fields, T.StructField("revision", _S, False)])
 
+# What a commit changed: the entry before and after, NULL where there was or is none.
+CHANGES = _struct(
+    ("seq", _L, False),
+    ("path", _S, False),
+    ("old_kind", _S, True),
+    ("old_digest", _S, True),
+    ("kind", _S, True),
+    ("digest", _S, True),
+)
+
+# Entries with the commit that brought them, and the one that took them away.
+STATES = T.StructType([*MANIFEST.fields, T.StructField("from_seq", _L, False)])
+INTERVALS = T.StructType([*STATES.fields, T.StructField("to_seq", _L, True)])
+
 LINK_TARGETS = _struct(("digest", _S, False), ("link_target", _S, False))
 
 COMMITS = _struct(
@@ -64,6 +78,9 @@ COMMITS = _struct(
     ("message", _S, True),
 )
 
+# The rollup of the whole tree after a commit, kept with its row.
+ROOTS = _struct(("commit_id", _S, False), ("n_files", _L, True), ("h1", T.DecimalType(38, 0), True), ("h2", T.DecimalType(38, 0), True))
+
 STORES = _struct(("store", _S, False), ("url", _S, False), ("ordinal", _I, False))
 
 SNAPSHOTS = _struct(

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeledger.operators.cache import complete
-from treeledger.schema import COMMITS, DIGEST_CACHE, LINK_TARGETS, MANIFEST, SNAPSHOTS, STORED_MANIFEST
+from treeledger.operators.intervals import manifests_of
+from treeledger.schema import COMMITS, DIGEST_CACHE, LINK_TARGETS, MANIFEST, ROOTS, SNAPSHOTS, STORED_MANIFEST
+from treeledger.sources import ledger
 
 
 def write_manifest(manifest: DataFrame, base: str, revision: str) -> None:
@@ -23,15 +25,37 @@ def write_manifest(manifest: DataFrame, base: str, revision: str) -> None:
 
 
 def read_manifest(spark: SparkSession, base: str, revision: str | None = None) -> DataFrame:
-    """All stored revisions, or one without the ``revision`` column."""
-    stored = spark.read.schema(STORED_MANIFEST).parquet(f"{base}/manifest")
+    """All stored revisions, or one without the ``revision`` column.
+
+    Revisions are read from the history of change sets, or are partitions of full copies where they were
+    written as such. All of them at once are as many rows as the tree has times the commits.
+    """
+    if not ledger.has_history(spark, base):
+        stored = spark.read.schema(STORED_MANIFEST).parquet(f"{base}/manifest")
+        return stored if revision is None else stored.where(F.col("revision") == revision).select(*MANIFEST.names)
+    commits = read_commits(spark, base)
+    start = ledger.first_change(spark, base)
     if revision is None:
-        return stored
-    return stored.where(F.col("revision") == revision).select(*MANIFEST.names)
+        head = commits.agg(F.expr("max(seq) AS seq")).first()["seq"]
+        found = manifests_of(ledger.read_intervals(spark, base, head), commits.where(F.col("seq") >= start))
+        if start > 0:
+            # Older commits were kept as full copies.
+            older = commits.where(F.col("seq") < start).selectExpr("commit_id AS revision")
+            stored = spark.read.schema(STORED_MANIFEST).parquet(f"{base}/manifest")
+            found = found.unionByName(stored.join(F.broadcast(older), "revision", "left_semi"))
+        return found
+    place = commits.where(F.col("commit_id") == revision).select("seq").first()
+    if place is None:
+        return spark.createDataFrame([], MANIFEST)
+    if place["seq"] < start:
+        return spark.read.schema(STORED_MANIFEST).parquet(f"{base}/manifest").where(F.col("revision") == revision).select(*MANIFEST.names)
+    return ledger.manifest_at(spark, base, place["seq"])
 
 
 def append_commit(commit: DataFrame, base: str) -> None:
-    commit.select(*COMMITS.names).coalesce(1).write.mode("append").parquet(f"{base}/commits")
+    """Make a commit visible. The rollup of its tree, if it is given, is kept with it."""
+    root = [name for name in ROOTS.names[1:] if name in commit.columns]
+    commit.select(*COMMITS.names, *root).coalesce(1).write.mode("append").parquet(f"{base}/commits")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -46,6 +70,19 @@ def read_commits(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(COMMITS).parquet(f"{base}/commits")
 
 
+def read_root(spark: SparkSession, base: str, commit_id: str) -> dict | None:
+    """The rollup of the whole tree after a commit, if it is kept."""
+    roots = spark.read.schema(ROOTS).parquet(f"{base}/commits").where(F.col("commit_id") == commit_id)
+    found = roots.where("n_files IS NOT NULL").first()
+    return found.asDict() if found else None
+
+
+def read_history(spark: SparkSession, base: str) -> DataFrame:
+    """The change sets of all commits."""
+    head = read_commits(spark, base).agg(F.expr("max(seq) AS seq")).first()["seq"]
+    return ledger.read_changes(spark, base, upto=-1 if head is None else head)
+
+
 def _generations(spark: SparkSession, base: str, name: str) -> dict[int, bool]:
     """The numbers of all generations, and whether each was written to its end."""
     jvm = spark.sparkContext._jvm
