@@ -387,6 +387,14 @@ def oracle_sql() -> dict[str, str]:
                 SELECT dir, count(*) AS n_files, CAST(sum({_LANE.format(1)}) AS STRING) AS h1,
                        CAST(sum({_LANE.format(16)}) AS STRING) AS h2 FROM ids GROUP BY dir""",
         ),
+        "rollup_update": _sql(
+            i.PAIR,
+            f""", up AS (SELECT path, kind, digest, {_PARTS} AS parts, unnest(range(0, len({_PARTS}))) AS n FROM new),
+                ids AS (SELECT CASE WHEN n = 0 THEN '' ELSE array_to_string(parts[1:n], '/') END AS dir,
+                          sha1(concat(digest, kind, array_to_string(parts[n + 1:len(parts)], '/'))) AS id FROM up)
+                SELECT dir, count(*) AS n_files, CAST(sum({_LANE.format(1)}) AS STRING) AS h1,
+                       CAST(sum({_LANE.format(16)}) AS STRING) AS h2 FROM ids GROUP BY dir""",
+        ),
         "changed_dirs": _diff(
             i.PAIR,
             """, touched AS (SELECT old_path AS path FROM delta_all WHERE old_path IS NOT NULL
@@ -432,6 +440,21 @@ def oracle_sql() -> dict[str, str]:
                FROM copy_commits WHERE store = 'aux1' GROUP BY store, snapshot_id""",
         ),
         "log": _sql(_LOG, "SELECT * FROM delta"),
+        "log_chain": _sql(
+            f"""{i.CHAIN_TREE},
+            steps AS (SELECT *, lag(path) OVER w AS old_path, lag(digest) OVER w AS old FROM runs
+                      WINDOW w AS (PARTITION BY user_id ORDER BY from_seq)),
+            told AS (
+              SELECT from_seq AS seq, commit_id, CASE WHEN old_path = path THEN 'M' ELSE 'R' END AS status, old_path, path AS new_path, old, digest
+              FROM steps WHERE (old_path = path) <> (old = digest)
+              UNION ALL SELECT from_seq, commit_id, 'A', NULL, path, NULL, digest FROM steps
+              WHERE old_path IS NULL OR (old_path <> path AND old <> digest)
+              UNION ALL SELECT from_seq, commit_id, 'D', old_path, NULL, old, NULL FROM steps WHERE old_path <> path AND old <> digest)""",
+            f"""SELECT seq, commit_id, status, {_NAME.format('status')} AS status_name, old_path, new_path,
+                  coalesce(new_path, old_path) AS path, CASE WHEN old_path IS NOT NULL THEN 'blob' END AS old_kind,
+                  CASE WHEN new_path IS NOT NULL THEN 'blob' END AS new_kind, old AS old_digest, digest AS new_digest,
+                  CASE WHEN status = 'R' THEN 100 ELSE 0 END AS similarity FROM told""",
+        ),
         "log_decorated": _sql(
             i.CHAIN,
             """SELECT c.commit_id, c.seq, t.ordinal, s.reference FROM snapshots s
@@ -455,6 +478,43 @@ def oracle_sql() -> dict[str, str]:
             {_delta('before', 'after').strip()}""",
             "SELECT * FROM delta WHERE status <> 'M'",
         ),
+        "history_changes": _sql(
+            _LOG,
+            """SELECT coalesce(o.seq, n.seq) AS seq, coalesce(o.path, n.path) AS path, o.kind AS old_kind, o.digest AS old_digest,
+                 n.kind AS kind, n.digest AS digest
+               FROM log_old o FULL OUTER JOIN log_new n ON o.seq = n.seq AND o.path = n.path
+               WHERE o.digest IS DISTINCT FROM n.digest""",
+        ),
+        "history_intervals": _sql(
+            f"""{i.HISTORY},
+            placed AS (SELECT m.path, m.kind, m.digest, c.seq,
+                         c.seq - row_number() OVER (PARTITION BY m.path, m.kind, m.digest ORDER BY c.seq) AS island
+                       FROM manifests m JOIN commits c ON c.commit_id = m.revision)""",
+            """SELECT path, kind, digest, min(seq) AS from_seq,
+                 CASE WHEN max(seq) < (SELECT max(seq) FROM commits) THEN max(seq) + 1 END AS to_seq
+               FROM placed GROUP BY path, kind, digest, island""",
+        ),
+        "diff_refs_changes": _sql(
+            f"""{i.HISTORY},
+            before AS (SELECT path, kind, digest FROM manifests WHERE revision = sha1('c1')),
+            after AS (SELECT path, kind, digest FROM manifests WHERE revision = sha1('c4')),
+            {_delta('before', 'after').strip()}""",
+            "SELECT * FROM delta WHERE status <> 'M'",
+        ),
+        "locate_first": _sql(
+            _LOCATED,
+            """SELECT path, ref, found_path, same_path, reference FROM located
+               QUALIFY row_number() OVER (PARTITION BY path, ref ORDER BY seq DESC, ordinal, snapshot_id) = 1""",
+        ),
+        "locate_chain": _sql(
+            f"""{i.CHAIN_TREE},
+            taken AS (SELECT c.seq, s.reference FROM snapshots s JOIN commits c ON c.commit_id = s.base_commit_id),
+            offers AS (
+              SELECT b.path, b.ref, t.seq, r.path AS found_path, r.path = b.path AS same_path, t.reference
+              FROM bound b JOIN runs r ON r.digest = b.digest
+              JOIN taken t ON t.seq >= r.from_seq AND (t.seq < r.to_seq OR r.to_seq IS NULL) AND t.seq <= b.seq)""",
+            """SELECT * FROM offers QUALIFY row_number() OVER (PARTITION BY path, ref ORDER BY seq DESC) = 1""",
+        ),
         "locate": _sql(_LOCATED, "SELECT * FROM located"),
         "rank_candidates": _sql(
             _LOCATED,

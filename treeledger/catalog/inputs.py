@@ -156,6 +156,37 @@ refs AS (
   UNION ALL SELECT concat(commit_id, '^2') FROM commits
   UNION ALL SELECT 'HEAD' FROM commits)"""
 
+# The tree that the chain records: each user has one file, in the folder of the user's last event; a purchase
+# changes it. So every commit moves, changes, adds or leaves a file. Every sign-up is backed up.
+CHAIN_TREE = """
+visits AS (
+  SELECT event_id AS seq, sha1(concat('e', CAST(event_id AS STRING))) AS commit_id, user_id,
+         concat(event_type, '/u', CAST(user_id AS STRING)) AS path,
+         max(CASE WHEN event_type = 'purchase' THEN event_id END)
+             OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bought,
+         lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS until
+  FROM {events}),
+runs AS (
+  SELECT path, 'blob' AS kind, sha1(concat(CAST(user_id AS STRING), '#', CAST(coalesce(bought, -1) AS STRING))) AS digest,
+         seq AS from_seq, until AS to_seq, user_id, commit_id
+  FROM visits),
+commits AS (
+  SELECT sha1(concat('e', CAST(event_id AS STRING))) AS commit_id,
+         CASE WHEN event_id > 0 THEN sha1(concat('e', CAST(event_id - 1 AS STRING))) END AS parent_id,
+         event_id AS seq, {epoch_ts} AS commit_time, CAST(0 AS INT) AS tz_offset_min,
+         event_type AS message
+  FROM {events}),
+stores AS (SELECT * FROM (VALUES ('aux1', 1), ('aux2', 0)) s (store, ordinal)),
+snapshots AS (
+  SELECT concat('aux', CAST(1 + event_id % 2 AS STRING)) AS store, CAST(event_id AS STRING) AS snapshot_id,
+         sha1(concat('e', CAST(event_id AS STRING))) AS base_commit_id,
+         concat('aux', CAST(1 + event_id % 2 AS STRING), '/', CAST(event_id AS STRING)) AS reference
+  FROM {events} WHERE event_type = 'signup'),
+bound AS (
+  SELECT path, commit_id AS ref, commit_id, from_seq AS seq, kind, digest FROM runs
+  UNION ALL SELECT path, 'HEAD', (SELECT max_by(commit_id, seq) FROM commits), (SELECT max(seq) FROM commits), kind, digest
+  FROM runs WHERE to_seq IS NULL)"""
+
 # A cache that is right, out of date, missing or unfit depending on how a document was labelled.
 CACHE = f"""{DOCS},
 listing AS (

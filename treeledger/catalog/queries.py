@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from treeledger.catalog import inputs as i
 from treeledger.functions.digests import abbreviated, link_identity, text_digest, unreadable
 from treeledger.functions.status import adds_new_content, shown_old_digest, status_code
-from treeledger.operators import cache, compare, constrain, export, history, ignore, locate, rollup, staging
+from treeledger.operators import cache, compare, constrain, export, history, ignore, intervals, locate, rollup, staging
 from treeledger.plans import manifest as trees
 from treeledger.plans import record, recover
 from treeledger.plans import status as statuses
-from treeledger.schema import LISTING
+from treeledger.schema import INTERVALS, LISTING
 from treeledger.session import mounted, new_shared_path, ship_package
 from treeledger.sources import content, tables
 from treeledger.sources import stores as store_sources
@@ -236,6 +236,13 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.log(commits, _stored(manifests, "revision"))
 
 
+def _log_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a history with as many commits as there are events, from its change sets."""
+    runs, commits = _tables(spark, sf_dir, i.CHAIN_TREE, "runs", "commits")
+    changes = intervals.changes_of_intervals(runs)
+    return history.log_of_changes(commits, _stored(changes))
+
+
 def _log_decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.decorate(*_tables(spark, sf_dir, i.CHAIN, "commits", "snapshots", "stores"))
 
@@ -257,6 +264,29 @@ def _diff_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _history_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change sets of the five revisions."""
+    commits, manifests = _tables(spark, sf_dir, i.HISTORY, "commits", "manifests")
+    return intervals.changes_of_manifests(commits, _stored(manifests, "revision"))
+
+
+def _history_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.intervals_of_changes(_stored(_history_changes(spark, sf_dir)))
+
+
+def _diff_refs_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits, snapshots = _tables(spark, sf_dir, i.HISTORY, "commits", "snapshots")
+    changes = _stored(_history_changes(spark, sf_dir))
+    return statuses.diff_refs_of_changes(commits, changes, "aux1/2", "HEAD", snapshots, letters="m")
+
+
+def _rollup_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of the new manifest from that of the old one and what changed."""
+    old, new = _tables(spark, sf_dir, i.PAIR, "old", "new")
+    kept = rollup.update_rollup(rollup.dir_rollup(old), _stored(intervals.change_set(old, new)))
+    return kept.selectExpr("dir", "n_files", "cast(h1 AS string) AS h1", "cast(h2 AS string) AS h2")
+
+
 def _backups(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     names = ("requests", "commits", "manifests", "snapshots", "stores")
     requests, commits, manifests, *others = _tables(spark, sf_dir, i.HISTORY, *names)
@@ -267,6 +297,23 @@ def _locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.locate(*_backups(spark, sf_dir))
 
 
+def _locate_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests, commits, manifests, snapshots, stores = _backups(spark, sf_dir)
+    bound = locate.bind_requests(requests, commits, manifests, snapshots)
+    runs = _stored(intervals.intervals_of_manifests(commits, manifests))
+    first = locate.locate_first(bound, commits, runs, snapshots, stores)
+    return first.select("path", "ref", "found_path", "same_path", "reference")
+
+
+def _locate_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's file as of each commit that touched it: where to get it from first."""
+    names = ("bound", "commits", "runs", "snapshots", "stores")
+    bound, commits, runs, snapshots, stores = _tables(spark, sf_dir, i.CHAIN_TREE, *names)
+    spans = _stored(runs.select(*INTERVALS.names))
+    first = locate.locate_first(_stored(bound), commits, spans, snapshots, stores)
+    return first.select("path", "ref", "seq", "found_path", "same_path", "reference")
+
+
 def _rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = locate.rank_candidates(_locate(spark, sf_dir), "aux2")
     return ranked.select("path", "ref", "reference", "eligible", "try_order")
@@ -470,11 +517,18 @@ def queries() -> dict[str, Query]:
         "store_errors": _store_errors,
         "refresh_snapshots": _refresh_snapshots,
         "log": _log,
+        "log_chain": _log_chain,
         "log_decorated": _log_decorated,
         "resolve": _resolve,
         "ancestors": _ancestors,
         "diff_refs": _diff_refs,
+        "history_changes": _history_changes,
+        "history_intervals": _history_intervals,
+        "diff_refs_changes": _diff_refs_changes,
+        "rollup_update": _rollup_update,
         "locate": _locate,
+        "locate_first": _locate_first,
+        "locate_chain": _locate_chain,
         "rank_candidates": _rank_candidates,
         "classify_requests": _classify_requests,
         "tree_manifest": _tree_manifest,
