@@ -3,12 +3,15 @@
 A text is cut where a rolling hash of the bytes before a place has a given pattern, so passages that
 documents share are cut at the same places whatever stands around them. A worker encodes each
 distinct chunk once and keeps its ids. Chunks cut pretokens and merges apart; so every join is
-repaired: pretokens on both sides are encoded anew as one piece, and the piece grows until its first
-and last pretokens agree exactly with those of the chunks.
+repaired: what lies between the outermost safe places of the two chunks is encoded anew as one piece,
+with a stretch beyond the safe place on each side. The piece must begin and end with the very ids that
+the chunks have for these stretches. A chunk without such stretches does not end the piece, which grows
+over it; should the ids differ, the whole text is encoded in one piece.
 
-A place where a blank follows something else that is not white space and is followed by none, ends a
+A safe place is a blank that follows something else that is not white space and is followed by none. It ends a
 pretoken whatever stands around it: no pretoken goes on through it, and the next begins with the
-blank. Ids on both sides of such a place do not depend on each other; agreement there is exact.
+blank. Text without blanks (Chinese, base64) has none and is encoded in one piece, without reuse.
+Very long runs of white space are left to the ``tokenizers`` library. A long text takes several times its length in memory.
 
 Nulls and empty texts have no ids. The literal text of the end-of-text token is that token, as the
 library has it. Repeated rows and other columns pass through. An empty table gives an empty result.
@@ -19,12 +22,13 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from treeledger.llm.shared import prepare, texts
+from treeledger.llm.shared import of_worker, prepare, texts
 
 # A place ends a chunk when these bits of its hash are zero: a chunk has 512 bytes on average.
 CHUNK_BITS = 9
@@ -32,8 +36,10 @@ CHUNK_BITS = 9
 HASHED = 32
 # A chunk is cut at this length at the latest.
 LONGEST = 4096
-# Chunks that a worker remembers.
-KEPT = 100_000
+# Bytes that the chunks a worker remembers take, about.
+KEPT_BYTES = 96 << 20
+# White space in a row from which on the fast encoder is not asked: its pattern goes one level deeper for each.
+LONG_SPACE = 20_000
 
 _SPECIAL = b"<|endoftext|>"
 # Fixed value: how the vocabulary's text is cut into pretokens.
@@ -76,18 +82,22 @@ def _character(text: bytes, place: int) -> int:
     return place
 
 
-def _last_safe(text: bytes) -> int:
-    place = text.rfind(b" ")
-    while not _SAFE.match(text, place):
-        place = text.rfind(b" ", 0, place)
-    return place
+_LONG = re.compile(rf"\s{{{LONG_SPACE}}}")
+
+
+class _Chunk(NamedTuple):
+    head: bytes  # text before the first safe place
+    first: bytes  # text between the first and the second one
+    first_ids: bytes
+    inner: bytes  # ids of what lies between first and last
+    last_ids: bytes
+    last: bytes  # text between the last two safe places
+    tail: bytes  # text behind
 
 
 class ChunkCodec:
     """Encodes and decodes with the byte-level vocabulary of a ``tokenizers`` file."""
 
-    _by_path: dict[str, "ChunkCodec"] = {}
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -105,14 +115,13 @@ class ChunkCodec:
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise ValueError("made for little-endian machines")
         self.encode_plain = self._fast_encoder()
-        self.chunks: dict[bytes, tuple] = {}
+        self.chunks: dict[bytes, _Chunk | None] = {}
+        self.kept = 0
 
     @classmethod
     def of_worker(cls, path: str) -> "ChunkCodec":
         """The codec of this Python worker, which serves one task after the other."""
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
+        return of_worker(("chunks", path), lambda: cls(path))
 
     def _fast_encoder(self):
         """Encodes text without special tokens; the same vocabulary by ranks gives the same ids, faster."""
@@ -122,23 +131,49 @@ class ChunkCodec:
         encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return encoding.encode_ordinary
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes | None, bytes, bytes]:
-        """A chunk's ids between its first and last safe place, and the bytes before and after these."""
-        found = self.chunks.get(chunk)
-        if found is None:
-            if len(self.chunks) >= KEPT:
-                self.chunks.clear()
-            first = _SAFE.search(chunk)
-            if first:
-                begin, end = first.start(), _last_safe(chunk)
-                found = (self._ids(chunk[begin:end]), chunk[:begin], chunk[end:])
-            else:
-                found = (None, chunk, b"")
-            self.chunks[chunk] = found
+    def _chunk(self, chunk: bytes) -> _Chunk | None:
+        """The parts of a chunk; None if it has fewer than four safe places."""
+        if chunk in self.chunks:
+            return self.chunks[chunk]
+        if self.kept > KEPT_BYTES:
+            self.chunks.clear()
+            self.kept = 0
+        found, safe = None, [m.start() for m in _SAFE.finditer(chunk)]
+        if len(safe) > 3:
+            a, b, c, d = safe[0], safe[1], safe[-2], safe[-1]
+            first, last = chunk[a:b], chunk[c:d]
+            found = _Chunk(chunk[:a], first, self._ids(first), self._ids(chunk[b:c]), self._ids(last), last, chunk[d:])
+        self.chunks[chunk] = found
+        self.kept += 500 + (len(chunk) + len(found.inner) + 400 if found else len(chunk))
         return found
 
     def _ids(self, text: bytes) -> bytes:
-        return array("I", self.encode_plain(text.decode())).tobytes() if text else b""
+        if not text:
+            return b""
+        written = text.decode()
+        if len(text) >= LONG_SPACE and _LONG.search(written):
+            return array("I", self.tokenizer.encode(written, add_special_tokens=False).ids).tobytes()
+        return array("I", self.encode_plain(written)).tobytes()
+
+    def _part(self, part: bytes) -> list[bytes]:
+        """The ids of a text without special tokens."""
+        ids: list[bytes] = []
+        begin, join, before = 0, b"", b""
+        for end in cut_points(part):
+            whole = part[begin:end]
+            begin = end
+            chunk = self._chunk(whole)
+            if chunk is None:
+                # It does not end the join: the piece encoded anew grows.
+                join += whole
+                continue
+            found = self._ids(join + chunk.head + chunk.first)
+            if not (found.startswith(before) and found.endswith(chunk.first_ids)):
+                return [self._ids(part)]
+            ids += (found, chunk.inner)
+            join, before = chunk.last + chunk.tail, chunk.last_ids
+        found = self._ids(join)
+        return [*ids, found] if found.startswith(before) else [self._ids(part)]
 
     def encode(self, text: bytes) -> bytes:
         """The ids as unsigned 32-bit numbers."""
@@ -146,16 +181,7 @@ class ChunkCodec:
         for i, part in enumerate(text.split(_SPECIAL)):
             if i:
                 ids.append(array("I", [self.end]).tobytes())
-            begin, join = 0, b""
-            for end in cut_points(part):
-                inner, head, tail = self._chunk(part[begin:end])
-                begin = end
-                join += head
-                # A chunk without a safe place does not end the join: the piece encoded anew grows.
-                if inner is not None:
-                    ids += (self._ids(join), inner)
-                    join = tail
-            ids.append(self._ids(join))
+            ids += self._part(part)
         return b"".join(ids)
 
     def decode(self, ids: bytes) -> bytes:

@@ -47,7 +47,7 @@ _WORDS = 1 << 18
 TREE_SIZE, TREE_SETS, LARGE_TREE = 1 << 17, 4, 1 << 22
 # Numbers of 64 bits that hold the parities of a set's elements, dealt over as many bits by hash.
 PARITIES = 8
-# Places of a document in one row, about, and rows of places that are broadcast, at most; most documents have few places.
+# Places of a document in one row, about, and rows of places that are broadcast, at most and if their bytes fit too.
 PLACES = 512
 BROADCAST_PLACES = 100_000
 # Bytes of sets that are sent to blocks at once, unless a single set has more.

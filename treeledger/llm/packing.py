@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = WordEncoder.of_worker(tokenizer), SumOfSquares(window)
         first = TaskContext.get().partitionId() * _PER_TASK
-        # Documents with ids that no piece has been written for yet: doc_id, ids, ids not written.
+        # Documents with ids that no piece has been written for yet: doc_id, ids from a place on, ids not written, the place, all ids.
         waiting: dict[int, list] = {}
         number = 0
 
@@ -142,9 +142,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
             made = []
             for piece in pieces:
                 known = waiting[piece.doc]
-                part = known[1][2 * piece.start : 2 * (piece.start + piece.length)]
+                begin = 2 * (piece.start - known[3])
+                part = known[1][begin : begin + 2 * piece.length]
                 crc = zlib.crc32(np.frombuffer(part, "<u2").astype("<u4").tobytes())
-                made.append((known[0], piece.start, piece.length, crc, len(known[1]) // 2, first + piece.sequence, piece.offset))
+                made.append((known[0], piece.start, piece.length, crc, known[4], first + piece.sequence, piece.offset))
                 known[2] -= piece.length
                 if not known[2]:
                     del waiting[piece.doc]
@@ -156,10 +157,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
             pieces: list[Piece] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(found)):
                 ids += end
-                waiting[number] = [doc_id, ids, len(ids) // 2]
+                waiting[number] = [doc_id, ids, len(ids) // 2, 0, len(ids) // 2]
                 pieces += packer.add(number, len(ids) // 2)
                 number += 1
             yield rows(pieces)
+            # Of long documents only the item behind the full windows still waits.
+            for known in [waiting[n] for n in range(number - len(found), number) if n in waiting]:
+                if known[2] < known[4]:
+                    known[1], known[3] = known[1][2 * (known[4] - known[2]) :], known[4] - known[2]
         yield rows(list(packer.finish()))
 
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, FIELDS)

@@ -4,6 +4,7 @@ Intermediate tables lie in the folder that ``spark.checkpoint.dir`` names, so an
 lost and any task repeated.
 """
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -16,16 +17,37 @@ from treeledger.session import new_shared_path, ship_package
 
 # Documents that a Python worker gets at once; bounds its memory together with their lengths.
 BATCH_ROWS = 512
-# A table of keys is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 1_000_000
+# Bytes of a batch, about; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+# A table of keys is broadcast only when it was measured and has at most this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Make this package importable on the executors and hand documents over in small batches."""
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    try:
+        given = int(spark.conf.get(size).rstrip("bB"))
+    except ValueError:
+        given = 0
+    if not 0 < given <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
+_held: dict = {}
+
+
+def of_worker(key, make: Callable):
+    """What a Python worker keeps from one task to the next: one thing at a time, and what it kept before goes."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -69,10 +91,31 @@ def with_column_from_text(
     return df.mapInArrow(add, schema)
 
 
+def _bytes(name: str, kind: T.DataType) -> str:
+    """SQL for about the bytes that a value takes in a row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return f"coalesce(octet_length({name}), 0) + 16"
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        fields = inner.fields if isinstance(inner, T.StructType) else [inner]
+        if not any(isinstance(getattr(f, "dataType", f), (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for f in fields):
+            return f"coalesce(size({name}), 0) * {8 * len(fields) + (24 if isinstance(inner, T.StructType) else 0)} + 32"
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return f"coalesce(octet_length(to_json(struct({name}))), 0) + 32"
+    return "8"
+
+
+def fits(table: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether a stored table is small enough to be sent to all executors, by its rows and bytes."""
+    size = " + ".join(["16", *[_bytes(f"`{f.name}`", f.dataType) for f in table.schema]])
+    rows, taken = table.selectExpr("count(1)", f"coalesce(sum({size}), 0)").first()
+    return rows <= most and taken <= BROADCAST_BYTES
+
+
 def keyed_join(
     left: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "inner", most: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Join with a stored table of keys: broadcast if it was counted and is small, else by shuffle."""
-    if keys.count() <= most:
+    """Join with a stored table of keys: broadcast if it was measured and is small, else by shuffle."""
+    if fits(keys, most):
         keys = F.broadcast(keys)
     return left.join(keys, list(on), how)

@@ -15,6 +15,7 @@ are scored each by itself; all other columns pass through untouched, whatever th
 """
 
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.shared import free_name, prepare, stored, texts, with_column_from_text
+from treeledger.llm.shared import free_name, of_worker, prepare, stored, texts, with_column_from_text
 from treeledger.llm.sql_text import let
 
 # Labelled texts that the lexicon and the model are learned from, at most: those first in hash order.
@@ -53,8 +54,8 @@ _MOST_EDITS, _MOST_LETTERS = 2, 48
 # Quotation marks and what closes them.
 _CLOSES = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
 _QUOTES = re.compile('["“„«‘”»’]')
-# Words with their matches, and states, that a worker keeps.
-_KEPT = 1 << 18
+# Words with their matches that a worker keeps; members of all states of the automaton that it keeps.
+_KEPT, _KEPT_MEMBERS = 1 << 17, 1 << 18
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -99,6 +100,7 @@ class LexiconAutomaton:
         self._reset()
 
     def _reset(self) -> None:
+        self.members = 0  # of all states
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -119,6 +121,7 @@ class LexiconAutomaton:
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(key)
+            self.members += len(key) + 4
             self.moves.append({})
             ends = [e for node, e in key if e <= self.word_edits[node]]
             self.accepts.append(min(ends, default=-1))
@@ -158,7 +161,7 @@ class LexiconAutomaton:
 
         0, 1, 2: edits to the nearest term; 3: the word begins with a term; -1: neither.
         """
-        if len(self.states) > _KEPT:
+        if self.members > _KEPT_MEMBERS:
             self._reset()
         state = self._run(word)
         if state >= 0 and self.accepts[state] >= 0:
@@ -450,11 +453,9 @@ def _featurize(model: ToxicityModel):
 def score(docs: DataFrame, model: ToxicityModel, name: str | None = None) -> DataFrame:
     """All columns of the documents and the chance that the text is toxic."""
     prepare(docs.sparkSession)
-    scorers = {}
+    key = ("toxicity", uuid.uuid4().hex)
 
     def values(found: list[bytes]) -> pa.Array:
-        if not scorers:
-            scorers[0] = model.scorer()
-        return pa.array(scorers[0](found), pa.float64())
+        return pa.array(of_worker(key, model.scorer)(found), pa.float64())
 
     return with_column_from_text(docs, name or free_name(docs, "score"), "double", values)

@@ -1,31 +1,30 @@
 """Ids of whole texts by a word tokenizer that drops white space, with what each word gives kept.
 
 The tokenizer cuts at white space before anything else, and what it makes of a word does not depend
-on its neighbours. So a text's ids are those of its words, one after the other. The words of a batch
-are grouped by a hash, all at once; each distinct one is looked up among those that the worker
-remembers, and the library encodes the new ones.
+on its neighbours. So a text's ids are those of its words, one after the other. Texts are taken in
+slices cut at white space; each word is looked up, byte by byte, among those that the worker
+remembers, and the library encodes the new ones. A text of any length takes the memory of a slice
+besides itself and its ids, but for a word that is longer than a slice. What is remembered is bounded in bytes.
 """
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 from treeledger.llm.bpe import byte_letters
+from treeledger.llm.shared import of_worker
 
-# Words a worker remembers.
-KEPT_WORDS = 800_000
+# Bytes that the words a worker remembers take, about, and what one takes besides its letters.
+KEPT_BYTES, _WORD_BYTES = 48 << 20, 160
+# Bytes of text that are cut into words at once, about.
+SLICE = 1 << 20
 # Ids from here on do not fit into the two bytes they are kept in.
 _MOST = 1 << 16
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_STOP = np.zeros(256, bool)
-_STOP[[44, 46]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
 # Small letters of one byte, and those of two that neither case nor composition changes.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-_FACTOR = 0x9E3779B97F4A7C15
+_SPACE = re.compile(rb"[\t-\r ]")
 # No character with a lower first byte is a mark that a letter before it could be composed with.
 _LEAST_MARK = 0xC4
 
@@ -45,11 +44,41 @@ def _capitals_kept(texts: bytes, lowered: bytes) -> bytes:
     return found.tobytes()
 
 
+def lowered_words(text: bytes) -> list[bytes]:
+    """The words of a text, A-Z lowered where that changes no id and makes no special token."""
+    low = text.lower()
+    if b"|>" in low:
+        return text.split()
+    return (low if text.isascii() else _capitals_kept(text, low)).split()
+
+
+def slices(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about SLICE bytes, each but the last one with white space at its end."""
+    at = 0
+    while len(text) - at > SLICE:
+        gap = _SPACE.search(text, at + SLICE)
+        end = gap.end() if gap else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+class _Known(dict):
+    """The number of each word; a word that is met for the first time gets the next one and is to be learned."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordEncoder:
     """Encodes texts with the ``tokenizers`` file at ``path``."""
 
-    _by_path: dict[str, "WordEncoder"] = {}
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -58,85 +87,81 @@ class WordEncoder:
         self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > _MOST:
             raise ValueError("this encoder keeps ids in two bytes")
-        self.powers = np.ones(1, np.uint64)
         # How the vocabulary writes the bytes that are not printable letters.
         self.written = {b: letter for letter, b in byte_letters().items()}
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}  # number of each word
+        self.known, self.kept = _Known(), 0
         self.ids = np.empty(1 << 16, np.uint16)  # of all words, one after the other
         self.begins = np.zeros(1 << 16, np.int64)  # of each word's ids; one more for the end
 
     @classmethod
     def of_worker(cls, path: str) -> "WordEncoder":
         """The encoder of this Python worker, which serves one task after the other."""
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [_PLAIN.fullmatch(word) is not None for word in words]
+        return of_worker(("words", path), lambda: cls(path))
+
+    def _learn(self) -> None:
+        words, self.known.new = self.known.new, []
+        # A stop or comma behind letters is a piece of its own.
+        tails = [word[-1:] if word[-1:] in b".," and word[-2:-1].isalpha() else b"" for word in words]
+        heads = [word[:-1] if tail else word for word, tail in zip(words, tails)]
+        plain = [_PLAIN.fullmatch(head) is not None for head in heads]
         others = [word.decode("utf-8", "replace") for word, p in zip(words, plain) if not p]
         found = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
         # Nothing but the model itself changes a word of plain small letters.
         model, written = self.tokenizer.model, self.written
+        ends = {tail: [t.id for t in model.tokenize(tail.decode())] if tail else [] for tail in set(tails)}
         lists = [
-            [t.id for t in model.tokenize(word.decode("latin-1").translate(written))] if p else next(found).ids
-            for word, p in zip(words, plain)
+            [t.id for t in model.tokenize(head.decode("latin-1").translate(written))] + ends[tail] if p else next(found).ids
+            for head, tail, p in zip(heads, tails, plain)
         ]
-        first, new = len(self.known), np.fromiter((i for ids in lists for i in ids), np.uint16)
-        ends = self.begins[first] + np.cumsum([len(ids) for ids in lists])
-        while len(self.begins) < first + len(words) + 1:
+        first, new = len(self.known) - len(words), np.fromiter((i for ids in lists for i in ids), np.uint16)
+        last = self.begins[first] + np.cumsum([len(ids) for ids in lists])
+        while len(self.begins) < len(self.known) + 1:
             self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
-        while len(self.ids) < ends[-1]:
+        while len(self.ids) < last[-1]:
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.begins[first] : ends[-1]] = new
-        self.begins[first + 1 : first + len(words) + 1] = ends
-        self.known.update(zip(words, range(first, first + len(words))))
-
-    def _hash(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of each word: its bytes times rising powers of an odd factor, shifted to the word's begin."""
-        while len(self.powers) < len(data) + 1:
-            more = np.uint64(pow(_FACTOR, len(self.powers), 1 << 64))
-            self.powers = np.concatenate([self.powers, self.powers * more])
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
-        # Times the power that brings every word to the same place.
-        return (sums[ends] - sums[begins]) * self.powers[len(data) - begins]
+        self.ids[self.begins[first] : last[-1]] = new
+        self.begins[first + 1 : len(self.known) + 1] = last
+        self.kept += sum(map(len, words)) + _WORD_BYTES * len(words)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 16-bit numbers."""
-        if len(self.known) > KEPT_WORDS:
+    def _ids(self, words: list[bytes], counts: list[int]) -> list[bytes]:
+        """The ids of so many words each."""
+        if self.kept > KEPT_BYTES:
             self._forget()
-        # A-Z may be lowered first, but not where that could make a special token.
-        lowered = [text.lower() for text in texts]
-        lowered = [text if b"|>" in low else low for text, low in zip(texts, lowered)]
-        joined = b"\n".join(lowered)
-        if not joined.isascii():
-            joined = _capitals_kept(b"\n".join(texts), joined)
-        data = np.frombuffer(joined + b"\n", np.uint8)
-        if len(data) == 1:
-            return [b""] * len(texts)
-        space = _SPACE[data]
-        # A stop or comma between a letter and white space is a piece of its own.
-        stop = np.zeros(len(data), bool)
-        stop[1:-1] = _STOP[data[1:-1]] & _LETTER[data[:-2]] & space[2:]
-        before = np.concatenate([[True], space[:-1]])
-        begins = np.flatnonzero(~space & (before | stop))
-        after = np.concatenate([space[1:] | stop[1:], [True]])
-        ends = np.flatnonzero(~space & after) + 1
-        _, at, numbers = np.unique(self._hash(data, begins, ends), return_index=True, return_inverse=True)
-        words = [joined[b:e] for b, e in zip(begins[at].tolist(), ends[at].tolist())]
-        new = [word for word in words if word not in self.known]
-        if new:
-            self._learn(new)
-        known = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[numbers]
+        known = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn()
         sizes = self.begins[known + 1] - self.begins[known]
         last = np.concatenate([[0], np.cumsum(sizes)])
         places = np.arange(last[-1]) + np.repeat(self.begins[known] - last[:-1], sizes)
         ids = self.ids[places].astype("<u2").tobytes()
-        # Where each text's first word is, and so its first id.
-        text_ends = np.cumsum([len(text) + 1 for text in lowered])
-        limits = 2 * last[np.concatenate([[0], np.searchsorted(begins, text_ends)])]
+        limits = 2 * last[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
         return [ids[a:b] for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 16-bit numbers."""
+        found: list[list[bytes]] = [[] for _ in texts]
+        words: list[bytes] = []
+        counts: list[int] = []
+        whose: list[int] = []
+        held = 0
+
+        def flush() -> None:
+            for i, ids in zip(whose, self._ids(words, counts)):
+                found[i].append(ids)
+            words.clear(), counts.clear(), whose.clear()
+
+        for i, text in enumerate(texts):
+            for part in slices(text):
+                some = lowered_words(part)
+                words += some
+                counts.append(len(some))
+                whose.append(i)
+                held += len(part)
+                if held >= SLICE:
+                    flush()
+                    held = 0
+        flush()
+        return [b"".join(parts) for parts in found]
