@@ -5,9 +5,9 @@ three in that order (with all that equal the third); among any three at least tw
 the prefix with the smallest sum of frequencies, chosen by dynamic programming. One edit touches one
 of two disjoint pivots at most, so of two words one edit apart, the one whose prefix ends earlier in the
 order has a pivot that stands in the other's prefix; where it may stand there follows from the
-lengths: at its own place if they are equal, else there or one further. So pivots meet prefixes by
-(bigram, place, length), equal keys only, and the pairs that meet are verified by their distance. Keys
-with many prefixes are cut into pieces, each of which the pivots are sent to.
+lengths and from the side of it on which the edit lies, and what stands on its other side is equal. So pivots
+meet prefixes by (bigram, place, length, text on one side), equal keys only, and the pairs that meet are
+verified by their distance. Keys with many prefixes are cut into pieces, each of which the pivots are sent to.
 
 A word's form is its near word with the largest count, ties by code points, if that count is at least
 twice its own; the root follows forms to the end by doubling steps, and counts at least double each time.
@@ -27,11 +27,10 @@ from pyspark.sql import functions as F
 
 from treeledger.llm.shared import keyed_join, prepare, stored
 
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+_RUN = re.compile("[a-zÀ-ÿ]{5,}")
 _BREAK = re.compile("[^A-Za-zÀ-ÿ]")
 # Characters of a text read at once, about; distinct words a task holds before it passes their counts on.
-_SLICE, _HELD = 1 << 20, 1 << 17
+_SLICE, _HELD = 1 << 20, 1 << 19
 LEAST_LETTERS, LEAST_COUNT = 5, 3
 # One of so many words of documents is misspelt on purpose.
 MISSPELT = 97
@@ -39,6 +38,11 @@ MISSPELT = 97
 PIECE = 2048
 
 
+def lowered(text: str) -> str:
+    """The text with A-Z as small letters, all others as they are."""
+    return text.encode().lower().decode()
+
+
 def slices(text: str) -> Iterator[str]:
     """The text in pieces of about _SLICE characters, none of which ends within a run of letters."""
     at = 0
@@ -50,9 +54,9 @@ def slices(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def misspelt(doc_id: str, run: str) -> str:
-    """The run, or without one letter if the checksum of document and run says so."""
-    h = zlib.crc32(f"{doc_id}:{run}".encode())
+def misspelt(run: str, start: int) -> str:
+    """The run, or without one letter if the checksum of document and run says so; ``start`` is that of the document."""
+    h = zlib.crc32(run.encode(), start)
     if h % MISSPELT:
         return run
     at = h % len(run)
@@ -60,19 +64,20 @@ def misspelt(doc_id: str, run: str) -> str:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[str] = Counter()
+    held: dict[str, int] = {}
 
     def batch_of() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0), batch.column(1)):
-            name = "" if not doc_id.is_valid else str(doc_id.as_py())
+            start = zlib.crc32(f"{'' if not doc_id.is_valid else doc_id.as_py()}:".encode())
             for part in slices(text.as_py() or ""):
-                for run, n in Counter(_RUN.findall(part.translate(_LOWER))).items():
-                    word = misspelt(name, run)
+                # A letter may go, but none comes.
+                for run, n in Counter(_RUN.findall(lowered(part))).items():
+                    word = misspelt(run, start)
                     if len(word) >= LEAST_LETTERS:
-                        held[word] += n
+                        held[word] = held.get(word, 0) + n
                 if len(held) > _HELD:
                     yield batch_of()
                     held.clear()
@@ -136,34 +141,36 @@ def _grams(words: DataFrame) -> DataFrame:
 def near_pairs(words: DataFrame, piece: int = PIECE) -> DataFrame:
     """word, n, other, other_n: all pairs of words one edit apart, in both directions."""
     grams = _grams(words)
-    entries = grams.selectExpr("word", "n", "letters", "last", "explode(prefix) AS at").selectExpr(
-        "word", "n", "last", "at.g", "at.p", "letters"
+    # The edit lies on one side of a pivot that survives, so what stands on the other side is equal too.
+    left, right = "struct(0 AS side, substring({w}, 1, at.p) AS text)", "struct(1 AS side, substring({w}, at.p + 3) AS text)"
+    key = "xxhash64(at.g, {p}, {letters}, kept.side, kept.text) AS key"
+    entries = (
+        grams.selectExpr("word", "n", "letters", "last", "explode(prefix) AS at")
+        .selectExpr("word", "n", "letters", "last", "at", f"explode(array({left.format(w='word')}, {right.format(w='word')})) AS kept")
+        .selectExpr("word", "n", "last", key.format(p="at.p", letters="letters"))
     )
-    key = ["g", "p", "letters"]
-    # Places that a pivot may have in a word as long, one longer or one shorter.
-    places = """array(struct(p, letters), struct(p, letters + 1 AS letters), struct(p + 1 AS p, letters + 1 AS letters),
-        struct(p, letters - 1 AS letters), struct(p - 1 AS p, letters - 1 AS letters))"""
+    # By how much the other word is longer, and so how far on the pivot stands there if the edit is before it.
     probes = (
         grams.selectExpr("word AS w", "n AS wn", "letters", "last AS wlast", "explode(pivots) AS at")
-        .selectExpr("w", "wn", "wlast", "at.g", "at.p", "letters")
-        .selectExpr("w", "wn", "wlast", "g", f"explode({places}) AS to")
-        .selectExpr("w", "wn", "wlast", "g", "to.p", "to.letters")
-        .where(f"p >= 0 AND letters >= {LEAST_LETTERS}")
+        .selectExpr("w", "wn", "letters", "wlast", "at", f"explode(array({left.format(w='w')}, {right.format(w='w')})) AS kept")
+        .selectExpr("w", "wn", "letters", "wlast", "at", "kept", "explode(array(0, 1, -1)) AS longer")
+        .selectExpr("w", "wn", "wlast", key.format(p="at.p + kept.side * longer", letters="letters + longer"))
     )
-    # Keys with many entries; each takes PIECE of them, so there are few.
+    # Keys with many entries; each takes a piece of them, so there are few.
     crowded = stored(
-        entries.groupBy(*key).agg(F.expr("count(1) AS _n")).where(f"_n > {piece}").selectExpr(*key, f"CAST(ceil(_n / {piece}) AS INT) AS _pieces"),
+        entries.groupBy("key").agg(F.expr("count(1) AS _n")).where(f"_n > {piece}").selectExpr("key", f"CAST(ceil(_n / {piece}) AS INT) AS _pieces"),
         "crowded",
     )
-    entries = keyed_join(entries, crowded, key, "left").selectExpr(
-        "word", "n", "last", *key, "coalesce(pmod(xxhash64(word), _pieces), 0L) AS _piece"
+    entries = keyed_join(entries, crowded, ["key"], "left").selectExpr(
+        "word", "n", "last", "key", "coalesce(pmod(xxhash64(word), _pieces), 0L) AS _piece"
     )
-    probes = keyed_join(probes, crowded, key, "left").selectExpr(
-        "w", "wn", "wlast", *key, "explode(sequence(0L, coalesce(_pieces, 1) - 1L)) AS _piece"
+    probes = keyed_join(probes, crowded, ["key"], "left").selectExpr(
+        "w", "wn", "wlast", "key", "explode(sequence(0L, coalesce(_pieces, 1) - 1L)) AS _piece"
     )
-    met = probes.join(entries, [*key, "_piece"]).where("wlast <= last AND w <> word AND levenshtein(w, word, 1) = 1")
-    both = "explode(array(struct(w AS word, wn AS n, word AS other, n AS other_n), struct(word, n, w AS other, wn AS other_n))) AS pair"
-    return met.selectExpr(both).selectExpr("pair.*").distinct()
+    met = probes.join(entries, ["key", "_piece"]).where("wlast <= last AND w <> word AND levenshtein(w, word, 1) = 1")
+    once = met.selectExpr("if(w < word, struct(w, wn, word, n), struct(word AS w, n AS wn, w AS word, wn AS n)) AS pair").distinct()
+    both = "explode(array(struct(pair.w AS word, pair.wn AS n, pair.word AS other, pair.n AS other_n), struct(pair.word, pair.n, pair.w AS other, pair.wn AS other_n))) AS pair"
+    return once.selectExpr(both).selectExpr("pair.*")
 
 
 def follow(forms: DataFrame) -> DataFrame:
