@@ -163,6 +163,19 @@ def oracle_sql() -> dict[str, str]:
         "diff_ties": _diff(ties),
         "diff_orders": _diff(orders),
         "diff_crowded": _diff(crowded),
+        "diff_pruned": _diff(i.PAIR),
+        "keep_unread": _sql(
+            i.UNREAD,
+            f"""SELECT path, kind, digest FROM seen UNION ALL
+                SELECT path, kind, digest FROM listing WHERE {_inside('listing.path', 'broken')} AND path NOT IN (SELECT path FROM seen)""",
+        ),
+        "refresh_unread": _sql(
+            i.COPY_COMMITS,
+            """SELECT c.store, c.snapshot_id, arg_max(commit_id, seq) AS base_commit_id, concat(c.store, '/', c.snapshot_id) AS reference
+               FROM copy_commits c WHERE conv_id % 3 <> 0 GROUP BY c.store, c.snapshot_id
+               UNION ALL SELECT k.store, k.snapshot_id, k.base_commit_id, k.reference FROM known k
+               JOIN lost l ON l.store = k.store AND l.snapshot_id = k.snapshot_id""",
+        ),
         "diff_copies": _diff(
             i.COPIES,
             f"""SELECT CASE WHEN s.source IS NULL THEN status ELSE 'C' END AS status,

@@ -259,6 +259,13 @@ listing AS (
   SELECT path, 'blob' AS kind, digest FROM marks
   UNION SELECT concat(dir, '/', mark), 'blob', sha1(mark) FROM marks WHERE mark IS NOT NULL)"""
 
+# The same pages seen later: those of some folders could not be read, Spanish ones are gone, others were edited.
+UNREAD = f"""{PATHS},
+broken AS (SELECT DISTINCT dir AS path, 'Permission denied' AS reason FROM marks WHERE mark = '.sodignore'),
+seen AS (
+  SELECT path, kind, CASE WHEN path LIKE '%/de/%' THEN sha1(concat(digest, '!')) ELSE digest END AS digest FROM listing
+  WHERE path NOT LIKE '%/es/%' AND regexp_extract(path, '^(.*)/[^/]*$', 1) NOT IN (SELECT path FROM broken))"""
+
 # Where copies of hosts would lie in two backup stores.
 COPIES_OF_HOSTS = f"""{WEB},
 paths AS (
@@ -274,7 +281,7 @@ stores AS (
 COPY_COMMITS = """
 copy_commits AS (
   SELECT CASE WHEN substr(sha1(CAST(conv_id AS STRING)), 1, 1) < '8' THEN 'aux1' ELSE 'aux2' END AS store,
-         CAST(conv_id AS STRING) AS snapshot_id, turn AS seq, sha1(concat(role, text)) AS commit_id
+         CAST(conv_id AS STRING) AS snapshot_id, turn AS seq, sha1(concat(role, text)) AS commit_id, conv_id
   FROM {conversations}),
 known AS (
   SELECT store, snapshot_id, commit_id AS base_commit_id, concat(store, '/', snapshot_id) AS reference
@@ -282,7 +289,9 @@ known AS (
   UNION ALL SELECT store, concat('gone', snapshot_id), commit_id, concat(store, '/gone', snapshot_id)
   FROM copy_commits WHERE seq = 1),
 stores AS (
-  SELECT * FROM (VALUES ('aux1', 'file:///a/*', 0), ('aux2', 'file:///b/*', 1)) s (store, url, ordinal))"""
+  SELECT * FROM (VALUES ('aux1', 'file:///a/*', 0), ('aux2', 'file:///b/*', 1)) s (store, url, ordinal)),
+lost AS (
+  SELECT DISTINCT store, snapshot_id, 'not a ledger' AS reason FROM copy_commits WHERE conv_id % 3 = 0)"""
 
 
 def _render(sql: str, dialect: dict[str, str]) -> str:

@@ -45,6 +45,23 @@ _diff = _pair_diff(i.PAIR)
 _diff_orders = _pair_diff(i.ORDERS)
 
 
+def _diff_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = (_stored(side) for side in _tables(spark, sf_dir, i.PAIR, "old", "new"))
+    return compare.diff_pruned(old, new, *[_stored(rollup.dir_rollup(side)) for side in (old, new)])
+
+
+def _keep_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing, seen, broken = _tables(spark, sf_dir, i.UNREAD, "listing", "seen", "broken")
+    return constrain.keep_unread(listing, seen, broken)
+
+
+def _refresh_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All snapshots are looked at again, but every third copy cannot be read."""
+    known, commits, stores, lost = _tables(spark, sf_dir, i.COPY_COMMITS, "known", "copy_commits", "stores", "lost")
+    readable = commits.join(lost, ["store", "snapshot_id"], "left_anti")
+    return store_sources.refresh_snapshots(known, store_sources.newest_commits(readable), stores, unread=lost)
+
+
 def _adds_new_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diff(spark, sf_dir).select("path", "status", adds_new_content().alias("adds_new_content"))
 
@@ -480,6 +497,9 @@ def queries() -> dict[str, Query]:
         "diff_orders": _diff_orders,
         # A lower mark for large groups, so that the split ranks run at the size of the test data.
         "diff_crowded": _pair_diff(i.CROWDED, hot_rows=2_000),
+        "diff_pruned": _diff_pruned,
+        "keep_unread": _keep_unread,
+        "refresh_unread": _refresh_unread,
         "diff_copies": _pair_diff(i.COPIES, new="copied", copies=True),
         "diff_typechange": _pair_diff(i.LINKED, typechange=True),
         "diff_kinds_apart": _pair_diff(i.LINKED),

@@ -61,8 +61,12 @@ def probe_cache(listing: DataFrame, cache: DataFrame) -> DataFrame:
     )
     lacking = [f for f in LISTING if f.name not in listing.columns]
     whole = listing.withColumns({f.name: F.lit(None).cast(f.dataType) for f in lacking}) if lacking else listing
-    found = whole.join(entry.withColumnRenamed("_entry", "_of_path"), "path", "left").join(
-        by_file, ["dev", "inode"], "left"
+    # What has no identity is spread by its path, where it finds nothing.
+    file_key = "concat(dev, ':', inode)"
+    found = (
+        whole.join(entry.withColumnRenamed("_entry", "_of_path"), "path", "left")
+        .selectExpr("*", f"coalesce({file_key}, path) AS _file")
+        .join(by_file.selectExpr(f"{file_key} AS _file", "_of_file"), "_file", "left")
     )
     return (
         found.selectExpr(

@@ -1,13 +1,16 @@
 """Two manifests in, the changes between them out."""
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeledger.functions.paths import parent_dir
 from treeledger.functions.status import STATUS_NAMES, adds_new_content
-from treeledger.operators.spread import HOT_ROWS, rank_in_groups, sample_rows, spread_join
+from treeledger.operators.spread import HOT_ROWS, lookup_join, rank_in_groups, sample_rows, spread_join
 from treeledger.schema import ZERO_DIGEST
+from treeledger.session import stored
 
 # Rows of one group that are paired in one task.
 _PAIR_BLOCK = 1 << 16
@@ -262,6 +265,39 @@ def diff(
     return delta
 
 
+def differing_dirs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Directories that differ between two stored rollups, found from the root down; below equal ones nothing is looked at.
+
+    Each step reads the children of the directories that differ one level above.
+    """
+    sides = [side.selectExpr("dir", "struct(n_files, h1, h2) AS _sum", f"if(dir = '', NULL, {parent_dir('dir')}) AS _parent") for side in (old, new)]
+    level, found = None, []
+    while True:
+        parts = [side.where("dir = ''") if level is None else lookup_join(side, level, ["_parent"], "left_semi", ["dir"]) for side in sides]
+        both = parts[0].selectExpr("dir", "_sum AS _old").join(parts[1].selectExpr("dir", "_sum AS _new"), "dir", "full_outer")
+        level = stored(both.where("NOT _old <=> _new").selectExpr("dir AS _parent"), "differing")
+        if level.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found, level).selectExpr("_parent AS dir")
+        found.append(level)
+
+
+def in_dirs(manifest: DataFrame, dirs: DataFrame) -> DataFrame:
+    """The entries that lie directly in one of the directories, which are sent to the manifest if they are few."""
+    placed = manifest.selectExpr("*", f"{parent_dir()} AS dir")
+    return lookup_join(placed, dirs, ["dir"], "left_semi", ["path"]).drop("dir")
+
+
+def diff_pruned(old: DataFrame, new: DataFrame, old_rollup: DataFrame, new_rollup: DataFrame, **options) -> DataFrame:
+    """What ``diff`` gives, without comparing what lies in directories whose rollups are equal.
+
+    Copies need the whole old manifest, so they cannot be looked for here.
+    """
+    if options.get("copies"):
+        raise ValueError("copies may come from directories that are left out")
+    dirs = differing_dirs(old_rollup, new_rollup)
+    return diff(in_dirs(old, dirs), in_dirs(new, dirs), **options)
+
+
 def filter_status(delta: DataFrame, letters: str | None) -> DataFrame:
     """Keep the statuses in upper-case letters, or all but those in lower-case letters."""
     if not letters:
@@ -282,10 +318,17 @@ def new_content(delta: DataFrame) -> DataFrame:
 
 
 def apply_delta(old: DataFrame, delta: DataFrame) -> DataFrame:
-    """The manifest that the changes turn the old one into."""
-    replaced = delta.where("status IN ('D', 'R', 'M', 'T')").selectExpr("old_path AS path")
-    arrived = delta.where("status <> 'D'").selectExpr(
-        "new_path AS path", "new_kind AS kind", "new_digest AS digest"
-    )
-    kept = old.select("path", "kind", "digest").join(replaced, "path", "left_anti")
-    return kept.unionByName(arrived)
+    """The manifest that the changes turn the old one into. The change table is read once.
+
+    Each change says which path goes and which entry comes; the entries of a path meet in one group, where what
+    comes counts before what goes, and that before what was there.
+    """
+    none = "CAST(NULL AS STRING)"
+    moved = delta.selectExpr(
+        f"""explode(concat(
+            if(status IN ('D', 'R', 'M', 'T'), array(struct(old_path AS path, 1 AS turn, {none} AS kind, {none} AS digest)), array()),
+            if(status <> 'D', array(struct(new_path AS path, 2 AS turn, new_kind AS kind, new_digest AS digest)), array()))) AS e"""
+    ).select("e.*")
+    every = old.selectExpr("path", "0 AS turn", "kind", "digest").unionByName(moved)
+    last = every.groupBy("path").agg(F.expr("max_by(struct(kind, digest), turn) AS _entry"))
+    return last.where("_entry.kind IS NOT NULL").selectExpr("path", "_entry.kind AS kind", "_entry.digest AS digest")

@@ -70,3 +70,13 @@ def exclude(manifest: DataFrame, paths: Paths) -> DataFrame:
             return flagged.where("NOT _below").drop("_below")
         return manifest.join(_marked(manifest, paths), "path", "left_anti")
     return manifest.where(f"NOT {at_or_below('path', [normalised(path) for path in paths])}")
+
+
+def keep_unread(old: DataFrame, new: DataFrame, unread: DataFrame) -> DataFrame:
+    """The new manifest with the old entries at and below what could not be read, where it has none itself.
+
+    So what was not read is taken to be as it was, and not for deleted. ``unread`` has ``path``.
+    """
+    columns = ["path", "kind", "digest"]
+    left = constrain(old.select(*columns), unread.select("path"))
+    return new.select(*columns).unionByName(left.join(new.select("path"), "path", "left_anti"))

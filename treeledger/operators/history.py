@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from treeledger.operators.compare import delta_of_sides, detect_renames
 from treeledger.operators.intervals import changes_of_manifests
-from treeledger.operators.spread import HOT_ROWS, lookup_join, sample_rows, spread_join
+from treeledger.operators.spread import HOT_ROWS, lookup_join, sample_rows
+from treeledger.session import stored
 
 # Fixed value: the fewest digits by which a commit id may be abbreviated.
 MIN_PREFIX = 4
@@ -85,60 +86,74 @@ def decorate(commits: DataFrame, snapshots: DataFrame, stores: DataFrame) -> Dat
 _STEPS = r"^(.*?)((?:~[0-9]*|\\^[0-9]*)*)$"
 
 
+def _by_prefix(keys: DataFrame, commits: DataFrame) -> DataFrame:
+    """Which commit each beginning of an id stands for, where no other id begins so: _key, _short.
+
+    Ids and keys are sorted together among those with the same first digits. The least id that is not below
+    a key is the only one it can stand for, if the id after that one begins otherwise.
+    """
+    ids = commits.selectExpr("commit_id AS _at", "commit_id AS _id", "seq")
+    every = ids.unionByName(keys.selectExpr("_key AS _at", "CAST(NULL AS STRING) AS _id", "CAST(NULL AS LONG) AS seq"))
+    # From the last one down, an id before the key that equals it.
+    down = f"OVER (PARTITION BY substring(_at, 1, {MIN_PREFIX}) ORDER BY _at DESC, _id IS NULL {{}})"
+    before = down.format("ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    placed = every.selectExpr("*", f"last(_id, true) {before} AS _above")
+    near = placed.selectExpr("*", f"last(if(_id IS NULL, NULL, struct(_id, seq, _above)), true) {before} AS _near")
+    return near.where("_id IS NULL AND startswith(_near._id, _at) AND NOT coalesce(startswith(_near._above, _at), false)").selectExpr(
+        "_at AS _key", "_near.seq AS _short"
+    )
+
+
 def resolve_refs(
-    refs: DataFrame, commits: DataFrame, snapshots: DataFrame | None = None, branch: str = "master"
+    refs: DataFrame,
+    commits: DataFrame,
+    snapshots: DataFrame | None = None,
+    branch: str = "master",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The commit each name stands for; ``problem`` says so where there is none.
 
     A snapshot's name comes first, then ``HEAD``, ``@`` and the branch, and a commit id or the start of
     one that no other commit shares; steps back (``~n``, ``^``) may follow any of them. A commit has one
-    parent, so ``^2`` stands for nothing. Ids are cut to the lengths that occur among the names, of
-    which there are at most 37, so that prefixes are found by an ordinary join.
+    parent, so ``^2`` stands for nothing. Very many names may share a base or stand for one commit; small
+    tables of snapshots and commits are sent to the names, large ones meet them with such keys split.
     """
     step = "CASE WHEN x IN ('~', '^', '^1') THEN 1L WHEN x = '^0' THEN 0L WHEN x LIKE '~%' THEN try_cast(substring(x, 2) AS bigint) END"
-    parsed = refs.select("ref").distinct().selectExpr(
-        "ref",
-        f"regexp_extract(ref, '{_STEPS}', 1) AS _base",
-        f"aggregate(regexp_extract_all(regexp_extract(ref, '{_STEPS}', 2), '[~^][0-9]*', 0), 0L, (a, x) -> a + {step}) AS _steps",
+    stepped = f"regexp_extract(ref, '{_STEPS}', {{}})"
+    parsed = (
+        refs.select("ref")
+        .distinct()
+        .selectExpr("ref", "ref RLIKE '[~^]' AS _stepped")
+        .selectExpr(
+            "ref",
+            f"if(_stepped, {stepped.format(1)}, ref) AS _base",
+            f"if(_stepped, aggregate(regexp_extract_all({stepped.format(2)}, '[~^][0-9]*', 0), 0L, (a, x) -> a + {step}), 0L) AS _steps",
+        )
     )
     named = parsed.selectExpr("ref", "_base AS _target", "_steps")
     if snapshots is not None:
-        taken = snapshots.select("reference", "base_commit_id")
-        named = (
-            parsed.join(taken.selectExpr("reference AS ref", "base_commit_id AS _whole"), "ref", "left")
-            .join(taken.selectExpr("reference AS _base", "base_commit_id AS _part"), "_base", "left")
-            .selectExpr("ref", "coalesce(_whole, _part, _base) AS _target", "if(_whole IS NULL, _steps, 0L) AS _steps")
+        taken = stored(snapshots.select("reference", "base_commit_id"), "taken")
+        whole, part = (taken.selectExpr(f"reference AS {c}", f"base_commit_id AS {name}") for c, name in (("ref", "_whole"), ("_base", "_part")))
+        found = lookup_join(parsed, whole, ["ref"], "left", ["ref"], hot_rows)
+        named = lookup_join(found, part, ["_base"], "left", ["ref"], hot_rows).selectExpr(
+            "ref", "coalesce(_whole, _part, _base) AS _target", "if(_whole IS NULL, _steps, 0L) AS _steps"
         )
 
-    keyed = named.withColumn("_head", head_seq(commits)).withColumn("_branch", F.lit(branch)).selectExpr(
-        "ref",
-        "_steps",
-        "if(_target IN ('HEAD', '@', _branch), concat('@', _head), lower(_target)) AS _key",
-    )
-    lengths = (
-        keyed.where(f"_key RLIKE '^[0-9a-f]{{{MIN_PREFIX},{_ID_LENGTH}}}$'")
-        .agg(F.expr("collect_set(length(_key)) AS _lengths"))
-        .scalar()
-    )
-    prefixes = (
-        commits.select("commit_id", "seq")
-        .withColumn("_lengths", lengths)
-        .selectExpr("seq", "explode(_lengths) AS _length", "commit_id")
-        .selectExpr("seq", "substring(commit_id, 1, _length) AS _key")
-    )
-    places = head_commit(commits).selectExpr("seq", "concat('@', seq) AS _key")
-    found = (
-        keyed.select("_key")
-        .distinct()
-        .join(prefixes.unionByName(places), "_key")
-        .groupBy("_key")
-        .agg(F.expr("count(1) AS _n"), F.expr("min(seq) AS _from"))
-        .where("_n = 1")
-        .select("_key", "_from")
+    known = stored(commits.select("commit_id", "seq"), "known")
+    keyed = stored(
+        named.withColumn("_head", head_seq(known))
+        .withColumn("_branch", F.lit(branch))
+        .selectExpr("*", "_target IN ('HEAD', '@', _branch) AS _at_head")
+        .selectExpr("ref", "_steps", "if(_at_head, _head, NULL) AS _tip", "if(_at_head, NULL, lower(_target)) AS _key"),
+        "keyed",
     )
-    # Very many names may stand for one commit.
-    based = spread_join(keyed, found, ["_key"], "left", ["ref"]).selectExpr("ref", "_from - _steps AS seq")
-    return based.join(commits.select("seq", "commit_id"), "seq", "left").selectExpr(
+    hex_key = f"_key RLIKE '^[0-9a-f]{{{MIN_PREFIX},{_ID_LENGTH - 1}}}$'"
+    short = stored(_by_prefix(keyed.where(hex_key).select("_key").distinct(), known), "short")
+    whole = known.selectExpr("commit_id AS _key", "seq AS _full")
+    based = lookup_join(keyed, whole, ["_key"], "left", ["ref"], hot_rows)
+    based = lookup_join(based, short, ["_key"], "left", ["ref"], hot_rows)
+    based = based.selectExpr("ref", "coalesce(_tip, _full, _short) - _steps AS seq")
+    return lookup_join(based, known, ["seq"], "left", ["ref"], hot_rows).selectExpr(
         "ref",
         "commit_id",
         "if(commit_id IS NULL, NULL, seq) AS seq",

@@ -138,8 +138,6 @@ def locate_first(
     wanted = lookup_join(wanted, newest, ["seq"], "inner", ["path", "ref"], hot_rows).selectExpr(
         "path", "ref", "kind", "digest", "last AS _until"
     )
-    wanted = stored(wanted, "wanted")
-
     contents = wanted.select("kind", "digest").distinct()
     runs = spread_join(intervals, contents, ["kind", "digest"], "left_semi", ["path", "from_seq"], hot_rows)
     # What still lasts reaches to the last snapshot of all.
@@ -163,14 +161,13 @@ def locate_first(
         .where("_asks AND _far IS NOT NULL")
         .selectExpr("kind", "digest", "at AS _until", "least(at, _far) AS seq")
     )
-    found = stored(spread_join(wanted, best, ["kind", "digest", "_until"], "inner", ["path", "ref"], hot_rows).drop("_until"), "found")
+    found = spread_join(wanted, best, ["kind", "digest", "_until"], "inner", ["path", "ref"], hot_rows).drop("_until")
 
-    own = held.selectExpr("path", "kind", "digest", "from_seq", "_reach")
-    inside = (found["seq"] >= own["from_seq"]) & (found["seq"] <= own["_reach"])
-    same = [found[c] == own[c] for c in ("path", "kind", "digest")]
+    # A path has few intervals of one content; at most one holds the place.
+    own = held.selectExpr("path AS _path", "kind AS _kind", "digest AS _digest", "from_seq", "_reach")
+    inside = "path = _path AND kind = _kind AND digest = _digest AND seq >= from_seq AND seq <= _reach"
     placed = stored(
-        found.join(own, [*same, inside], "left").select(*[found[c] for c in found.columns], own["path"].isNotNull().alias("same_path")),
-        "placed",
+        found.join(own, F.expr(inside), "left").selectExpr(*found.columns, "_path IS NOT NULL AS same_path"), "placed"
     )
     # Content that lies elsewhere: its first path there.
     moved = placed.where("NOT same_path").select("kind", "digest", "seq").distinct()

@@ -9,11 +9,12 @@ from treeledger.functions.digests import text_digest, unreadable
 from treeledger.functions.paths import normalised
 from treeledger.operators.cache import probe_cache, refresh_cache, split_cached
 from treeledger.operators.compare import diff
+from treeledger.operators.constrain import keep_unread
 from treeledger.operators.spread import HOT_ROWS
 from treeledger.schema import BLOB, DIGEST_CACHE, LINK
 from treeledger.session import new_shared_path
 from treeledger.sources.content import digest_files
-from treeledger.sources.tree import scan_tree
+from treeledger.sources.tree import walk_tree
 
 
 class TreeState(NamedTuple):
@@ -23,6 +24,27 @@ class TreeState(NamedTuple):
     manifest: DataFrame  # path, kind, digest, mtime_ns, unreadable
     cache: DataFrame
     links: DataFrame  # digest, link_target
+    unread: DataFrame  # path, reason: directories and links that could not be read
+
+
+class Unread(RuntimeError):
+    """Parts of a tree could not be read, so what is missing there is not known to be gone."""
+
+
+def settle_unread(manifest: DataFrame, unread: DataFrame, previous: DataFrame | None, mode: str = "refuse") -> DataFrame:
+    """A manifest that may be recorded, although some of the tree could not be read.
+
+    ``refuse``: an error if there is anything unread. ``keep``: entries of the previous manifest stay
+    there. ``drop``: what was not read is recorded as deleted.
+    """
+    if mode not in ("refuse", "keep", "drop"):
+        raise ValueError(f"not a way to treat what was not read: {mode}")
+    if mode == "drop" or unread.isEmpty():
+        return manifest
+    if mode == "refuse":
+        shown = [f"{row['path'] or '.'} ({row['reason']})" for row in unread.orderBy("path").take(5)]
+        raise Unread(f"not read: {', '.join(shown)}{', ...' if unread.count() > 5 else ''}")
+    return manifest if previous is None else keep_unread(previous, manifest, unread)
 
 
 def build_manifest(
@@ -35,10 +57,11 @@ def build_manifest(
 ) -> TreeState:
     """Scan a tree, read only files the cache does not know, and say what the cache is now.
 
+    What the walk could not read is in ``unread``; ``settle_unread`` decides about it before a commit.
     Digests are written once to the shared folder, since manifest and cache both need them and no
     file should be read twice. With ``rehash`` all files are read and the cache is rewritten.
     """
-    listing = scan_tree(spark, root, paths, **scan_options)
+    listing, unread = walk_tree(spark, root, paths, **scan_options)
     files = listing.where(F.col("kind") == BLOB)
     if rehash or cache is None:
         hits, misses = split_cached(files, None)
@@ -67,7 +90,7 @@ def build_manifest(
     known = cache if cache is not None else spark.createDataFrame([], DIGEST_CACHE)
     below = None if paths is None else [normalised(path) for path in paths]
     fresh = refresh_cache(known, read, hits, below)
-    return TreeState(listing, manifest, fresh, links.select("digest", "link_target"))
+    return TreeState(listing, manifest, fresh, links.select("digest", "link_target"), unread)
 
 
 def verify(

@@ -11,6 +11,7 @@ from treeledger.operators.compare import delta_of_sides, detect_renames
 from treeledger.operators.history import head_commit
 from treeledger.operators.intervals import change_set
 from treeledger.operators.rollup import changed_root, root_rollup
+from treeledger.plans.manifest import settle_unread
 from treeledger.schema import COMMITS, MANIFEST
 from treeledger.session import stored
 from treeledger.sources import ledger, tables
@@ -28,6 +29,8 @@ def commit(
     message: str,
     when: int | None = None,
     tz_offset_min: int = 0,
+    unread: DataFrame | None = None,
+    mode: str = "refuse",
 ) -> DataFrame:
     """Append a commit and return it with ``adds_new_content``, the reason to take a snapshot.
 
@@ -35,11 +38,14 @@ def commit(
     stored and looked at. The place in the history is claimed first, so of two writers one gets it and the
     other an error. The change set is written before the row that makes the commit visible, so a job
     that fails in between leaves nothing but a claim, which is given back. The id follows from parent, time, message and content.
+    ``unread`` lists what the scan could not read; see ``settle_unread`` for ``mode``.
     """
     commits = read_commits(spark, base)
     parent = head_commit(commits).select("commit_id", "seq").first()
     seq = parent["seq"] + 1 if parent else 0
     head = read_manifest(spark, base, parent["commit_id"]) if parent else spark.createDataFrame([], MANIFEST)
+    if unread is not None:
+        staged = settle_unread(staged, unread, head, mode)
     changes = stored(change_set(head, staged.select(*MANIFEST.names)), "changes")
     renamed = detect_renames(
         delta_of_sides(changes.selectExpr("path", "old_kind", "old_digest", "kind AS new_kind", "digest AS new_digest"))

@@ -37,6 +37,12 @@ LISTING = _struct(
     ("ctime_ns", _L, True),
 )
 
+# What could not be read, a directory with all below it or a link, and why.
+UNREAD = _struct(("path", _S, False), ("reason", _S, True))
+
+# The same for stores and their copies.
+UNREAD_COPIES = _struct(("store", _S, False), ("snapshot_id", _S, True), ("reason", _S, True))
+
 DIGEST_CACHE = _struct(
     ("path", _S, False),
     ("version", _I, True),

@@ -3,15 +3,19 @@
 import itertools
 import logging
 import os
+import stat
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.schema import LEDGER_DIR, SNAPSHOTS
-from treeledger.session import ship_package
+from treeledger.operators.spread import lookup_join
+from treeledger.schema import LEDGER_DIR, SNAPSHOTS, UNREAD_COPIES
+from treeledger.session import ship_package, stored
 from treeledger.sources.names import to_name, to_text
 
 logger = logging.getLogger(__name__)
@@ -97,8 +101,9 @@ def snapshot_ids(paths: DataFrame, stores: DataFrame, marker: str = LEDGER_DIR)
             "concat_ws('/', slice(_parts, 1, _n - 1), '*', slice(_parts, _n + 1, size(_parts))) AS _key",
         )
     )
+    # Every path of a host may share a key; the patterns are as few as the stores.
     return (
-        copies.join(keyed, "_key")
+        lookup_join(copies, keyed, ["_key"], "inner", ["_name", "_key"])
         .where(
             """startswith(_name, _before) AND endswith(_name, _after)
                AND length(_name) >= length(_before) + length(_after)
@@ -113,16 +118,29 @@ def snapshot_ids(paths: DataFrame, stores: DataFrame, marker: str = LEDGER_DIR)
     )
 
 
-def _matching(parent: str, start: str, end: str) -> Iterator[str]:
-    try:
-        with os.scandir(parent) as entries:
-            for entry in entries:
-                name = entry.name
-                fits = name.startswith(start) and name.endswith(end) and len(name) >= len(start) + len(end)
-                if fits and (start or not name.startswith(".")):
-                    yield name
-    except OSError as error:
-        logger.error("store not read: %s", error)
+_COPY = "store string, snapshot_id string, root string, reason string"
+
+
+class Copies(NamedTuple):
+    """What stores hold, and what of them could not be read."""
+
+    found: DataFrame
+    unread: DataFrame  # store, snapshot_id (NULL: the store itself), reason
+
+
+def _apart(read: DataFrame, label: str) -> Copies:
+    """Found rows and errors of one reading, which is done once."""
+    kept = stored(read, label)
+    return Copies(kept.where("reason IS NULL").drop("reason"), kept.where("reason IS NOT NULL").select(*UNREAD_COPIES.names))
+
+
+def _reason(error: Exception) -> str:
+    logger.error("not read: %s", error)
+    return to_text(getattr(error, "strerror", None) or str(error) or type(error).__name__)
+
+
+def _frame(store: str, ids: list, roots: list, reason: str | None = None) -> pd.DataFrame:
+    return pd.DataFrame({"store": store, "snapshot_id": ids, "root": roots, "reason": reason}, dtype=object)
 
 
 def _names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,83 +149,113 @@ def _names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for store, url_path in zip(frame["store"], frame["url_path"]):
             path = to_name(url_path)
             if "*" not in path:
-                yield pd.DataFrame({"store": [store], "snapshot_id": [None], "root": [url_path]})
+                yield _frame(store, [None], [url_path])
                 continue
             before, after = path.split("*")
             parent, start = os.path.split(before)
             end, _, below = after.partition("/")
-            names = _matching(parent or "/", start, end)
-            while found := list(itertools.islice(names, 10_000)):
-                yield pd.DataFrame(
-                    {
-                        "store": store,
-                        "snapshot_id": [to_text(n[len(start) : len(n) - len(end)]) for n in found],
-                        "root": [to_text(os.path.join(parent, n, below)) for n in found],
-                    }
-                )
+            try:
+                with os.scandir(parent or "/") as entries:
+                    names = (
+                        n.name
+                        for n in entries
+                        if n.name.startswith(start) and n.name.endswith(end) and len(n.name) >= len(start) + len(end)
+                        and (start or not n.name.startswith("."))
+                    )
+                    while found := list(itertools.islice(names, 10_000)):
+                        ids = [to_text(n[len(start) : len(n) - len(end)]) for n in found]
+                        yield _frame(store, ids, [to_text(os.path.join(parent, n, below)) for n in found])
+            except OSError as error:
+                yield _frame(store, [None], [None], _reason(error))
 
 
 def _holding(marker: str):
+    def holds(root: str) -> bool:
+        try:
+            return stat.S_ISDIR(os.stat(os.path.join(to_name(root), marker)).st_mode)
+        except (FileNotFoundError, NotADirectoryError):
+            return False
+
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            holds = [
-                pd.isna(snapshot) or os.path.isdir(os.path.join(to_name(root), marker))
-                for snapshot, root in zip(frame["snapshot_id"], frame["root"])
-            ]
-            yield frame[pd.Series(holds, index=frame.index, dtype=bool)]
+            rows = []
+            for row in frame.itertuples(index=False):
+                if not pd.isna(row.reason):
+                    rows.append(tuple(row))
+                    continue
+                try:
+                    if pd.isna(row.snapshot_id) or holds(row.root):
+                        rows.append(tuple(row))
+                except OSError as error:
+                    rows.append((row.store, row.snapshot_id, row.root, _reason(error)))
+            yield pd.DataFrame(rows, columns=frame.columns, dtype=object)
 
     return keep
 
 
-def discover_snapshots(
-    stores: DataFrame, marker: str = LEDGER_DIR, tasks: int | None = None
-) -> DataFrame:
-    """The copies below each mounted store that hold a ledger of their own."""
+def read_copies(stores: DataFrame, marker: str = LEDGER_DIR, tasks: int | None = None) -> Copies:
+    """The copies below each mounted store that hold a ledger of their own: store, snapshot_id, root; and errors."""
     ship_package(stores.sparkSession)
-    schema = "store string, snapshot_id string, root string"
     tasks = tasks or stores.sparkSession.sparkContext.defaultParallelism * 4
     usable = check_stores(stores).where("store_error IS NULL AND scheme = 'file'")
-    named = usable.repartition("store").mapInPandas(_names, schema)
+    named = usable.repartition("store").mapInPandas(_names, _COPY)
     # One store may have very many copies, so their folders are looked at by other tasks.
-    return named.repartition(tasks, "store", "snapshot_id").mapInPandas(_holding(marker), schema)
+    return _apart(named.repartition(tasks, "store", "snapshot_id").mapInPandas(_holding(marker), _COPY), "copies")
+
+
+def discover_snapshots(
+    stores: DataFrame, marker: str = LEDGER_DIR, tasks: int | None = None
+) -> DataFrame:
+    """The copies that ``read_copies`` finds."""
+    return read_copies(stores, marker, tasks).found
 
 
 def _base_commits(marker: str):
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            heads = []
+            heads, reasons = [], []
             for root in frame["root"]:
-                newest: tuple[int, str] | None = None
+                newest, reason = None, None
                 folder = os.path.join(to_name(root), marker, "commits")
                 try:
-                    table = ds.dataset(folder, format="parquet")
-                    for batch in table.to_batches(columns=["seq", "commit_id"]):
-                        for row in batch.to_pylist():
-                            place = (row["seq"], row["commit_id"])
-                            newest = place if newest is None else max(newest, place)
-                except (OSError, ValueError):
-                    pass
+                    if os.path.lexists(folder) or not os.path.isdir(to_name(root)):
+                        # A column at a time: the place of the largest seq gives the id.
+                        for batch in ds.dataset(folder, format="parquet").to_batches(columns=["seq", "commit_id"]):
+                            if batch.num_rows:
+                                last = pc.max(batch.column("seq"))
+                                at = pc.index(batch.column("seq"), last).as_py()
+                                place = (last.as_py(), batch.column("commit_id")[at].as_py())
+                                newest = place if newest is None else max(newest, place)
+                except (OSError, ValueError) as error:
+                    newest, reason = None, _reason(error)
                 heads.append(newest[1] if newest else None)
-            yield frame.assign(base_commit_id=heads)
+                reasons.append(reason)
+            yield frame.assign(base_commit_id=heads, reason=reasons)
 
     return read
 
 
-def base_commits(copies: DataFrame, marker: str = LEDGER_DIR) -> DataFrame:
-    """The newest commit in the ledger of each copy; a copy without commits gives no row."""
+def read_base_commits(copies: DataFrame, marker: str = LEDGER_DIR) -> Copies:
+    """The newest commit in the ledger of each copy, and the copies whose ledger could not be read.
+
+    A copy without commits gives no row.
+    """
     ship_package(copies.sparkSession)
-    schema = "store string, snapshot_id string, root string, base_commit_id string"
-    return (
-        copies.mapInPandas(_base_commits(marker), schema)
-        .where("base_commit_id IS NOT NULL")
-        .selectExpr(
-            "store",
-            "snapshot_id",
-            "base_commit_id",
-            "concat_ws('/', store, snapshot_id) AS reference",
-            "root",
-        )
+    schema = "store string, snapshot_id string, root string, base_commit_id string, reason string"
+    read = _apart(copies.mapInPandas(_base_commits(marker), schema), "base-commits")
+    found = read.found.where("base_commit_id IS NOT NULL").selectExpr(
+        "store",
+        "snapshot_id",
+        "base_commit_id",
+        "concat_ws('/', store, snapshot_id) AS reference",
+        "root",
     )
+    return Copies(found, read.unread)
+
+
+def base_commits(copies: DataFrame, marker: str = LEDGER_DIR) -> DataFrame:
+    """The newest commits that ``read_base_commits`` finds."""
+    return read_base_commits(copies, marker).found
 
 
 def newest_commits(commits_of_copies: DataFrame) -> DataFrame:
@@ -222,14 +270,27 @@ def newest_commits(commits_of_copies: DataFrame) -> DataFrame:
 
 
 def refresh_snapshots(
-    old: DataFrame, fresh: DataFrame, stores: DataFrame, names: Sequence[str] | None = None
+    old: DataFrame,
+    fresh: DataFrame,
+    stores: DataFrame,
+    names: Sequence[str] | None = None,
+    unread: DataFrame | None = None,
 ) -> DataFrame:
     """The snapshot table after some stores, or all, were looked at again.
 
-    Rows of those stores are replaced, so vanished snapshots go away; other rows stay. A name that
+    Rows of those stores are replaced, so vanished snapshots go away; other rows stay. So do the old rows of
+    stores and copies in ``unread``: what could not be read is not known to be gone. A name that
     no store has is an error.
     """
     columns = SNAPSHOTS.names
+    if unread is not None:
+        whole = unread.where("snapshot_id IS NULL").select("store").distinct()
+        single = unread.select("store", "snapshot_id").distinct()
+        lost = lookup_join(old, whole, ["store"], "left_semi", ["reference"]).unionByName(
+            lookup_join(lookup_join(old, whole, ["store"], "left_anti", ["reference"]), single, ["store", "snapshot_id"], "left_semi", ["reference"])
+        )
+        lost = lost.join(fresh.select("reference"), "reference", "left_anti")
+        fresh = fresh.select(*columns).unionByName(lost.select(*columns))
     if names is None:
         return fresh.select(*columns)
     wanted = sorted(set(names))

@@ -4,6 +4,7 @@ import logging
 import os
 import stat
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from treeledger.sources.names import to_name, to_text
 
 logger = logging.getLogger(__name__)
 
-# A directory that was met but not entered yet.
-_PENDING = "dir"
+# A directory that was met but not entered yet, and what could not be read, with the reason in place of a target.
+_PENDING, _UNREAD = "dir", "unread"
 # Entries a task lists before it leaves the rest to others; grows from round to round.
 _FIRST_BUDGET = 2_000
 _LAST_BUDGET = 500_000
@@ -40,6 +41,11 @@ def _pending(path: str) -> tuple:
     return (path, _PENDING, *[None] * (len(_COLUMNS) - 2))
 
 
+def _unread(path: str, error: OSError) -> tuple:
+    logger.error("not read: %s", error)
+    return (path, _UNREAD, None, None, to_text(error.strerror or str(error)), None, None, None)
+
+
 def _entry(root: str, path: str) -> tuple | None:
     """The listing row of one path, or None for what is no file, link or directory."""
     full = os.path.join(root, path)
@@ -52,8 +58,7 @@ def _entry(root: str, path: str) -> tuple | None:
         try:
             return (to_text(path), LINK, None, info.st_mtime_ns, to_text(os.readlink(full)), *_identity(info))
         except OSError as error:
-            logger.warning("link not read: %s", error)
-            return None
+            return _unread(to_text(path), error)
     if stat.S_ISDIR(info.st_mode):
         return _pending(to_text(path))
     if stat.S_ISREG(info.st_mode):
@@ -66,7 +71,10 @@ def _is_flagged(directory: str, flags: Sequence[str]) -> bool:
 
 
 def _list_dir(root: str, path: str, names: Sequence[str], flags: Sequence[str]) -> Iterator[tuple]:
-    """The rows of one directory, streamed: it may hold any number of entries."""
+    """The rows of one directory, streamed: it may hold any number of entries.
+
+    Where reading stops, the directory itself is a row too, as it may hold more.
+    """
     full = os.path.join(root, path) if path else root
     if _is_flagged(full, flags):
         return
@@ -77,7 +85,7 @@ def _list_dir(root: str, path: str, names: Sequence[str], flags: Sequence[str])
                 if row and not (row[1] == _PENDING and found.name in names):
                     yield row
     except OSError as error:
-        logger.error("directory not read: %s", error)
+        yield _unread(to_text(path), error)
 
 
 def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
@@ -112,6 +120,9 @@ def _start(root: str, names: Sequence[str], flags: Sequence[str]):
                     continue
                 if not parts:
                     yield _pending("")
+                elif not os.path.isdir(root):
+                    # Where the tree is not mounted nothing is known about its paths.
+                    yield _unread(text, OSError(None, f"no such directory: {root}"))
                 elif os.path.lexists(os.path.join(root, path)):
                     row = _entry(root, path)
                     if row:
@@ -144,7 +155,19 @@ def _walk(root: str, names: Sequence[str], flags: Sequence[str], budget: int):
     return lambda frames: _frames(rows(frames))
 
 
-def scan_tree(
+class Scan(NamedTuple):
+    """What a walk found, and what it could not read."""
+
+    listing: DataFrame
+    unread: DataFrame  # path, reason
+
+
+def scan_tree(spark: SparkSession, root: str, paths: list[str] | None = None, **options) -> DataFrame:
+    """The listing that ``walk_tree`` gives."""
+    return walk_tree(spark, root, paths, **options).listing
+
+
+def walk_tree(
     spark: SparkSession,
     root: str,
     paths: list[str] | None = None,
@@ -152,8 +175,11 @@ def scan_tree(
     flags: Sequence[str] = SKIP_FLAGS,
     tasks: int | None = None,
     budget: int = _FIRST_BUDGET,
-) -> DataFrame:
-    """One row per file and link below the root, or below some paths of it.
+) -> Scan:
+    """One row per file and link below the root, or below some paths of it, and one per path that was not read.
+
+    A directory that cannot be listed, or not to its end, and a link that cannot be read are in ``unread``; nothing
+    is known about what they hold. A root that an executor lacks is among them.
 
     Directories that are left out are not entered. The walk goes in rounds: tasks enter the
     directories they were given until they have listed enough, and what is left is dealt out anew,
@@ -189,7 +215,8 @@ def scan_tree(
             .mapInPandas(_walk(root, names, flags, allowed), LISTING)
             .write.parquet(f"{base}/round={number}")
         )
-    return (
-        spark.read.schema(LISTING).parquet(*[f"{base}/round={n}" for n in range(number + 1)])
-        .where(F.col("kind") != _PENDING)
+    every = spark.read.schema(LISTING).parquet(*[f"{base}/round={n}" for n in range(number + 1)])
+    return Scan(
+        every.where(F.col("kind").isin(BLOB, LINK)),
+        every.where(F.col("kind") == _UNREAD).selectExpr("path", "link_target AS reason"),
     )
