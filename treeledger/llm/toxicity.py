@@ -10,8 +10,10 @@ counted hits by kind and context are the features of a logistic model. A misspel
 other unless the labels say otherwise; terms that ordinary words look like are taken as they are.
 
 Nulls and empty texts have no hits and get the score of a text without hits. Labels that are null
-are not learned from. Without usable labels the lexicon is empty and every score is 0. Repeated rows
-are scored each by itself; all other columns pass through untouched, whatever their names.
+are not learned from. Without usable labels the lexicon is empty and every score is 0. What is learned is
+bounded by parameters: TRAINING_ROWS labelled texts, LEXICON_TERMS terms of TERM_LETTERS letters. Of labelled rows that
+share a doc_id one counts, and of near copies (five words, 0.8, found by the n-gram join) that with the smallest doc_id. Repeated rows
+are scored each by itself; a long text is scored whole; all other columns pass through untouched, whatever their names.
 """
 
 import re
@@ -26,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.shared import free_name, of_worker, prepare, stored, texts, with_column_from_text
-from treeledger.llm.sql_text import let
+from treeledger.llm.ngram_join import ngram_components
+from treeledger.llm.shared import free_name, keyed_join, of_worker, prepare, stored, texts, with_column_from_text
 
 # Labelled texts that the lexicon and the model are learned from, at most: those first in hash order.
 TRAINING_ROWS = 20_000
-# Terms of the lexicon, at most: those with the strongest evidence.
+# Terms of the lexicon, at most: those with the strongest evidence; and their letters.
 LEXICON_TERMS = 4096
+TERM_LETTERS = (3, 40)
 # A word, or a beginning of words, occurs in so many toxic texts at least, and so many times more often
 # there than elsewhere.
 SUPPORT, STEM_SUPPORT, RATIO = 4, 12, 20.0
@@ -49,8 +52,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 # Words with digits and marks between letters: letters and digits in a row, joined by one or two marks.
 _PIECE = re.compile(r"[^\W_]+")
 _MARKS = re.compile(r"(?:[^\w\s]|_){1,2}")
-# Edits at most, and so digits and marks in a misspelled term at most; letters of such a word at most.
-_MOST_EDITS, _MOST_LETTERS = 2, 48
+# Edits at most, and so digits and marks in a misspelled term at most; letters that such a word can have.
+_MOST_EDITS = 2
+_MOST_LETTERS = TERM_LETTERS[1] + 2 * _MOST_EDITS
 # Quotation marks and what closes them.
 _CLOSES = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
 _QUOTES = re.compile('["“„«‘”»’]')
@@ -344,7 +348,10 @@ def fit_logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> np
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: bool = True) -> DataFrame:
-    """text, label (0 or 1) of a bounded number of labelled rows; those held out never take part."""
+    """text, label (0 or 1), doc_id of a bounded number of labelled rows; those held out never take part.
+
+    Of rows that share a doc_id the one with the least text counts, so there are no more texts than labels.
+    """
     usable = labels.selectExpr("CAST(doc_id AS LONG) AS doc_id", f"CAST({label} AS INT) AS label").where(
         "doc_id IS NOT NULL AND label IN (0, 1)"
     )
@@ -354,7 +361,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: bool
     return (
         docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .selectExpr("coalesce(text, '') AS text", "label")
+        .groupBy("doc_id")
+        .agg(F.expr("min(struct(coalesce(text, '') AS text, label)) AS kept"))
+        .selectExpr("kept.text", "kept.label", "doc_id")
     )
 
 
@@ -366,7 +375,7 @@ def _text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, toxic = Counter(), Counter()
     for batch in batches:
         for text, label in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-            words = {w for w in _WORD.findall(text.decode("utf-8", "replace").lower()) if 3 <= len(w) <= 40}
+            words = {w for w in _WORD.findall(text.decode("utf-8", "replace").lower()) if TERM_LETTERS[0] <= len(w) <= TERM_LETTERS[1]}
             found = words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
             seen.update(found)
             if label:
@@ -381,16 +390,11 @@ def _text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> ToxicityModel:
     """Learn lexicon and weights from at most TRAINING_ROWS labelled rows."""
     prepare(docs.sparkSession)
-    rows = training_rows(docs, labels, "toxic", held_out)
-    # Of texts with the same least hash of three words one counts: copies would make all their words terms.
-    least = let(
-        "words",
-        "split(lower(text), '\\\\s+')",
-        "array_min(transform(slice(words, 1, greatest(size(words) - 2, 1)),"
-        " (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2))))",
-    )
-    rows = rows.groupBy(F.expr(f"{least} AS least")).agg(F.expr("min(struct(text, label)) AS kept"))
-    rows = stored(rows.select("kept.text", "kept.label"), "training")
+    # Copies would make all their words terms, so of near copies one counts.
+    labelled = stored(training_rows(docs, labels, "toxic", held_out), "labelled")
+    groups = ngram_components(labelled.select("doc_id", "text"), words=5, percent=80)
+    first = stored(groups.where("doc_id = component_id").select("doc_id").distinct(), "distinct-texts")
+    rows = stored(keyed_join(labelled, first, ["doc_id"], "left_semi").select("text", "label"), "training")
     counts = rows.agg(F.expr("count(1)"), F.expr("coalesce(sum(label), 0)")).first()
     total, bad = counts[0], counts[1]
     if not bad or bad == total:
