@@ -2,7 +2,9 @@
 
 import os
 import re
+import subprocess
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,8 +14,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from treeledger.llm import external_shuffle, pivotal_grams, queries, whitening  # noqa: E402
-from treeledger.llm.shared import stored  # noqa: E402
+import plain  # noqa: E402
+from treeledger.llm import bpe, external_shuffle, packing, pfor, pii, pivotal_grams, quality, queries, secret_scan, toxicity, whitening, word_ids  # noqa: E402
+from treeledger.llm.shared import fits, stored  # noqa: E402
+from treeledger.llm.sql_text import below, running  # noqa: E402
 
 SF = os.path.join("/root/testdata", os.environ.get("TEST_SF", "sf0.001"))
 
@@ -86,7 +90,7 @@ def test_spelling_of_hard_rows(spark):
     assert pivotal_grams.spelling_groups(df.where("false")).collect() == []
 
 
-@pytest.mark.parametrize("piece", [1, pivotal_grams.PIECE])
+@pytest.mark.parametrize("piece", [2, pivotal_grams.PIECE])
 def test_near_words_over_small_alphabet(spark, piece):
     """Words of two letters repeat bigrams, so prefixes tie and keys crowd."""
     rng = np.random.default_rng(3)
@@ -271,3 +275,267 @@ def test_contour_integration(spectrum):
     assert np.abs(matrix @ vectors - vectors * found).max() < 1e-12 * values.max()
     for shift in (0.3, 1.00001, 2.5, -1.0):
         assert whitening.eigenvalues_above(matrix, shift) == (np.linalg.eigvalsh(matrix) > shift).sum()
+
+
+# Very long texts and words.
+
+
+def morse(size):
+    """A word in a and b, and its complement: any sum of bytes times powers of an odd factor is the same for both."""
+    ones = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join("ab"[i] for i in ones), "".join("ba"[i] for i in ones)
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    def load(name):
+        found = Tokenizer.from_file(queries.tokenizer_path(name))
+        found.no_truncation(), found.no_padding()
+        return lambda text: found.encode(text, add_special_tokens=False).ids
+
+    return load
+
+
+def word_ids_of(encoder, found):
+    return [np.frombuffer(ids, "<u2").tolist() for ids in encoder.encode([t.encode() for t in found])]
+
+
+def test_words_are_told_apart_by_their_bytes(library, monkeypatch):
+    encode = library("word_bpe_49k.json")
+    found = [w for size in (1024, 2048, 4096) for w in morse(size)]
+    found += ["Ends. here, and.there . , a.b, 1. é. É, J̌. x", "<|endoftext|>. a<|ENDOFTEXT|>, b", " \n", "", "one,two. three.,"]
+    encoder = word_ids.WordEncoder(queries.tokenizer_path("word_bpe_49k.json"))
+    wanted = [encode(t) for t in found]
+    assert word_ids_of(encoder, found) == wanted
+    # Cut into slices, and with what is remembered forgotten again and again.
+    monkeypatch.setattr(word_ids, "SLICE", 5)
+    monkeypatch.setattr(word_ids, "KEPT_BYTES", 1000)
+    assert word_ids_of(encoder, found) == wanted and word_ids_of(encoder, found[::-1]) == wanted[::-1]
+
+
+def test_packing_and_files_of_such_words(spark, library):
+    encode = library("word_bpe_49k.json")
+    found = list(morse(2048)) + ["a b c " * 2000]
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").coalesce(1)
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    files = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in pfor.round_trip(df, path).collect()}
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert files == {i: (len(encode(t)) + 1, crc([*encode(t), 2])) for i, t in enumerate(found)}
+    for piece in packing.pack(df, path).collect():
+        ids = [*encode(found[piece.doc_id]), 1]
+        assert piece.ids_crc32 == crc(ids[piece.start : piece.start + piece.length]) and piece.doc_tokens == len(ids)
+
+
+def test_a_text_of_64_mb_takes_little_memory():
+    """The ids of one very long text, in a process of its own whose peak is measured."""
+    code = f"""if True:
+        import resource, sys
+        sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+        from treeledger.llm.word_ids import WordEncoder
+        encoder = WordEncoder({queries.tokenizer_path("word_bpe_49k.json")!r})
+        text = b" ".join(b"some words of text number %d," % i for i in range(50000)) * 44
+        assert len(text) > 60 << 20
+        ids = encoder.encode([text])
+        print(len(ids[0]) // 2, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+    """
+    ids, peak = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert ids > 13_000_000 and peak < 500
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "　"])
+def test_two_million_blanks(library, space):
+    text = "Some words before" + space * 2_000_000 + "after it, and more words to follow." * 50
+    codec = bpe.ChunkCodec(queries.tokenizer_path("byte_bpe_50k.json"))
+    ids = codec.encode(text.encode())
+    assert np.frombuffer(ids, "<u4").tolist() == library("byte_bpe_50k.json")(text) and codec.decode(ids).decode() == text
+
+
+def test_joins_agree_or_the_whole_is_encoded(library):
+    """With ids of a chunk that are wrong at a join, the disagreement is seen."""
+    codec = bpe.ChunkCodec(queries.tokenizer_path("byte_bpe_50k.json"))
+    text = " ".join(f"word{i % 97} is, number {i}" for i in range(3000)).encode()
+    wanted = codec.encode(text)
+    assert np.frombuffer(wanted, "<u4").tolist() == library("byte_bpe_50k.json")(text.decode())
+    known = [c for c in codec.chunks.values() if c]
+    assert len(known) > 20
+    for wrong in ({"first_ids": b"\1\0\0\0"}, {"last_ids": b"\1\0\0\0"}):
+        codec.chunks = {k: c._replace(**wrong) if c else c for k, c in codec.chunks.items()}
+        assert codec.encode(text) == wanted
+
+
+LONG_TEXTS = {
+    "numbers": "123," * 250_000,
+    "cards": "4111 1111 1111 1111, " * 10_000,
+    "addresses": "1.2.3.4 a@b.co " * 8_000,
+    "assignments": "token=abcdef12 é " * 10_000 + "x" * 5000 + " secret: abcdefgh",
+    "apart": ("é" * 3000 + " 1.2.3.4 ") * 30,
+}
+
+
+def test_spans_of_long_texts(spark):
+    df = spark.createDataFrame(list(enumerate(LONG_TEXTS.values())), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    for i, text in enumerate(LONG_TEXTS.values()):
+        base = {k: sorted((x.s, x.e) for x in found[i].spans if x.kind == k and x.base) for k in pii.KINDS[:4]}
+        assert base == {k: sorted(v) for k, v in plain.pii(text).items()}
+    found = {r.doc_id: r for r in secret_scan.find_secrets(df).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    for i, text in enumerate(LONG_TEXTS.values()):
+        base = {k: sorted((x.s, x.e) for x in found[i].spans if x.kind == k) for k in secret_scan.KINDS[:3]}
+        assert base == {k: sorted(v) for k, v in plain.secrets(text).items()}
+        kept, at = [], 0
+        for s, e in sorted((x.s, x.e) for x in found[i].spans):
+            if s > at or at == 0:
+                kept += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert masked[i] == "".join(kept) + text[at:]
+
+
+def test_a_megabyte_of_numbers_is_searched_quickly(spark):
+    df = spark.createDataFrame([(1, LONG_TEXTS["numbers"])], "doc_id long, text string")
+    search = lambda: df.selectExpr(f"size({pii.base_spans('text')}) AS n").first().n
+    assert search() == 0
+    start = time.perf_counter()
+    search()
+    assert time.perf_counter() - start < 2
+
+
+def test_running_folds_and_places(spark):
+    row = spark.range(1).selectExpr(
+        f"{running('array(3L, 1L, 4L, 1L, 5L)')} AS sums", f"{running('array(3L, 1L, 4L, 1L, 5L)', 'greatest(x, y)')} AS most",
+        f"{running('CAST(array() AS ARRAY<BIGINT>)')} AS none",
+        "transform(array(0, 1, 2, 5, 9), v -> " + below("array(1, 2, 2, 5)", "v") + ") AS less",
+    ).first()
+    assert row.sums == [3, 4, 8, 9, 14] and row.most == [3, 3, 4, 4, 5] and row.none == [] and row.less == [0, 0, 1, 3, 4]
+
+
+def test_tables_are_broadcast_by_rows_and_bytes(spark):
+    small = spark.createDataFrame([(1, "x", [(1, 2)])], "a long, b string, c array<struct<p: long, q: long>>")
+    assert fits(small) and not fits(small, 0)
+    assert not fits(spark.range(30).selectExpr("id", "repeat('x', 2000000) AS b"))
+    assert not fits(spark.range(3).selectExpr("id", "transform(sequence(1, 600000), i -> struct(i, i, i)) AS c"))
+
+
+# Learning from labels.
+
+
+def test_training_rows_are_bounded_and_whole(spark, monkeypatch):
+    """Repeated doc_ids give one text each; texts that share three words only all stay."""
+    monkeypatch.setattr(toxicity, "TRAINING_ROWS", 50)
+    docs = [(i % 40, f"text {i} a b c", "en") for i in range(400)] + [(None, "x", "en"), (77, None, "en")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in [*range(40), *range(40), 77]], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels, "toxic", held_out=False).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) <= 50
+    whole = toxicity.training_rows(docs, labels, "quality", held_out=True).collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in whole)
+
+
+def test_near_copies_count_once_and_others_all(spark):
+    """A toxic text in many near copies does not make its ordinary words terms; texts with a common beginning all count."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}x" for i in range(400)]
+    some = lambda n: list(rng.choice(words, n))
+    copied = some(60)
+    rows = []
+    for i in range(60):
+        near = list(copied)
+        near[int(rng.integers(60))] = f"edit{i}"
+        rows.append((" ".join([*near, "only", "here"]), 1))
+    rows += [(" ".join(["this", "is", "the", *some(30), "vilebeast", *some(10)]), 1) for _ in range(40)]
+    rows += [(" ".join(["this", "is", "the", *some(40)]), 0) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, l) for i, (_, l) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, held_out=False)
+    assert ("vilebeast", False) in model.terms and not {"only", "here"} & {t for t, _ in model.terms}
+
+
+def plain_quality(rows, labels):
+    """Scores by the definition: odds of the classifier and of the site, without the document's own label."""
+    good = {}
+    for i, q, _ in labels:
+        if q in (0, 1):
+            good[i] = max(good.get(i, 0), q)
+    paths, hosts = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for i, _, host, path in rows:
+        if i in good:
+            for table, key in ((paths, (host, path)), (hosts, host)):
+                table[key][0] += 1
+                table[key][1] += good[i]
+    n, g = sum(v[0] for v in hosts.values()), sum(v[1] for v in hosts.values())
+    share = (g + 1) / (n + 2)
+
+    def strength(groups):
+        groups = [x for x in groups if x[0] > 1]
+        if not groups:
+            return quality._STRENGTH[1]
+        off = sum((good - n * m) ** 2 for n, good, m in groups)
+        alone, pairs = sum(n * m * (1 - m) for n, _, m in groups), sum(n * (n - 1) * m * (1 - m) for n, _, m in groups)
+        alike = max(0.0, (off - alone) / pairs)
+        return min(max((1 - alike) / alike if alike > 1e-9 else quality._STRENGTH[1], quality._STRENGTH[0]), quality._STRENGTH[1])
+
+    of_host = strength([(n, g, share) for n, g in hosts.values()])
+    means = {h: (g + of_host * share) / (n + of_host) for h, (n, g) in hosts.items()}
+    of_path = strength([(n, g, means[h]) for (h, _), (n, g) in paths.items()])
+    beta = {k: (g + of_path * means[k[0]], n - g + of_path * (1 - means[k[0]])) for k, (n, g) in paths.items()}
+    by_host = defaultdict(lambda: [0.0, 0.0])
+    for (h, _), (a, b) in beta.items():
+        by_host[h][0] += a
+        by_host[h][1] += b
+
+    def prior(i, host, path):
+        own = good.get(i)
+        if (host, path) in beta:
+            a, b = beta[host, path]
+            a, b = a - (own or 0), b - (1 - own if own is not None else 0)
+        elif host in by_host:
+            a, b = by_host[host]
+        else:
+            return 0.0
+        return np.log((a + 1e-3) / (b + 1e-3)) - np.log(share / (1 - share))
+
+    return {i: prior(i, h, p) for i, _, h, p in rows}
+
+
+def test_quality_scores_by_their_definition(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text, source, lang FROM '{SF}/documents.parquet'").fetchall()
+    known = duckdb.sql(f"SELECT doc_id, quality, toxic FROM '{SF}/labels.parquet'").fetchall()
+    docs, labels = queries.documents(spark, SF), queries.labels(spark, SF)
+    model = quality.fit(docs, labels)
+    found = {r.doc_id: r.score for r in quality.score(docs, labels, model).collect()}
+    priors = plain_quality(rows, known)
+    for i, text, _, _ in rows:
+        x = (np.array(quality.make_up((text or "").encode())) - model.center) / model.scale
+        odds = float(np.clip(x @ np.array(model.weights[:-1]) + model.weights[-1], -quality.MOST_EVIDENCE, quality.MOST_EVIDENCE))
+        assert abs(found[i] - 1 / (1 + np.exp(-(odds + priors[i])))) < 1e-9
+
+
+def test_toxicity_scores_by_their_definition(spark):
+    """A plain search for misspelled terms, word by word, gives the counts that the automata give."""
+    docs, labels = queries.documents(spark, SF), queries.labels(spark, SF)
+    model = toxicity.fit(docs, labels, held_out=False)
+    found = {r.doc_id: r.score for r in toxicity.score(docs.select("doc_id", "text"), model).collect()}
+    matches = toxicity.Matches(model.automaton())
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    edits = {t: 0 if t in model.exact else toxicity.edits_allowed(t, False) for t, stem in model.terms if not stem}
+    stems = [t for t, stem in model.terms if stem]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    words = {w for _, t in rows for w in re.findall(r"[^\W\d_]+", (t or "").lower())}
+    for word in sorted(words)[::7]:
+        near = [d for t, most in edits.items() if abs(len(t) - len(word)) <= most and (d := distance(word, t)) <= most]
+        kind = min(near) if near else 3 if any(word.startswith(s) for s in stems) else None
+        assert (matches[word] and matches[word][0]) == kind
+    weights = np.array(model.weights)
+    for i, text in rows:
+        x = toxicity.hit_features((text or "").encode(), matches) @ weights[:-1] + weights[-1] if model.terms else None
+        assert abs(found[i] - (1 / (1 + np.exp(-np.clip(x, -30, 30))) if model.terms else 0)) < 1e-12

@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.llm.shared import stored
-from treeledger.llm.sql_text import clean, digits, literal, luhn, matches
+from treeledger.llm.sql_text import apart, blocks, clean, digits, literal, luhn, matches, part
 
 # The base patterns. A possessive quantifier matches the same and never goes back; what
 # stands before them keeps a search from starting within a run that it has already failed on.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+# Shorter runs of digits fail the count anyway.
+CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Candidates.
 WRITTEN_EMAIL = (
@@ -83,11 +84,11 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     rows = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", f"{clean('text')} AS t")
     both = rows.selectExpr("doc_id", "t", f"{base_spans('t')} AS base", f"{loose_spans('t')} AS loose")
     # A candidate that touches a base span is none.
-    free = "filter(loose, x -> NOT exists(base, b -> x.s < b.e AND b.s < x.e))"
+    both = both.selectExpr("doc_id", "base", f"{apart('loose', 'base')} AS free", f"{blocks('t')} AS cut")
     described = lambda spans, base: f"""transform({spans}, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'm', x.m,
-        'base', {base}, 'before', substring(t, CAST(greatest(x.s - 40, 0) AS INT) + 1, CAST(least(x.s, 40) AS INT)),
-        'after', substring(t, CAST(x.e AS INT) + 1, 1)))"""
-    return stored(both.selectExpr("doc_id", f"concat({described('base', 'true')}, {described(free, 'false')}) AS spans"), "pii")
+        'base', {base}, 'before', {part('cut', 'greatest(x.s - 40, 0L)', 'least(x.s, 40L)')},
+        'after', coalesce({part('cut', 'x.e', '1')}, '')))"""
+    return stored(both.selectExpr("doc_id", f"concat({described('base', 'true')}, {described('free', 'false')}) AS spans"), "pii")
 
 
 # Each labeler's vote on a span x: 1 for it, -1 against it, 0 abstains.

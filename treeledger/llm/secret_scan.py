@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.llm.shared import stored
-from treeledger.llm.sql_text import clean, let, matches, masked
+from treeledger.llm.sql_text import apart, clean, let, masked, matches
 
 # The base patterns, with group 2 of an assignment as the tail of the match.
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
@@ -105,9 +105,9 @@ def _scanned(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     kept = [name.rpartition(" AS ")[2] for name in keep]
     plain = "x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e)"
     long_runs = matches("t", CANDIDATE, "random", "t RLIKE '[A-Za-z0-9+/_-]{20}'")
-    free = f"filter({long_runs}, x -> NOT exists(base, b -> x.s < b.e AND b.s < x.e))"
-    tested = f"transform({free}, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'p', {p_random('x.m')}))"
-    based = rows.selectExpr("doc_id", "t", f"{base_spans('t')} AS base", *kept)
+    tested = f"transform(free, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'p', {p_random('x.m')}))"
+    based = rows.selectExpr("doc_id", f"{base_spans('t')} AS base", f"{long_runs} AS long_runs", *kept)
+    based = based.selectExpr("doc_id", "base", f"{apart('long_runs', 'base')} AS free", *kept)
     return based.selectExpr("doc_id", f"transform(base, {plain}) AS base", f"{tested} AS tested", *kept)
 
 
