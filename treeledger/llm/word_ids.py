@@ -16,7 +16,7 @@ from treeledger.llm.bpe import byte_letters
 from treeledger.llm.shared import of_worker
 
 # Bytes that the words a worker remembers take, about, and what one takes besides its letters.
-KEPT_BYTES, _WORD_BYTES = 48 << 20, 160
+KEPT_BYTES, _WORD_BYTES = 96 << 20, 160
 # Bytes of text that are cut into words at once, about.
 SLICE = 1 << 20
 # Ids from here on do not fit into the two bytes they are kept in.
@@ -112,10 +112,20 @@ class WordEncoder:
         # Nothing but the model itself changes a word of plain small letters.
         model, written = self.tokenizer.model, self.written
         ends = {tail: [t.id for t in model.tokenize(tail.decode())] if tail else [] for tail in set(tails)}
-        lists = [
-            [t.id for t in model.tokenize(head.decode("latin-1").translate(written))] + ends[tail] if p else next(found).ids
-            for head, tail, p in zip(heads, tails, plain)
-        ]
+        # Most words with a stop are known without it.
+        numbers, some = self.known, len(self.known) - len(words)
+        first_ids, begins = self.ids, self.begins
+        made: dict[bytes, list[int]] = {}
+
+        def of_head(head: bytes) -> list[int]:
+            number = numbers.get(head, some)
+            if number < some:
+                return first_ids[begins[number] : begins[number + 1]].tolist()
+            if head not in made:
+                made[head] = [t.id for t in model.tokenize(head.decode("latin-1").translate(written))]
+            return made[head]
+
+        lists = [of_head(head) + ends[tail] if p else next(found).ids for head, tail, p in zip(heads, tails, plain)]
         first, new = len(self.known) - len(words), np.fromiter((i for ids in lists for i in ids), np.uint16)
         last = self.begins[first] + np.cumsum([len(ids) for ids in lists])
         while len(self.begins) < len(self.known) + 1:
