@@ -7,7 +7,8 @@ the exact pattern, check digits and lengths, gazetteers (domains, titles, area c
 context before it, and the shape of what stands around it. Expectation-maximisation over the counts of
 each vote pattern, per kind, estimates how reliable each labeler is and how likely a span with these
 votes is real. A span classifier (naive Bayes on form, length, context and surroundings) is trained
-on these soft labels; a candidate that it and the votes find real is added.
+on these soft labels; a candidate that it and the votes find real is added, unless as many labelers vote
+against it as for it: whichever way few counts turn the estimate, a card number that fails its check is not added.
 
 Everything that touches rows is SQL. The driver sees the counts of vote patterns and of features,
 whose numbers are fixed by the labelers and features, not by the data.
@@ -164,11 +165,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     weights = {r.feature: math.log((r.good + 1) / (totals[r.kind][1] + 2)) - math.log((r.bad + 1) / (totals[r.kind][0] + 2)) for r in sums}
     prior = {k: math.log((good + 1) / (bad + 1)) for k, (bad, good) in totals.items()}
     odds = f"aggregate({listed.replace('x.', 'y.x.').replace('votes', 'y.votes')}, {_table(prior)}[y.x.kind], (a, f) -> a + coalesce({_table(weights)}[f], 0D))"
-    # The classifier's chance, and that of the votes; a candidate needs both.
+    # The classifier's chance, and that of the votes; a candidate needs both, and more votes for it than against.
+    carried = "length(translate(y.votes, '01', '')) > length(translate(y.votes, '12', ''))"
     scored = f"""transform(spans, y -> named_struct('kind', y.x.kind, 's', y.x.s, 'e', y.x.e, 'base', y.x.base,
-        'real', least(1 / (1 + exp(-({odds}))), {chances}[concat(y.x.kind, y.votes)])))"""
+        'carried', {carried}, 'real', least(1 / (1 + exp(-({odds}))), {chances}[concat(y.x.kind, y.votes)])))"""
     return voted.selectExpr("doc_id", f"{scored} AS spans").selectExpr(
-        "doc_id", f"filter(spans, x -> x.base OR x.real >= {SURE}) AS spans"
+        "doc_id", f"transform(filter(spans, x -> x.base OR (x.carried AND x.real >= {SURE})), x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'base', x.base, 'real', x.real)) AS spans"
     )
 
 
