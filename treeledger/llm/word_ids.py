@@ -22,8 +22,8 @@ SLICE = 1 << 20
 # Ids from here on do not fit into the two bytes they are kept in.
 _MOST = 1 << 16
 
-# Small letters of one byte, and those of two that neither case nor composition changes.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+# Small letters of one byte, and those of two that neither case nor composition changes; then ASCII marks.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 _SPACE = re.compile(rb"[\t-\r ]")
 # No character with a lower first byte is a mark that a letter before it could be composed with.
 _LEAST_MARK = 0xC4
@@ -103,29 +103,23 @@ class WordEncoder:
 
     def _learn(self) -> None:
         words, self.known.new = self.known.new, []
-        # A stop or comma behind letters is a piece of its own.
-        tails = [word[-1:] if word[-1:] in b".," and word[-2:-1].isalpha() else b"" for word in words]
-        heads = [word[:-1] if tail else word for word, tail in zip(words, tails)]
-        plain = [_PLAIN.fullmatch(head) is not None for head in heads]
-        others = [word.decode("utf-8", "replace") for word, p in zip(words, plain) if not p]
+        # Marks behind letters are a piece of their own.
+        parts = [_PLAIN.fullmatch(word) for word in words]
+        others = [word.decode("utf-8", "replace") for word, part in zip(words, parts) if part is None]
         found = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
-        # Nothing but the model itself changes a word of plain small letters.
-        model, written = self.tokenizer.model, self.written
-        ends = {tail: [t.id for t in model.tokenize(tail.decode())] if tail else [] for tail in set(tails)}
-        # Most words with a stop are known without it.
-        numbers, some = self.known, len(self.known) - len(words)
-        first_ids, begins = self.ids, self.begins
-        made: dict[bytes, list[int]] = {}
-
-        def of_head(head: bytes) -> list[int]:
-            number = numbers.get(head, some)
+        # Most words with marks are known without them. Nothing but the model itself changes a plain word.
+        tokenize, written, known, some = self.tokenizer.model.tokenize, self.written, self.known, len(self.known) - len(words)
+        made: dict[bytes, list[int]] = {b"": []}
+
+        def of_piece(piece: bytes) -> list[int]:
+            number = known.get(piece, some)
             if number < some:
-                return first_ids[begins[number] : begins[number + 1]].tolist()
-            if head not in made:
-                made[head] = [t.id for t in model.tokenize(head.decode("latin-1").translate(written))]
-            return made[head]
+                return self.ids[self.begins[number] : self.begins[number + 1]].tolist()
+            if piece not in made:
+                made[piece] = [t.id for t in tokenize(piece.decode("latin-1").translate(written))]
+            return made[piece]
 
-        lists = [of_head(head) + ends[tail] if p else next(found).ids for head, tail, p in zip(heads, tails, plain)]
+        lists = [next(found).ids if part is None else of_piece(part[1]) + of_piece(part[2]) for part in parts]
         first, new = len(self.known) - len(words), np.fromiter((i for ids in lists for i in ids), np.uint16)
         last = self.begins[first] + np.cumsum([len(ids) for ids in lists])
         while len(self.begins) < len(self.known) + 1:
