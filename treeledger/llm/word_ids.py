@@ -16,7 +16,7 @@ from treeledger.llm.bpe import byte_letters
 from treeledger.llm.shared import of_worker
 
 # Bytes that the words a worker remembers take, about, and what one takes besides its letters.
-KEPT_BYTES, _WORD_BYTES = 96 << 20, 160
+KEPT_BYTES, _WORD_BYTES = 144 << 20, 160
 # Bytes of text that are cut into words at once, about.
 SLICE = 1 << 20
 # Ids from here on do not fit into the two bytes they are kept in.
