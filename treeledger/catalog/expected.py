@@ -158,7 +158,7 @@ _LANE = "CAST(('0x' || substr(id, {}, 15)) AS BIGINT)"
 
 def oracle_sql() -> dict[str, str]:
     ties, orders, crowded = i.TIES, i.ORDERS, i.CROWDED
-    return {
+    found = {
         "diff": _diff(i.PAIR),
         "diff_ties": _diff(ties),
         "diff_orders": _diff(orders),
@@ -557,3 +557,6 @@ def oracle_sql() -> dict[str, str]:
             i.DOCS, "SELECT path, 'HEAD' AS ref, 'restored' AS outcome, 'aux1/1' AS reference FROM docs"
         ),
     }
+    # Other ways to the same rows.
+    same = {"cache_upsert": "cache_refresh", "probe_listed": "cache_split", "probe_moved": "cache_moved", "probe_replaced": "cache_replaced"}
+    return found | {name: found[of] for name, of in same.items()}

@@ -185,6 +185,26 @@ def _cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.refresh_cache(rows, misses.join(read, "path"), hits)
 
 
+def _probe_by_path_first(ctes: str, name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return cache.probe_by_path_first(*_tables(spark, sf_dir, ctes, name, "cache")).select("path", "cache_state", "digest")
+
+    return run
+
+
+def _cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored cache after a run: what changed goes into its buckets."""
+    listing, rows, docs = _tables(spark, sf_dir, i.CACHE, "listing", "cache", "docs")
+    base = new_shared_path(spark, "ledger")
+    tables.write_cache(rows, base, 16)
+    known = tables.read_cache(spark, base)
+    probed = _stored(cache.probe_by_path_first(listing, known))
+    read = docs.selectExpr("path", "sha1(text) AS digest")
+    digested = probed.where("cache_state <> 'hit'").drop("cache_state", "digest").join(read, "path")
+    tables.update_cache(spark, base, cache.cache_changes(known, digested, probed.where("cache_state = 'hit'")))
+    return tables.read_cache(spark, base)
+
+
 def _corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, docs = _tables(spark, sf_dir, i.CACHE, "cache", "docs")
     recorded = docs.selectExpr(
@@ -527,6 +547,10 @@ def queries() -> dict[str, Query]:
         "cache_replaced": _cache_replaced,
         "cache_entries": _cache_entries,
         "cache_refresh": _cache_refresh,
+        "cache_upsert": _cache_upsert,
+        "probe_listed": _probe_by_path_first(i.CACHE, "listing"),
+        "probe_moved": _probe_by_path_first(i.MOVED, "moved"),
+        "probe_replaced": _probe_by_path_first(i.REPLACED, "replaced"),
         "corruption": _corruption,
         "dir_rollup": _dir_rollup,
         "changed_dirs": _changed_dirs,

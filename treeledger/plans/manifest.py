@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.digests import text_digest, unreadable
 from treeledger.functions.paths import normalised
-from treeledger.operators.cache import probe_cache, refresh_cache, split_cached
+from treeledger.operators.cache import cache_changes, probe_by_path_first, refresh_cache, split_cached
 from treeledger.operators.compare import diff
 from treeledger.operators.constrain import keep_unread
 from treeledger.operators.spread import HOT_ROWS
@@ -25,6 +25,7 @@ class TreeState(NamedTuple):
     cache: DataFrame
     links: DataFrame  # digest, link_target
     unread: DataFrame  # path, reason: directories and links that could not be read
+    cache_changes: DataFrame  # what of the cache is new, for ``update_cache``
 
 
 class Unread(RuntimeError):
@@ -68,7 +69,7 @@ def build_manifest(
     else:
         # The lookup is needed several times, to deal out the reading and for the manifest.
         looked_up = new_shared_path(spark, "probed")
-        probed = probe_cache(files, cache)
+        probed = probe_by_path_first(files, cache)
         probed.write.partitionBy("cache_state").parquet(looked_up)
         stored = spark.read.schema(probed.schema).parquet(looked_up)
         hits = stored.where("cache_state = 'hit'").drop("cache_state")
@@ -90,7 +91,8 @@ def build_manifest(
     known = cache if cache is not None else spark.createDataFrame([], DIGEST_CACHE)
     below = None if paths is None else [normalised(path) for path in paths]
     fresh = refresh_cache(known, read, hits, below)
-    return TreeState(listing, manifest, fresh, links.select("digest", "link_target"), unread)
+    changed = cache_changes(known, read, hits, below)
+    return TreeState(listing, manifest, fresh, links.select("digest", "link_target"), unread, changed)
 
 
 def verify(

@@ -55,6 +55,12 @@ DIGEST_CACHE = _struct(
     ("ctime_ns", _L, True),
 )
 
+# What a run changed in the cache: entries to put in place, and paths to forget.
+CACHE_CHANGES = T.StructType([*DIGEST_CACHE.fields, T.StructField("gone", _B, False)])
+
+# Where the rows of each bucket of the stored cache lie; NULL for a bucket without rows.
+CACHE_BUCKETS = _struct(("bucket", _I, False), ("version", _L, True), ("n_rows", _L, False))
+
 MANIFEST = _struct(("path", _S, False), ("kind", _S, False), ("digest", _S, False))
 
 STORED_MANIFEST = T.StructType([*MANIFEST.fields, T.StructField("revision", _S, False)])

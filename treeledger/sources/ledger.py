@@ -34,20 +34,28 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _numbers(spark: SparkSession, base: str, name: str) -> list[int]:
-    """The complete folders of one kind, by number, ascending."""
-    where, system = _path(spark, f"{base}/history/{name}")
-    if not system.exists(where):
-        return []
+def listed(spark: SparkSession, folder: str) -> list:
+    """What lies in a folder; nothing where there is none."""
+    where, system = _path(spark, folder)
+    return list(system.listStatus(where)) if system.exists(where) else []
+
+
+def complete_numbers(spark: SparkSession, folder: str, labels: tuple[str, ...]) -> list[int]:
+    """The numbers N of the folders label=N that were written to their end, ascending."""
     found = []
-    for status in system.listStatus(where):
+    for status in listed(spark, folder):
         label, _, number = status.getPath().getName().partition("=")
-        mark, _ = _path(spark, f"{status.getPath()}/_SUCCESS")
-        if label in ("seq", "upto") and number.isdigit() and system.exists(mark):
+        mark, system = _path(spark, f"{status.getPath()}/_SUCCESS")
+        if label in labels and number.isdigit() and system.exists(mark):
             found.append(int(number))
     return sorted(found)
 
 
+def _numbers(spark: SparkSession, base: str, name: str) -> list[int]:
+    """The complete folders of one kind, by number, ascending."""
+    return complete_numbers(spark, f"{base}/history/{name}", ("seq", "upto"))
+
+
 def claim(spark: SparkSession, base: str, seq: int) -> None:
     """Take a place in the history; only one writer can. A writer that died is overruled by ``release``."""
     where, system = _path(spark, f"{base}/claims/{seq}")

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from treeledger.operators.cache import complete
 from treeledger.operators.intervals import manifests_of
 from treeledger.schema import COMMITS, DIGEST_CACHE, LINK_TARGETS, MANIFEST, ROOTS, SNAPSHOTS, STORED_MANIFEST
-from treeledger.sources import ledger
+from treeledger.sources import cache_store, ledger
 
 
 def write_manifest(manifest: DataFrame, base: str, revision: str) -> None:
@@ -125,12 +125,22 @@ def read_snapshots(spark: SparkSession, base: str) -> DataFrame:
     return _read_generation(spark, base, "snapshots", SNAPSHOTS)
 
 
-def write_cache(cache: DataFrame, base: str) -> None:
-    """Store a cache; one that does not tell files apart, as from text entries, gets empty columns."""
-    _write_generation(complete(cache, DIGEST_CACHE), base, "digest_cache", DIGEST_CACHE)
+def write_cache(cache: DataFrame, base: str, n_buckets: int | None = None) -> None:
+    """Store a whole cache; one that does not tell files apart, as from text entries, gets empty columns."""
+    cache_store.write_whole(complete(cache, DIGEST_CACHE), base, n_buckets)
+
+
+def update_cache(spark: SparkSession, base: str, changes: DataFrame) -> int:
+    """Store what ``cache_changes`` gives; only buckets with a change are written. Their number."""
+    if not cache_store.has_buckets(spark, base):
+        # A cache of the older form, whole generations, becomes buckets.
+        write_cache(read_cache(spark, base), base)
+    return cache_store.apply_changes(spark, base, changes)
 
 
 def read_cache(spark: SparkSession, base: str) -> DataFrame:
+    if cache_store.has_buckets(spark, base):
+        return cache_store.read(spark, base)
     return _read_generation(spark, base, "digest_cache", DIGEST_CACHE)
 
 
