@@ -15,7 +15,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import plain  # noqa: E402
-from treeledger.llm import bpe, external_shuffle, packing, pfor, pii, pivotal_grams, quality, queries, secret_scan, toxicity, whitening, word_ids  # noqa: E402
+from treeledger.llm import bpe, embedding_join, external_shuffle, packing, pfor, pii, pivotal_grams, quality, queries, secret_scan, toxicity, whitening, word_ids  # noqa: E402
 from treeledger.llm.shared import fits, stored  # noqa: E402
 from treeledger.llm.sql_text import below, running  # noqa: E402
 
@@ -561,3 +561,30 @@ def test_added_spans_against_labels(spark, copies):
     added = {(r.doc_id, x.kind, x.s, x.e) for r in pii.find_pii(df).collect() for x in r.spans if not x.base}
     assert not any(kind == "card" for _, kind, _, _ in added)
     assert added <= wanted | {(i, "phone", 8, 20) for i, t in rows if t.startswith("serial")} and len(added & wanted) >= (2 * copies if copies > 1 else 0)
+
+
+@pytest.mark.parametrize("dimensions", [2, 8])
+def test_boxes_of_many_intervals_are_met_in_grid_order(spark, monkeypatch, dimensions):
+    """10,000 intervals of one label and a few of others: the pairs of brute force, few met on the way."""
+    random = np.random.default_rng(dimensions)
+    sizes = {"a/2": 10_000, "b/2": 1, "c/2": 17}
+    rows = []
+    for label, n in sizes.items():
+        low = random.uniform(0, 5, (n, dimensions))
+        low = low[np.lexsort(np.floor(low / 0.1).T[::-1])]
+        rows += [(label, i, p.tolist(), (p + random.uniform(0, 0.05, dimensions)).tolist()) for i, p in enumerate(low)]
+    boxes = spark.createDataFrame(rows, "label string, part long, low array<double>, high array<double>")
+    kept = []
+    whole = embedding_join.stored
+    monkeypatch.setattr(embedding_join, "stored", lambda df, label: kept.append((label, whole(df, label))) or kept[-1][1])
+    eps = 0.05
+    found = {tuple(row) for row in embedding_join.interval_pairs(boxes, eps).collect()}
+    wanted = set()
+    for label, n in sizes.items():
+        low, high = (np.array([r[k] for r in rows if r[0] == label]) for k in (2, 3))
+        for i in range(n):
+            gap = np.maximum(0, np.maximum(low[i] - high[i:], low[i:] - high[i]))
+            wanted |= {(label, i, i + int(k)) for k in np.flatnonzero((gap**2).sum(1) <= (eps + 1e-9) ** 2)}
+    assert found == wanted
+    followed = sum(df.count() for label, df in kept[:-1] if label == "interval-pairs")
+    assert followed * embedding_join.FAN**2 < 10_000**2 / 2 / 3

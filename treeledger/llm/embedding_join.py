@@ -4,8 +4,9 @@ Vectors are scaled to length one, so a cosine of at least c is a distance of at
 eps = sqrt(2 - 2c). All of them are turned onto the leading principal directions of the whole table
 and fall into grid cells of the width eps. Within a label they are sorted by cell and cut into
 intervals of similar size. Pairs of intervals whose bounding boxes lie further apart than eps can
-hold no link and are skipped; of the others, a task halves both intervals again and again, skips
-what is provably distant, and compares the small intervals that are left, in double precision.
+hold no link and are skipped, whole runs of them at once by the boxes around runs; of the others, a
+task halves both intervals again and again, skips what is provably distant, and compares the small
+intervals that are left, in double precision.
 
 Equal vectors of a label form a class that takes part once, so copies are never expanded into pairs.
 For each vector a pair of intervals yields the number of vectors linked and a few links that connect
@@ -35,6 +36,8 @@ GRID_DIMENSIONS = 8
 # Vectors in an interval that is sent to a task, and in one that is compared without more halving.
 INTERVAL = 2048
 LEAF = 128
+# Boxes of one level that a box of the next one holds.
+FAN = 16
 # Rounding of a product of two vectors of length one; links this close to the limit are computed anew.
 _ROUNDING = 1e-9
 
@@ -116,6 +119,40 @@ def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _around(boxes: DataFrame) -> DataFrame:
+    """The bounding box of each run of FAN neighbours in the order of the grid."""
+    # Short vectors have fewer directions.
+    side = lambda f, name: f"filter(array({', '.join(f'{f}(get({name}, {i}))' for i in range(GRID_DIMENSIONS))}), x -> x IS NOT NULL) AS {name}"
+    return boxes.groupBy("label", F.expr(f"part DIV {FAN} AS part")).agg(F.expr(side("min", "low")), F.expr(side("max", "high")))
+
+
+def interval_pairs(boxes: DataFrame, eps: float) -> DataFrame:
+    """label, one, two: the pairs of intervals, each with itself too, whose boxes lie within eps of each other.
+
+    Boxes of neighbours in grid order are joined to wider boxes, level by level, up to one per label. From
+    there pairs are followed down: what lies below two boxes that are further apart than eps is never met,
+    so work follows the pairs that are left and not the square of a label's intervals.
+    """
+    levels = [boxes]
+    top = boxes.agg(F.expr("max(part)")).first()[0] or 0
+    while top > 0:
+        levels.append(stored(_around(levels[-1]), "boxes"))
+        top //= FAN
+    near = f"""aggregate(zip_with(zip_with(l1, h2, (l, h) -> l - h), zip_with(l2, h1, (l, h) -> l - h),
+        (x, y) -> greatest(x, y, 0D)), 0D, (s, x) -> s + x * x) <= {(eps + 1e-9) ** 2}D"""
+    children = lambda name: f"explode(sequence({name} * {FAN}, {name} * {FAN} + {FAN - 1})) AS {name}"
+    pairs = levels.pop().selectExpr("label", "part AS one", "part AS two", "low AS l2", "high AS h2")
+    while levels:
+        below = levels.pop()
+        one = below.selectExpr("label", "part AS one", "low AS l1", "high AS h1")
+        two = below.selectExpr("label", "part AS two", "low AS l2", "high AS h2")
+        # Parts of the first box against the whole second one, then against its parts.
+        halfway = pairs.selectExpr("label", children("one"), "two", "l2", "h2").join(one, ["label", "one"]).where(near)
+        met = halfway.selectExpr("label", "one", children("two"), "l1", "h1").join(two, ["label", "two"]).where(f"one <= two AND {near}")
+        pairs = stored(met.select("label", "one", "two", "l2", "h2"), "interval-pairs")
+    return pairs.select("label", "one", "two")
+
+
 class _Interval:
     """Vectors in the order of the grid, with their classes."""
 
@@ -232,13 +269,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         ),
         "boxes",
     )
-    left = boxes.selectExpr("label", "part AS one", "low AS l1", "high AS h1")
-    right = boxes.selectExpr("label", "part AS two", "low AS l2", "high AS h2")
-    apart = """aggregate(zip_with(zip_with(l1, h2, (l, h) -> l - h), zip_with(l2, h1, (l, h) -> l - h),
-        (x, y) -> greatest(x, y, 0D)), 0D, (s, x) -> s + x * x)"""
-    pairs = stored(
-        left.join(right, "label").where(f"one <= two AND {apart} <= {(eps + 1e-9) ** 2}D").select("label", "one", "two"), "interval-pairs"
-    )
+    pairs = interval_pairs(boxes, eps)
     sides = pairs.selectExpr("label", "one", "two", "one AS part", "0 AS side").union(
         pairs.where("one < two").selectExpr("label", "one", "two", "two AS part", "1 AS side")
     )
