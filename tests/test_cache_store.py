@@ -62,13 +62,21 @@ def test_a_cache_that_grew_gets_more_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cache_store, "BUCKET_ROWS", 10)
     tables.write_cache(entries(spark, 10), base)
     assert cache_store.buckets(spark, base).count() == 1
-    for first in (10, 60):
+    for first, wanted in ((10, 6), (60, 6)):
         added = entries(spark, 50, first).selectExpr("*", "false AS gone")
         tables.update_cache(spark, base, added)
-    assert cache_store.buckets(spark, base).count() == 11
+        assert cache_store.buckets(spark, base).count() == wanted
     assert rows_of(tables.read_cache(spark, base), "path") == rows_of(entries(spark, 110), "path")
 
 
+def test_a_first_run_spreads_what_it_found(spark, tmp_path, monkeypatch):
+    base = str(tmp_path)
+    monkeypatch.setattr(cache_store, "BUCKET_ROWS", 10)
+    tables.update_cache(spark, base, entries(spark, 100).selectExpr("*", "false AS gone"))
+    assert cache_store.buckets(spark, base).count() == 10
+    assert rows_of(tables.read_cache(spark, base), "path") == rows_of(entries(spark, 100), "path")
+
+
 def test_of_two_writers_one_gets_the_version(spark, tmp_path):
     base = str(tmp_path)
     tables.write_cache(entries(spark, 10), base, 2)

@@ -20,7 +20,7 @@ from treeledger.sources import ledger
 
 # Entries of a bucket, about: what a run writes anew for one changed file.
 BUCKET_ROWS = 65_536
-# A cache that grew by this factor since its buckets were counted gets more of them.
+# A cache that will have grown by this factor since its buckets were counted gets more of them first.
 _GROWTH = 4
 
 
@@ -94,7 +94,8 @@ def apply_changes(spark: SparkSession, base: str, changes: DataFrame) -> int:
     if not touched:
         return 0
     held = {b["bucket"]: (b["version"], b["n_rows"]) for b in known}
-    grown = sum(b["n_rows"] for b in known) > _GROWTH * n * BUCKET_ROWS
+    # Changes count too: a first run may fill an empty cache of one bucket.
+    grown = sum(b["n_rows"] for b in known) + changes.count() > _GROWTH * n * BUCKET_ROWS
     old = _rows(spark, base, [b for b in known if grown or b["bucket"] in touched])
     stays = lookup_join(old, changes.select("path"), ["path"], "left_anti", ["path"])
     rows = stays.select(*DIGEST_CACHE.names).unionByName(changes.where("NOT gone").select(*DIGEST_CACHE.names))
