@@ -185,6 +185,58 @@ def locate_first(
     )
 
 
+def serviceable(
+    bound: DataFrame,
+    commits: DataFrame,
+    intervals: DataFrame,
+    snapshots: DataFrame,
+    stores: DataFrame,
+    store: str | None = None,
+    any_revision: bool = False,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The requests that some snapshot can serve, without saying which: path, ref, and ``matching``, whether one of ``store`` can.
+
+    A request has a row here where it has one in ``locate_first``. An interval of content counts if a snapshot
+    lies within it, and a request is served if the earliest beginning of such an interval is not after the
+    last snapshot before the request. So one beginning per content is all that meets the requests.
+    """
+    fits = F.lit(True) if store is None else F.col("store") == store
+    named = lookup_join(snapshots, stores.select("store"), ["store"], "inner", ["reference"])
+    known = commits.select("commit_id", "seq")
+    taken = stored(
+        lookup_join(named.select(F.col("base_commit_id").alias("commit_id"), fits.alias("_fits")), known, ["commit_id"], "inner", ["_fits"])
+        .groupBy("seq")
+        .agg(F.bool_or("_fits").alias("_fits")),
+        "taken",
+    )
+    places = known.selectExpr("explode(array(seq, seq - 1)) AS seq").distinct()
+    every = last_marked(places, taken.select("seq")).withColumnRenamed("last", "_every")
+    own = last_marked(places, taken.where("_fits").select("seq")).withColumnRenamed("last", "_own")
+    newest = stored(every.join(own, "seq", "left"), "newest")
+    most = newest.agg(F.expr("max(struct(seq, _every, _own)) AS m")).scalar()
+
+    ends = newest.selectExpr("seq AS _end", "_every", "_own")
+    runs = lookup_join(intervals.selectExpr("*", "to_seq - 1 AS _end"), ends, ["_end"], "left", ["path", "from_seq"], hot_rows)
+    reach = {name: f"if(if(to_seq IS NULL, _most.{name}, {name}) >= from_seq, from_seq, NULL)" for name in ("_every", "_own")}
+    firsts = (
+        runs.where(f"kind = '{BLOB}'")
+        .withColumn("_most", most)
+        .groupBy("kind", "digest")
+        .agg(F.expr(f"min({reach['_every']}) AS _first"), F.expr(f"min({reach['_own']}) AS _first_own"))
+        .where("_first IS NOT NULL")
+    )
+    wanted = bound.where(f"kind = '{BLOB}' AND seq IS NOT NULL").select("path", "ref", "kind", "digest", "seq")
+    if any_revision:
+        wanted = wanted.withColumn("seq", most["seq"])
+    wanted = lookup_join(wanted, newest, ["seq"], "inner", ["path", "ref"], hot_rows)
+    return (
+        spread_join(wanted, firsts, ["kind", "digest"], "inner", ["path", "ref"], hot_rows)
+        .where("_first <= _every")
+        .selectExpr("path", "ref", "coalesce(_first_own <= _own, false) AS matching")
+    )
+
+
 def rank_candidates(located: DataFrame, store: str | None = None) -> DataFrame:
     """Number the snapshots of each request in the order to try them.
 
@@ -250,11 +302,8 @@ def classify_requests(
     if located is None:
         if intervals is None:
             intervals = stored(intervals_of_manifests(commits, manifests, hot_rows), "intervals")
-        names = [None] if store is None else [None, store]
-        firsts = [locate_first(entries, commits, intervals, snapshots, stores, s, any_revision, hot_rows) for s in names]
-        offers = firsts[0].selectExpr("path", "ref", "true AS _offered")
-        fitting = firsts[-1].selectExpr("path", "ref", "true AS _matching")
-        offers = offers.withColumn("_matching", F.lit(True)) if store is None else offers.join(fitting, ["path", "ref"], "left")
+        served = serviceable(entries, commits, intervals, snapshots, stores, store, any_revision, hot_rows)
+        offers = served.selectExpr("path", "ref", "true AS _offered", "matching AS _matching")
     else:
         matching = F.expr("true") if store is None else F.col("store") == store
         offers = located.groupBy("path", "ref").agg(F.expr("true AS _offered"), F.bool_or(matching).alias("_matching"))
