@@ -75,3 +75,13 @@ def test_renames_of_crowded_content(spark):
     counts = {row["status"]: row["count"] for row in whole.groupBy("status").count().collect()}
     assert counts == {"R": 4000, "D": 1000}
     assert rows_of(detect_renames(compare(old, new), hot_rows=64)) == rows_of(split)
+
+
+def test_a_limit_on_very_many_renames(spark):
+    """The renames of one comparison are a large group themselves."""
+    old, new = (spark.range(5000).selectExpr(f"concat('{d}/', sha1(cast(id AS string))) AS path", "'blob' AS kind", "sha1(cast(id AS string)) AS digest") for d in "ab")
+    whole, split = diff(old, new, limit=700), diff(old, new, limit=700, hot_rows=64)
+    assert "_piece" in split._jdf.queryExecution().toString()
+    assert rows_of(whole) == rows_of(split)
+    counts = {row["status"]: row["count"] for row in split.groupBy("status").count().collect()}
+    assert counts == {"R": 700, "D": 4300, "A": 4300}

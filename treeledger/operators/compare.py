@@ -164,16 +164,15 @@ def detect_renames(
 
 def _limit_renames(delta: DataFrame, scope: Sequence[str], limit: int, hot_rows: int) -> DataFrame:
     """Split the renames beyond the limit into the deletion and the addition they came from."""
+    grouped = delta.selectExpr(
+        "*",
+        "if(status = 'R', 'R', path) AS _group",
+        "concat_ws('/', path, status) AS _order",
+    )
+    # Kept, as it is looked at twice and each time would pair all renames anew.
+    sample = stored(sample_rows(grouped, ["_order"], hot_rows).select(*scope, "_group", "_order"), "sampled")
     ranked = rank_in_groups(
-        delta.selectExpr(
-            "*",
-            "if(status = 'R', 'R', path) AS _group",
-            "concat_ws('/', path, status) AS _order",
-        ),
-        [*scope, "_group"],
-        "_order",
-        "_rank",
-        hot_rows=hot_rows,
+        grouped, [*scope, "_group"], "_order", "_rank", sample=sample, hot_rows=hot_rows
     )
     return (
         ranked.selectExpr("*", f"status = 'R' AND _rank > {limit} AS _split")

@@ -121,17 +121,17 @@ class _Ranges(NamedTuple):
     """
 
     groups: DataFrame  # keys, _firsts
-    points: DataFrame  # keys, _group, _points
+    points: DataFrame  # keys, _span, _points
     size: int  # points in a group
 
     def place(self, df: DataFrame, keys: list[str], by: str, how: str) -> DataFrame:
         """Add ``_piece``, the number of points at or before the row, where the key is large."""
         grouped = df.join(self.groups, keys, how).selectExpr(
-            "* EXCEPT (_firsts)", f"if(_firsts IS NULL, NULL, {_count_up_to(by, '_firsts')}) AS _group"
+            "* EXCEPT (_firsts)", f"if(_firsts IS NULL, NULL, {_count_up_to(by, '_firsts')}) AS _span"
         )
-        return grouped.join(self.points, [*keys, "_group"], how).selectExpr(
-            "* EXCEPT (_group, _points)",
-            f"if(_points IS NULL, 0, _group * {self.size} + {_count_up_to(by, '_points')}) AS _piece",
+        return grouped.join(self.points, [*keys, "_span"], how).selectExpr(
+            "* EXCEPT (_span, _points)",
+            f"if(_points IS NULL, 0, _span * {self.size} + {_count_up_to(by, '_points')}) AS _piece",
         )
 
 
@@ -167,7 +167,7 @@ def _ranges(sample: DataFrame, keys: list[str], by: str) -> _Ranges | None:
     value = sample.schema[by].dataType.simpleString()
     return _Ranges(
         F.broadcast(make(groups, f"{key_fields}, _firsts array<{value}>")),
-        F.broadcast(make(points, f"{key_fields}, _group int, _points array<{value}>")),
+        F.broadcast(make(points, f"{key_fields}, _span int, _points array<{value}>")),
         size,
     )
 
