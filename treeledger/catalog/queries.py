@@ -3,7 +3,7 @@
 import os
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from treeledger.plans import manifest as trees
 from treeledger.plans import record, recover
 from treeledger.plans import status as statuses
 from treeledger.schema import INTERVALS, LISTING
-from treeledger.session import mounted, new_shared_path, ship_package
+from treeledger.session import mounted, new_shared_path, ship_package, small_batches
 from treeledger.sources import content, tables
 from treeledger.sources import stores as store_sources
 from treeledger.sources import tree as tree_source
@@ -363,25 +363,28 @@ def _classify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_texts(root: str):
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, text in zip(frame["path"], frame["text"]):
-                full = os.path.join(root, path)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column("path"), batch.column("text")):
+                full = os.path.join(root, path.as_py())
                 os.makedirs(os.path.dirname(full), exist_ok=True)
                 with open(full, "wb") as out:
-                    out.write(text.encode())
-            yield pd.DataFrame({"n": [len(frame)]})
+                    out.write(text.as_buffer())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
     return write
 
 
 def _write_tree(docs: DataFrame) -> str:
     """Documents as files of a tree in the shared folder, written by the executors."""
-    ship_package(docs.sparkSession)
-    root = mounted(new_shared_path(docs.sparkSession, "tree"))
+    spark = docs.sparkSession
+    ship_package(spark)
+    root = mounted(new_shared_path(spark, "tree"))
     os.makedirs(root)
-    written = docs.select("path", "text").repartition("path").mapInPandas(_write_texts(root), "n long")
-    written.agg(F.sum("n")).first()
+    texts = docs.select("path", F.col("text").cast("binary").alias("text"))
+    written = texts.repartition("path").mapInArrow(_write_texts(root), "n long")
+    with small_batches(spark):
+        written.agg(F.sum("n")).first()
     return root
 
 

@@ -4,10 +4,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows and bytes that a Python worker gets at once where texts are handed over; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -59,3 +64,20 @@ def ship_package(spark: SparkSession) -> None:
     parent, name = os.path.split(package)
     spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", parent, name))
     _shipped.add(app)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run in here hand rows to Python in batches of bounded bytes; what was set before holds again after."""
+    limits = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    }
+    before = {name: spark.conf.get(name) for name in limits}
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
