@@ -152,3 +152,29 @@ def test_outcomes(spark, golden, history):
     ])
     empty = classify_requests(requests, commits.where("false"), manifests, lacking, stores)
     assert {row["outcome"] for row in empty.collect()} == {"no_commit"}
+
+
+def test_names_without_steps_are_moved_once(spark, history, monkeypatch):
+    """Only names with steps are looked up by what stands before the steps; what has no key meets no ids."""
+    from treeledger.operators import history as module
+
+    ids, commits, _, snapshots, _ = history
+    moved = []
+    plain = module.lookup_join
+
+    def counted(left, right, on, *rest, **more):
+        moved.append((on[0], left.count()))
+        return plain(left, right, on, *rest, **more)
+
+    monkeypatch.setattr(module, "lookup_join", counted)
+    odd = spark.createDataFrame([("odd~1", ids[0]), ("@", ids[1])], "reference string, base_commit_id string")
+    names = [ids[0], ids[1][:8].upper(), "aux1/2", "aux1/2~", "odd~1", "@", "@~1", "HEAD", "HEAD~2", "HEAD~9", "nothing", ids[2] + "^", ids[2] + "^2", "master^"]
+    refs = spark.createDataFrame([(name,) for name in names], "ref string")
+    found = {row["ref"]: row["seq"] for row in module.resolve_refs(refs, commits, snapshots.select("reference", "base_commit_id").unionByName(odd)).collect()}
+    assert found == {
+        ids[0]: 0, ids[1][:8].upper(): 1, "aux1/2": 1, "aux1/2~": 0, "odd~1": 0, "@": 1, "@~1": 0, "HEAD": 2, "HEAD~2": 0,
+        "HEAD~9": None, "nothing": None, ids[2] + "^": 1, ids[2] + "^2": None, "master^": 1,
+    }
+    stepped = [name for name in names if "~" in name or "^" in name]
+    assert sum(n for key, n in moved if key == "_base") <= len(stepped)
+    assert [n for key, n in moved if key == "_key"] == [len(names) - 4]  # all but HEAD and master

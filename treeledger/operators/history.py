@@ -87,7 +87,7 @@ _STEPS = r"^(.*?)((?:~[0-9]*|\\^[0-9]*)*)$"
 
 
 def _by_prefix(keys: DataFrame, commits: DataFrame) -> DataFrame:
-    """Which commit each beginning of an id stands for, where no other id begins so: _key, _short.
+    """Which commit each proper beginning of an id stands for, where no other id begins so: _key, _short.
 
     Ids and keys are sorted together among those with the same first digits. The least id that is not below
     a key is the only one it can stand for, if the id after that one begins otherwise.
@@ -99,7 +99,7 @@ def _by_prefix(keys: DataFrame, commits: DataFrame) -> DataFrame:
     before = down.format("ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
     placed = every.selectExpr("*", f"last(_id, true) {before} AS _above")
     near = placed.selectExpr("*", f"last(if(_id IS NULL, NULL, struct(_id, seq, _above)), true) {before} AS _near")
-    return near.where("_id IS NULL AND startswith(_near._id, _at) AND NOT coalesce(startswith(_near._above, _at), false)").selectExpr(
+    return near.where("_id IS NULL AND _near._id <> _at AND startswith(_near._id, _at) AND NOT coalesce(startswith(_near._above, _at), false)").selectExpr(
         "_at AS _key", "_near.seq AS _short"
     )
 
@@ -120,24 +120,28 @@ def resolve_refs(
     """
     step = "CASE WHEN x IN ('~', '^', '^1') THEN 1L WHEN x = '^0' THEN 0L WHEN x LIKE '~%' THEN try_cast(substring(x, 2) AS bigint) END"
     stepped = f"regexp_extract(ref, '{_STEPS}', {{}})"
-    parsed = (
-        refs.select("ref")
-        .distinct()
-        .selectExpr("ref", "ref RLIKE '[~^]' AS _stepped")
-        .selectExpr(
-            "ref",
-            f"if(_stepped, {stepped.format(1)}, ref) AS _base",
-            f"if(_stepped, aggregate(regexp_extract_all({stepped.format(2)}, '[~^][0-9]*', 0), 0L, (a, x) -> a + {step}), 0L) AS _steps",
-        )
+    has_steps = "coalesce(ref RLIKE '[~^]', false)"
+    asked = refs.select("ref").distinct()
+    plain = asked.where(f"NOT {has_steps}").selectExpr("ref", "ref AS _base", "0L AS _steps")
+    parsed = asked.where(has_steps).selectExpr(
+        "ref",
+        f"{stepped.format(1)} AS _base",
+        f"aggregate(regexp_extract_all({stepped.format(2)}, '[~^][0-9]*', 0), 0L, (a, x) -> a + {step}) AS _steps",
     )
-    named = parsed.selectExpr("ref", "_base AS _target", "_steps")
-    if snapshots is not None:
+    if snapshots is None:
+        named = plain.unionByName(parsed).selectExpr("ref", "_base AS _target", "_steps")
+    else:
         taken = stored(snapshots.select("reference", "base_commit_id"), "taken")
         whole, part = (taken.selectExpr(f"reference AS {c}", f"base_commit_id AS {name}") for c, name in (("ref", "_whole"), ("_base", "_part")))
-        found = lookup_join(parsed, whole, ["ref"], "left", ["ref"], hot_rows)
-        named = lookup_join(found, part, ["_base"], "left", ["ref"], hot_rows).selectExpr(
-            "ref", "coalesce(_whole, _part, _base) AS _target", "if(_whole IS NULL, _steps, 0L) AS _steps"
-        )
+        # A name without steps is its own base, so both lookups find it where it lies.
+        own = taken.selectExpr("reference AS ref", "base_commit_id AS _part")
+        named = lookup_join(lookup_join(plain, whole, ["ref"], "left", ["ref"], hot_rows), own, ["ref"], "left", ["ref"], hot_rows)
+        # Few snapshots have a name that looks like steps, or one of those that stand for the newest commit.
+        found = lookup_join(parsed, whole.where(has_steps), ["ref"], "left", ["ref"], hot_rows)
+        tip = F.coalesce(F.col("_base").isin("HEAD", "@", branch), F.lit(False))
+        for rows, names in ((found.where(tip), part.where(tip)), (found.where(~tip), part.where(~tip))):
+            named = named.unionByName(lookup_join(rows, names, ["_base"], "left", ["ref"], hot_rows))
+        named = named.selectExpr("ref", "coalesce(_whole, _part, _base) AS _target", "if(_whole IS NULL, _steps, 0L) AS _steps")
 
     known = stored(commits.select("commit_id", "seq"), "known")
     keyed = stored(
@@ -148,11 +152,14 @@ def resolve_refs(
         "keyed",
     )
     hex_key = f"_key RLIKE '^[0-9a-f]{{{MIN_PREFIX},{_ID_LENGTH - 1}}}$'"
-    short = stored(_by_prefix(keyed.where(hex_key).select("_key").distinct(), known), "short")
-    whole = known.selectExpr("commit_id AS _key", "seq AS _full")
-    based = lookup_join(keyed, whole, ["_key"], "left", ["ref"], hot_rows)
-    based = lookup_join(based, short, ["_key"], "left", ["ref"], hot_rows)
-    based = based.selectExpr("ref", "coalesce(_tip, _full, _short) - _steps AS seq")
+    short = _by_prefix(keyed.where(hex_key).select("_key").distinct(), known)
+    # An id that is found whole is no beginning, so each key has one of the two.
+    ids = stored(known.selectExpr("commit_id AS _key", "seq AS _found").unionByName(short.selectExpr("_key", "_short AS _found")), "ids")
+    # What stands for the newest commit has no key to look for.
+    based = lookup_join(keyed.where("_key IS NOT NULL").drop("_tip"), ids, ["_key"], "left", ["ref"], hot_rows)
+    based = based.selectExpr("ref", "_found - _steps AS seq").unionByName(
+        keyed.where("_key IS NULL").selectExpr("ref", "_tip - _steps AS seq")
+    )
     return lookup_join(based, known, ["seq"], "left", ["ref"], hot_rows).selectExpr(
         "ref",
         "commit_id",
