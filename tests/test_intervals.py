@@ -6,7 +6,9 @@ import random
 import pytest
 
 from conftest import manifest, rows_of, sha1
+from treeledger.catalog import queries as catalog
 from treeledger.operators import intervals as iv
+from treeledger.operators import spread
 from treeledger.operators.compare import delta_of_sides, detect_renames, diff
 from treeledger.operators.history import log, log_of_changes
 from treeledger.operators.locate import bind_requests, classify_requests, locate, locate_first, rank_candidates
@@ -15,6 +17,7 @@ from treeledger.plans.record import NothingStaged, commit
 from treeledger.plans.recover import restore
 from treeledger.plans.status import diff_refs, diff_refs_of_changes
 from treeledger.schema import MANIFEST
+from treeledger.session import stored
 from treeledger.sources import ledger, tables
 
 
@@ -231,6 +234,21 @@ def test_last_marked(spark, monkeypatch):
     assert iv.last_marked(places, marked.where("false")).isEmpty()
 
 
+@pytest.mark.parametrize("most_bytes", [1 << 20, -1])
+def test_last_marked_by_block(spark, monkeypatch, most_bytes):
+    """With the blocks broadcast, and with both sides shuffled."""
+    monkeypatch.setattr(iv, "_ROW_BITS", 2)
+    monkeypatch.setattr(spread, "MAX_LOOKUP_BYTES", most_bytes)
+    places = spark.range(2, 40).selectExpr("id AS seq")
+    marked = spark.createDataFrame([(3,), (4,), (5,), (6,), (7,), (11,), (29,)], "seq long")
+    rows = places.unionByName(spark.createDataFrame([(None,)], "seq long"))
+    for marks in (marked, marked.where("false")):
+        known = [r.seq for r in marks.collect()]
+        wanted = {(n, max((m for m in known if m <= n), default=None)) for n in range(2, 40)} | {(None, None)}
+        found = iv.with_last_marked(rows, "seq", "last", iv.marks_by_block(places, marks), ["seq"])
+        assert found.columns == ["seq", "last"] and as_set(found, "seq", "last") == wanted
+
+
 COLUMNS = ["path", "ref", "kind", "digest", "commit_id", "seq", "found_path", "same_path", "store", "snapshot_id", "reference", "ordinal"]
 
 
@@ -253,6 +271,56 @@ def test_first_candidates_are_those_ranked_first(spark, seed, hot_rows, any_revi
     assert rows_of(classify_requests(requests, commits, manifests, snapshots, stores, None, store, any_revision)) == rows_of(old)
 
 
+@pytest.mark.parametrize(("hot_rows", "most_bytes", "any_revision"), [(10**6, -1, False), (32, 1 << 20, False), (32, -1, False), (32, -1, True)])
+def test_first_candidates_of_copied_contents(spark, monkeypatch, hot_rows, most_bytes, any_revision):
+    """Contents with copies that come and go; with ``hot_rows`` of 32 one counts as crowded and the others do not."""
+    monkeypatch.setattr(spread, "MAX_LOOKUP_BYTES", most_bytes)
+    rng, tree, trees = random.Random(7), {}, []
+    for _ in range(14):
+        for _ in range(3):
+            tree[f"f{rng.randrange(9)}"] = ("blob", sha1(str(max(0, rng.randrange(6) - 2))))
+        tree.pop(f"f{rng.randrange(9)}", None)
+        trees.append(dict(tree))
+    ids, commits, manifests = frames(spark, trees)
+    taken = [("s0", str(n), ids[n], f"s0/{n}") for n in (1, 2, 5, 9)]
+    snapshots = spark.createDataFrame(taken, "store string, snapshot_id string, base_commit_id string, reference string")
+    stores = spark.createDataFrame([("s0", "/a/*", 1)], "store string, url string, ordinal int")
+    requests = spark.createDataFrame([(p, ids[n]) for n, t in enumerate(trees) for p in t], "path string, ref string")
+    bound = bind_requests(requests, commits, manifests, snapshots)
+    wanted = rank_candidates(locate(requests, commits, manifests, snapshots, stores, any_revision, bound=bound)).where("try_order = 1")
+    found = locate_first(bound, commits, iv.intervals_of_manifests(commits, manifests), snapshots, stores, None, any_revision, hot_rows)
+    assert rows_of(found, *COLUMNS) == rows_of(wanted, *COLUMNS)
+    # Some lie elsewhere where copies last longer, and some where they end.
+    assert {r.same_path for r in found.collect()} == {True, False}
+
+
+def test_locating_shuffles_requests_only_twice(spark, tmp_path, monkeypatch):
+    """Once by content and once by snapshot, where no table is small enough to be sent to all executors."""
+    plans = []
+
+    def recorded(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr("treeledger.operators.locate.stored", recorded)
+    n = 120_000
+    events = f"""SELECT id AS event_id, TIMESTAMP_NTZ '2024-01-01' AS ts, id % 1000 AS user_id,
+        element_at(array('click', 'signup', 'purchase'), CAST(id * 7 % 11 % 3 + 1 AS INT)) AS event_type FROM range({n})"""
+    spark.sql(events).write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = catalog.queries()["locate_chain"](spark, str(tmp_path))
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        rows = found.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_request = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning" in line and any(k in line for k in ("digest", "seq#"))]
+    assert rows > n // 2
+    # By content, by snapshot with its sources on the other side.
+    assert len(by_request) <= 4, by_request
+
+
 def test_restoring_goes_on_to_other_snapshots(spark, golden, history, tmp_path):
     """The snapshot to try first lacks a file, another one's copy is not there at all."""
     ids, commits, manifests, snapshots, stores = history

@@ -344,10 +344,14 @@ def _locate_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _locate_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's file as of each commit that touched it: where to get it from first."""
-    names = ("bound", "commits", "runs", "snapshots", "stores")
-    bound, commits, runs, snapshots, stores = _tables(spark, sf_dir, i.CHAIN_TREE, *names)
-    spans = _stored(runs.select(*INTERVALS.names))
-    first = locate.locate_first(_stored(bound), commits, spans, snapshots, stores)
+    commits, runs, snapshots, stores = _tables(spark, sf_dir, i.CHAIN_TREE, "commits", "runs", "snapshots", "stores")
+    # The requests of ``bound`` are the runs themselves and what lasts, so one table holds both.
+    spans = _stored(runs.select(*INTERVALS.names, "commit_id"))
+    newest = commits.agg(F.expr("max_by(commit_id, seq) AS commit_id"), F.expr("max(seq) AS seq"))
+    then = spans.selectExpr("path", "commit_id AS ref", "commit_id", "from_seq AS seq", "kind", "digest")
+    now = spans.where("to_seq IS NULL").select("path", "kind", "digest").crossJoin(F.broadcast(newest))
+    bound = then.unionByName(now.withColumn("ref", F.lit("HEAD")))
+    first = locate.locate_first(bound, commits, spans.select(*INTERVALS.names), snapshots, stores)
     return first.select("path", "ref", "seq", "found_path", "same_path", "reference")
 
 

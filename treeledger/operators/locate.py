@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.paths import proper_ancestors
 from treeledger.operators.history import resolve_refs
-from treeledger.operators.intervals import intervals_of_manifests, last_marked
-from treeledger.operators.spread import HOT_ROWS, lookup_join, sample_rows, spread_join
+from treeledger.operators.intervals import intervals_of_manifests, last_marked, marks_by_block, with_last_marked
+from treeledger.operators.spread import HOT_ROWS, MAX_LOOKUP_ROWS, hot_keys, lookup_join, sample_rows, spread_join
 from treeledger.schema import BLOB, LINK
 from treeledger.session import stored
 
@@ -129,27 +129,96 @@ def locate_first(
         "sources",
     )
     # Content ends at the place before the commit that takes it away.
-    places = known.selectExpr("explode(array(seq, seq - 1)) AS seq").distinct()
-    newest = stored(last_marked(places, sources.select("seq")), "newest")
+    places = known.selectExpr("explode(array(seq, seq - 1)) AS seq")
+    blocks = stored(marks_by_block(places, sources.select("seq")), "blocks")
+    most = sources.agg(F.expr("max(seq) AS seq")).scalar()
 
-    wanted = bound.where(f"kind = '{BLOB}' AND seq IS NOT NULL").select("path", "ref", "kind", "digest", "seq")
+    asked = bound.where(f"kind = '{BLOB}' AND seq IS NOT NULL AND digest IS NOT NULL").select("path", "ref", "kind", "digest", "seq")
     if any_revision:
-        wanted = wanted.withColumn("seq", newest.agg(F.expr("max(seq) AS seq")).scalar())
-    wanted = lookup_join(wanted, newest, ["seq"], "inner", ["path", "ref"], hot_rows).selectExpr(
-        "path", "ref", "kind", "digest", "last AS _until"
+        wanted = asked.withColumn("_until", most)
+    else:
+        wanted = with_last_marked(asked, "seq", "_until", blocks, ["path", "ref"], hot_rows)
+    wanted = wanted.drop("seq").where("_until IS NOT NULL")
+    runs = intervals.where(f"kind = '{BLOB}' AND digest IS NOT NULL")
+    crowded = hot_keys(
+        sample_rows(asked, ["path", "ref"], hot_rows)
+        .select("kind", "digest")
+        .unionByName(sample_rows(runs, ["path", "from_seq"], hot_rows).select("kind", "digest")),
+        ["kind", "digest"],
     )
-    contents = wanted.select("kind", "digest").distinct()
-    runs = spread_join(intervals, contents, ["kind", "digest"], "left_semi", ["path", "from_seq"], hot_rows)
+    # Few requests leave most of a history out before anything is shuffled.
+    if asked.limit(MAX_LOOKUP_ROWS + 1).count() <= MAX_LOOKUP_ROWS:
+        runs = lookup_join(runs, asked.select("kind", "digest").distinct(), ["kind", "digest"], "left_semi", ["path", "from_seq"], hot_rows)
     # What still lasts reaches to the last snapshot of all.
-    ends = newest.selectExpr("seq AS _end", "last AS _last")
-    runs = lookup_join(runs.selectExpr("*", "to_seq - 1 AS _end"), ends, ["_end"], "left", ["path", "from_seq"], hot_rows)
-    held = stored(
-        runs.withColumn("_most", newest.agg(F.expr("max(last) AS last")).scalar())
-        .selectExpr("path", "kind", "digest", "from_seq", "if(to_seq IS NULL, _most, _last) AS _reach")
-        .where("_reach >= from_seq"),
-        "held",
+    runs = runs.withColumn("_end", F.coalesce(F.expr("to_seq - 1"), most))
+    held = (
+        with_last_marked(runs, "_end", "_reach", blocks, ["path", "from_seq"], hot_rows)
+        .select("path", "kind", "digest", "from_seq", "_reach")
+        .where("_reach >= from_seq")
     )
 
+    if crowded is None:
+        placed = _place(wanted, held)
+    else:
+        contents = crowded.select("kind", "digest")
+        plain, large = (
+            [side.join(F.broadcast(contents), ["kind", "digest"], how) for side in (wanted, held)] for how in ("left_anti", "left_semi")
+        )
+        placed = _place(*plain).unionByName(_place_crowded(large[0], stored(large[1], "held"), hot_rows))
+    placed = stored(placed, "placed")
+    # Content that lies elsewhere, beside copies that lasted longer: its first path there.
+    moved = stored(placed.where("_open").select("kind", "digest", "seq").distinct(), "moved")
+    there = placed.withColumnRenamed("_found", "_first")
+    if not moved.isEmpty():
+        elsewhere = (
+            lookup_join(held, moved, ["kind", "digest"], "inner", ["path", "from_seq"], hot_rows)
+            .where("seq BETWEEN from_seq AND _reach")
+            .groupBy("kind", "digest", "seq")
+            .agg(F.expr("min(path) AS _first"))
+            .withColumn("_open", F.lit(True))
+        )
+        there = lookup_join(
+            placed, stored(elsewhere, "elsewhere"), ["kind", "digest", "seq", "_open"], "left", ["path", "ref"], hot_rows
+        ).withColumn("_first", F.expr("if(_open, _first, _found)"))
+    return lookup_join(there, sources, ["seq"], "inner", ["path", "ref"], hot_rows).selectExpr(
+        "path", "ref", "kind", "digest", "commit_id", "seq", "if(same_path, path, _first) AS found_path", "same_path",
+        "store", "snapshot_id", "reference", "ordinal",
+    )
+
+
+def _place(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """The newest snapshot of each request, of contents with ordinary numbers of rows, by one shuffle.
+
+    Adds ``seq``, ``same_path``, the first path ``_found`` that holds the content there, and ``_open`` if that
+    must be looked for: where copies reach beyond the place. Where they end with it, they are those that
+    reach furthest, so their first path comes with the maximum.
+    """
+    rows = held.selectExpr("kind", "digest", "path", "CAST(NULL AS STRING) AS ref", "from_seq AS at", "_reach").unionByName(
+        wanted.selectExpr("kind", "digest", "path", "ref", "_until AS at", "CAST(NULL AS LONG) AS _reach")
+    )
+    # Everything below is grouped by at least these.
+    first = rows.repartition("kind", "digest").selectExpr("*", "min(path) OVER (PARTITION BY kind, digest, _reach) AS _first")
+    furthest = first.selectExpr(
+        "* EXCEPT (_first)",
+        """max(if(_reach IS NULL, NULL, struct(_reach AS seq, _first AS path)))
+           OVER (PARTITION BY kind, digest ORDER BY at, _reach IS NULL ROWS UNBOUNDED PRECEDING) AS _far""",
+    )
+    return (
+        furthest.withColumn("seq", F.expr("if(_reach IS NULL, least(at, _far.seq), at)"))
+        .selectExpr(
+            "*", "max(_reach) OVER (PARTITION BY kind, digest, path ORDER BY seq, _reach IS NULL ROWS UNBOUNDED PRECEDING) AS _own"
+        )
+        .where("_reach IS NULL AND _far IS NOT NULL")
+        .withColumn("same_path", F.expr("path IS NOT NULL AND coalesce(_own >= seq, false)"))
+        .selectExpr(
+            "path", "ref", "kind", "digest", "seq", "same_path", "NOT same_path AND _far.seq > seq AS _open",
+            "if(same_path OR _far.seq > seq, NULL, _far.path) AS _found",
+        )
+    )
+
+
+def _place_crowded(wanted: DataFrame, held: DataFrame, hot_rows: int) -> DataFrame:
+    """The same of contents with very many rows: requests and beginnings that differ meet, and go back to the others."""
     starts = held.groupBy("kind", "digest", F.expr("from_seq AS at")).agg(F.expr("max(_reach) AS _reach"))
     points = wanted.selectExpr("kind", "digest", "_until AS at", "CAST(NULL AS LONG) AS _reach").distinct()
     best = (
@@ -166,23 +235,9 @@ def locate_first(
     # A path has few intervals of one content; at most one holds the place.
     own = held.selectExpr("path AS _path", "kind AS _kind", "digest AS _digest", "from_seq", "_reach")
     inside = "path = _path AND kind = _kind AND digest = _digest AND seq >= from_seq AND seq <= _reach"
-    placed = stored(
-        found.join(own, F.expr(inside), "left").selectExpr(*found.columns, "_path IS NOT NULL AS same_path"), "placed"
-    )
-    # Content that lies elsewhere: its first path there.
-    moved = placed.where("NOT same_path").select("kind", "digest", "seq").distinct()
-    elsewhere = (
-        spread_join(held, moved, ["kind", "digest"], "inner", ["path", "from_seq"], hot_rows)
-        .where("seq BETWEEN from_seq AND _reach")
-        .groupBy("kind", "digest", "seq")
-        .agg(F.expr("min(path) AS _first"))
-        .withColumn("same_path", F.lit(False))
+    return found.join(own, F.expr(inside), "left").selectExpr(
+        *found.columns, "_path IS NOT NULL AS same_path", "_path IS NULL AS _open", "CAST(NULL AS STRING) AS _found"
     )
-    there = spread_join(placed, elsewhere, ["kind", "digest", "seq", "same_path"], "left", ["path", "ref"], hot_rows)
-    return lookup_join(there, sources, ["seq"], "inner", ["path", "ref"], hot_rows).selectExpr(
-        "path", "ref", "kind", "digest", "commit_id", "seq", "if(same_path, path, _first) AS found_path", "same_path",
-        "store", "snapshot_id", "reference", "ordinal",
-    )
 
 
 def serviceable(

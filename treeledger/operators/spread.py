@@ -105,9 +105,9 @@ def lookup_join(
     It is measured, no further than to the limit. Within it the table is broadcast and the left
     side stays where it is; beyond it both sides are shuffled, crowded keys apart.
     """
-    size = right.limit(most + 1).selectExpr(
-        "count(1) AS n_rows", "coalesce(sum(octet_length(to_json(struct(*)))), 0) AS n_bytes"
-    )
+    # Every partition hands over as many rows as the limit allows, so only their sizes go.
+    sizes = right.selectExpr("octet_length(to_json(struct(*))) AS n_bytes").limit(most + 1)
+    size = sizes.selectExpr("count(1) AS n_rows", "coalesce(sum(n_bytes), 0) AS n_bytes")
     measured = size.first()
     if measured["n_rows"] <= most and measured["n_bytes"] <= MAX_LOOKUP_BYTES:
         return left.join(F.broadcast(right), list(on), how)
@@ -127,17 +127,17 @@ class _Ranges(NamedTuple):
     def place(self, df: DataFrame, keys: list[str], by: str, how: str) -> DataFrame:
         """Add ``_piece``, the number of points at or before the row, where the key is large."""
         grouped = df.join(self.groups, keys, how).selectExpr(
-            "* EXCEPT (_firsts)", f"if(_firsts IS NULL, NULL, {_count_up_to(by, '_firsts')}) AS _span"
+            "* EXCEPT (_firsts)", f"if(_firsts IS NULL, NULL, {count_up_to(by, '_firsts')}) AS _span"
         )
         return grouped.join(self.points, [*keys, "_span"], how).selectExpr(
             "* EXCEPT (_span, _points)",
-            f"if(_points IS NULL, 0, _span * {self.size} + {_count_up_to(by, '_points')}) AS _piece",
+            f"if(_points IS NULL, 0, _span * {self.size} + {count_up_to(by, '_points')}) AS _piece",
         )
 
 
-def _count_up_to(value: str, points: str) -> str:
-    """How many of the sorted points lie at or before the value, by halving steps."""
-    steps = ", ".join(str(1 << n) for n in reversed(range(MAX_GROUP.bit_length())))
+def count_up_to(value: str, points: str, bits: int = MAX_GROUP.bit_length()) -> str:
+    """How many of the sorted points, fewer than two to the power of ``bits``, lie at or before the value, by halving steps."""
+    steps = ", ".join(str(1 << n) for n in reversed(range(bits)))
     return f"""aggregate(array({steps}), 0,
         (at, step) -> if(get({points}, at + step - 1) <= {value}, at + step, at))"""
 
